@@ -257,7 +257,7 @@ register(
 )
 register(
     "missing_cells",
-    lambda s, d: quality.missing_cells(repaired(s, d)),
+    lambda s, d: quality.missing_cells(raw(s, d), repaired(s, d)),
     REPAIRED,
     """SELECT *, missing_cells * 100.0 / cells AS missing_pct FROM
        (SELECT source_file, CAST(sum((valid_count IS NULL)::INT + (torque_nm IS NULL)::INT + (status_code IS NULL)::INT) AS BIGINT) AS missing_cells,
@@ -270,19 +270,19 @@ _TORQUE_FAULTS = """SELECT source_file, head_id, count(*) FILTER (WHERE torque_n
       count(*) FILTER (WHERE sd > 0 AND abs(torque_nm - m) > 3 * sd) AS outliers_gt_3sigma
     FROM (SELECT *, avg(torque_nm) OVER w AS m, stddev_samp(torque_nm) OVER w AS sd FROM repaired
       WINDOW w AS (PARTITION BY source_file, head_id)) GROUP BY source_file, head_id"""
-register("invalid_torque", lambda s, d: quality.invalid_torque(repaired(s, d)), REPAIRED, _TORQUE_FAULTS)
+register("invalid_torque", lambda s, d: quality.invalid_torque(raw(s, d), repaired(s, d)), REPAIRED, _TORQUE_FAULTS)
 _CODES = "SELECT source_file, head_id, CAST(status_code AS INTEGER) AS status_code, count(*) AS n FROM long WHERE status_code IS NOT NULL GROUP BY ALL"
-register("status_distribution", lambda s, d: quality.status_distribution(repaired(s, d)), RAW + "," + LONG, _CODES)
+register("status_distribution", lambda s, d: quality.status_distribution(raw(s, d)), RAW + "," + LONG, _CODES)
 _KNOWN = ", ".join(map(str, STATUS))
 register(
     "unexpected_status",
-    lambda s, d: quality.unexpected_status(repaired(s, d)),
+    lambda s, d: quality.unexpected_status(raw(s, d)),
     RAW + "," + LONG,
     f"SELECT * FROM ({_CODES}) WHERE status_code NOT IN ({_KNOWN})",
 )
 register(
     "status_totals",
-    lambda s, d: quality.status_totals(repaired(s, d)),
+    lambda s, d: quality.status_totals(raw(s, d)),
     RAW + "," + LONG,
     "SELECT CAST(status_code AS INTEGER) AS status_code, count(*) AS n FROM long WHERE status_code IS NOT NULL GROUP BY 1",
 )
@@ -373,15 +373,14 @@ register(
 )
 register(
     "reset_segments",
-    lambda s, d: repaired(s, d).groupBy("head_id", "segment_id").agg(
-        F.count("*").alias("n_rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row")
-    ),
+    lambda s, d: counters.reset_segments(repaired(s, d)).select("row_id", "head_id", "counter_delta", "segment_id"),
     REPAIRED,
-    "SELECT head_id, segment_id, count(*) AS n_rows, min(row_id) AS first_row, max(row_id) AS last_row FROM repaired GROUP BY 1, 2",
+    "SELECT row_id, head_id, counter_delta, segment_id FROM repaired WHERE counter_delta <> 0",
+    "counter_delta",
 )
 register(
     "counter_resets",
-    lambda s, d: counters.counter_resets(repaired(s, d)),
+    lambda s, d: counters.counter_resets(counters.reset_segments(repaired(s, d))),
     REPAIRED,
     """SELECT "timestamp", head_id, previous_valid AS previous_count, valid_count AS new_count, segment_id - 1 AS segment_before,
          segment_id AS segment_after, source_file FROM repaired WHERE counter_delta < 0""",
@@ -391,7 +390,7 @@ _CLOSURES = """SELECT "timestamp", head_id, segment_id, CAST(valid_count AS BIGI
       CAST(counter_delta AS BIGINT) AS inferred_closure_count,
       CASE WHEN is_gap THEN 'gap' WHEN counter_delta > 1 THEN 'aggregated' ELSE 'single' END AS data_quality,
       torque_nm, CAST(status_code AS INTEGER) AS status_code, source_file FROM repaired WHERE counter_delta > 0"""
-register("detect_closures", lambda s, d: counters.detect_closures(repaired(s, d)), REPAIRED, _CLOSURES, "torque_nm")
+register("detect_closures", lambda s, d: counters.detect_closures(counters.reset_segments(repaired(s, d))), REPAIRED, _CLOSURES, "torque_nm")
 
 # --- idle intervals -------------------------------------------------------------------------------
 

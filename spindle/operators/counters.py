@@ -217,7 +217,8 @@ def counter_deltas(masked: DataFrame) -> DataFrame:
 
 
 def reset_segments(deltas: DataFrame) -> DataFrame:
-    """Number of resets of the head up to and including the row."""
+    """The readings at which the counter moved, with `segment_id`, the number of
+    resets of the head up to and including the row."""
     reset = F.when(F.col("counter_delta") < 0, 1).otherwise(0)
     per_block = deltas.groupBy(*PART).agg(F.sum(reset).alias("_resets"), F.max("file_seq").alias("file_seq"))
     earlier = Window.partitionBy("head_id", "era").orderBy("file_seq", "block").rowsBetween(*BEFORE_HERE)
@@ -225,7 +226,8 @@ def reset_segments(deltas: DataFrame) -> DataFrame:
         *PART, F.coalesce(F.sum("_resets").over(earlier), F.lit(0)).alias("_carry")
     )
     here = F.sum(reset).over(_forward().rowsBetween(*UP_TO_HERE))
-    return deltas.join(carry, PART).withColumn("segment_id", F.col("_carry") + here).drop("_carry")
+    moved = deltas.where(F.col("counter_delta") != 0)
+    return moved.join(carry, PART).withColumn("segment_id", F.col("_carry") + here).drop("_carry")
 
 
 def counter_resets(segmented: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ def base_name(path: str = "source_file"):
 
 
 def repair(wide: DataFrame) -> DataFrame:
-    """Raw rows to readings with masked counts, deltas and reset segments."""
-    long = readings.to_readings_long(readings.with_steps(wide), "file_seq", "is_gap")
-    return counters.reset_segments(counters.counter_deltas(counters.mask_corrupted_counts(long)))
+    """Raw rows to count changes with masked counts and deltas."""
+    changes = readings.count_changes(readings.with_steps(wide))
+    return counters.counter_deltas(counters.mask_corrupted_counts(changes))
 
 
 def closure_events(repaired: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The event table and, per head, how many duplicates it leaves out."""
-    found = events.enrich_status(counters.detect_closures(repaired))
+    found = events.enrich_status(counters.detect_closures(counters.reset_segments(repaired)))
     kept = events.derive_speed(events.dedupe_events(found))
     return kept.withColumn("source_file", base_name()), events.duplicates_removed(found)
 
@@ -40,13 +40,13 @@ def closure_events(repaired: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
     """Read every CSV file below `path` and write the tables to `output`.
 
-    The repaired readings feed the events and most of the quality report. They
-    are staged once in the shared workspace, not derived again for each.
+    The raw rows and the repaired count changes feed the events and the quality
+    report. They are staged in the shared workspace, not derived again for each.
     """
     archive = read_wide_csv(spark, path)
     staged = lambda name, df: _stage(spark, name, df)
     wide = staged("raw_rows", archive.wide)
-    repaired = staged("repaired_readings", repair(wide))
+    repaired = staged("repaired_changes", repair(wide))
 
     found, duplicates = closure_events(repaired)
     tables.write_closure_events(found, output)
@@ -66,16 +66,16 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
         "schema_warnings": archive.warnings,
         "bad_timestamps": named(archive.bad_timestamps),
         "file_quality": named(quality.file_times(wide)),
-        "missing_cells": named(quality.missing_cells(repaired)),
+        "missing_cells": named(quality.missing_cells(wide, repaired)),
         "trailing_zero_rows": named(quality.trailing_zero_rows(wide)),
         "sampling_gaps": named(quality.sampling_gaps(stepped)),
         "boundary_gaps": quality.boundary_gaps(wide).withColumns(
             {"prev_file": base_name("prev_file"), "next_file": base_name("next_file")}
         ),
-        "invalid_torque": named(quality.invalid_torque(repaired)),
-        "status_distribution": named(quality.status_distribution(repaired)),
-        "unexpected_status": named(quality.unexpected_status(repaired)),
-        "counter_resets": named(counters.counter_resets(repaired)),
+        "invalid_torque": named(quality.invalid_torque(wide, repaired)),
+        "status_distribution": named(quality.status_distribution(wide)),
+        "unexpected_status": named(quality.unexpected_status(wide)),
+        "counter_resets": named(counters.counter_resets(counters.reset_segments(repaired))),
         "file_counter_resets": named(quality.file_counter_resets(repaired)),
         "duplicates_removed": duplicates,
         "breakdowns": quality.ingest_breakdowns(stored),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from spindle.constants import FALLBACK_INTERVAL_SECONDS, GAP_FACTOR, STATUS
 from spindle.functions import columns as C
-from spindle.operators.readings import BLOCK, block_edges, complete_heads, field, intervals
+from spindle.operators.readings import BLOCK, block_edges, complete_heads, field, intervals, to_readings_long
 from spindle.plans.slices import BEFORE_HERE
 
 PART = ["head_id", *BLOCK]
-CELLS = ("valid_count", "torque_nm", "status_code")
+CELLS = ("count", "torque_nm", "status_code")
 OUTLIER_SIGMAS = 3
 
 
@@ -93,81 +93,99 @@ def boundary_gaps(wide: DataFrame) -> DataFrame:
     )
 
 
-def missing_cells(masked: DataFrame) -> DataFrame:
+def missing_cells(wide: DataFrame, repaired: DataFrame) -> DataFrame:
     """Empty cells per file once corrupted counts are masked."""
     empty = sum((F.col(c).isNull().cast("int") for c in CELLS[1:]), F.col(CELLS[0]).isNull().cast("int"))
-    return masked.groupBy("source_file").agg(
-        F.sum(empty).alias("missing_cells"),
+    cells = to_readings_long(wide).groupBy("source_file").agg(
+        F.sum(empty).alias("_empty"),
         (F.count(F.lit(1)) * len(CELLS)).alias("cells"),
-        C.count_if(F.col("masked")).alias("masked_counts"),
         F.countDistinct("head_id").alias("n_heads"),
-    ).withColumn("missing_pct", F.col("missing_cells") * 100.0 / F.col("cells"))
+    )
+    hidden = masked_rows(repaired)
+    return cells.join(hidden, "source_file", "left").select(
+        "source_file",
+        (F.col("_empty") + F.coalesce("masked_counts", F.lit(0))).alias("missing_cells"),
+        "cells",
+        F.coalesce("masked_counts", F.lit(0)).alias("masked_counts"),
+        "n_heads",
+        ((F.col("_empty") + F.coalesce("masked_counts", F.lit(0))) * 100.0 / F.col("cells")).alias("missing_pct"),
+    )
+
+
+def masked_rows(repaired: DataFrame) -> DataFrame:
+    """Counts masked per file. A kept zero stands for the rows up to the next
+    kept reading of its block."""
+    here = Window.partitionBy(*PART).orderBy("row_id")
+    until = F.coalesce(F.lead("position").over(here), F.col("block_rows") + 1)
+    runs = repaired.withColumn("_length", until - F.col("position"))
+    return runs.where("masked").groupBy("source_file").agg(F.sum("_length").alias("masked_counts"))
 
 
-def _steps(masked: DataFrame) -> DataFrame:
-    """Readings with the change of the count since the row before in the file;
-    null where either reading is missing."""
+def _steps(repaired: DataFrame) -> DataFrame:
+    """Change of the valid count since the row before in the file; null where
+    either is missing."""
     here = Window.partitionBy(*PART).orderBy("row_id")
-    edge = masked.groupBy(*PART).agg(F.max_by(F.struct("valid_count"), "row_id").alias("_edge"))
+    edge = repaired.groupBy(*PART).agg(F.max_by(F.struct("valid_count"), "row_id").alias("_edge"))
     along = Window.partitionBy("head_id", "source_file").orderBy("block")
-    carry = edge.select(*PART, F.lag("_edge").over(along).alias("_edge"))
-    own = F.lag(F.struct("valid_count")).over(here)
-    before = F.coalesce(own, F.col("_edge"))["valid_count"]
-    return masked.join(carry, PART).withColumn("_step", F.col("valid_count") - before)
+    carry = edge.select(*PART, F.lag("_edge").over(along)["valid_count"].alias("_edge"))
+    hidden = (F.col("count_before") == 0) & F.lag("masked").over(here)
+    before = F.when(F.col("position") == 1, F.col("_edge")).when(~F.coalesce(hidden, F.lit(False)), F.col("count_before"))
+    return repaired.join(carry, PART).withColumn("_step", F.col("valid_count") - before)
 
 
-def invalid_torque(masked: DataFrame) -> DataFrame:
+def invalid_torque(wide: DataFrame, repaired: DataFrame) -> DataFrame:
     """Per file and head: negative torque, zero torque on an increment, and
     readings more than three deviations from the mean."""
     key = ["source_file", "head_id"]
     x = F.col("torque_nm")
-    moments = masked.groupBy(*key).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"))
-    # spread the moments over the blocks of a file, so that a large file does
-    # not become one join group
-    per_block = masked.select(*PART).distinct().join(moments, key)
-    far = (F.col("_sd") > 0) & (F.abs(x - F.col("_mean")) > OUTLIER_SIGMAS * F.col("_sd"))
-    return (
-        _steps(masked)
-        .join(per_block, PART)
-        .groupBy(*key)
-        .agg(
-            C.count_if(x < 0).alias("negative"),
-            C.count_if((x == 0) & (F.col("_step") > 0)).alias("zero_on_increment"),
-            C.count_if(far).alias("outliers_gt_3sigma"),
-        )
+    long = to_readings_long(wide)
+    moments = long.groupBy(*key).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"))
+    # one row per block with the moments of all its heads: a large file does not
+    # become one join group, and the wide rows are joined, not the long ones
+    per_file = moments.groupBy("source_file").agg(
+        F.map_from_entries(F.collect_list(F.struct("head_id", F.struct("_mean", "_sd")))).alias("_moments")
+    )
+    per_block = wide.select(*BLOCK).distinct().join(per_file, "source_file")
+    known = F.col("_moments")[F.col("head_id")]
+    far = (known["_sd"] > 0) & (F.abs(x - known["_mean"]) > OUTLIER_SIGMAS * known["_sd"])
+    counted = to_readings_long(wide.join(per_block, BLOCK), "_moments").groupBy(*key).agg(
+        C.count_if(x < 0).alias("negative"), C.count_if(far).alias("outliers_gt_3sigma")
     )
+    idle = _steps(repaired).where((x == 0) & (F.col("_step") > 0))
+    zeros = idle.groupBy(*key).agg(F.count(F.lit(1)).alias("zero_on_increment"))
+    return counted.join(zeros, key, "left").na.fill(0, ["zero_on_increment"])
 
 
-def in_file_resets(masked: DataFrame) -> DataFrame:
+def in_file_resets(repaired: DataFrame) -> DataFrame:
     """Per file and head, drops of the count seen inside the file alone."""
-    return _steps(masked).groupBy("source_file", "head_id").agg(
+    return _steps(repaired).groupBy("source_file", "head_id").agg(
         C.count_if(F.col("_step") < 0).alias("in_file_resets")
     )
 
 
-def file_counter_resets(segmented: DataFrame) -> DataFrame:
+def file_counter_resets(repaired: DataFrame) -> DataFrame:
     """Per file and head, resets found with the context of all files."""
-    return segmented.groupBy("source_file", "head_id").agg(
+    return repaired.groupBy("source_file", "head_id").agg(
         C.count_if(F.col("counter_delta") < 0).alias("counter_resets")
     )
 
 
-def status_distribution(readings: DataFrame) -> DataFrame:
-    known = readings.where(F.col("status_code").isNotNull())
+def status_distribution(wide: DataFrame) -> DataFrame:
+    known = to_readings_long(wide).where(F.col("status_code").isNotNull())
     code = F.col("status_code").cast("int").alias("status_code")
     return known.groupBy("source_file", "head_id", code).agg(F.count(F.lit(1)).alias("n"))
 
 
-def unexpected_status(readings: DataFrame) -> DataFrame:
+def unexpected_status(wide: DataFrame) -> DataFrame:
     """Codes the status table does not list."""
-    return status_distribution(readings).where(~F.col("status_code").isin(*STATUS))
+    return status_distribution(wide).where(~F.col("status_code").isin(*STATUS))
 
 
-def quality_totals(wide: DataFrame, stepped: DataFrame, segmented: DataFrame) -> DataFrame:
+def quality_totals(wide: DataFrame, stepped: DataFrame, repaired: DataFrame) -> DataFrame:
     """The report for all files together, one row.
 
-    `segmented` are the masked readings with `counter_delta`; every other input
-    is the raw table, with and without steps.
+    `repaired` are the count changes with `masked` and `counter_delta`; the other
+    inputs are the raw table, without and with steps.
     """
     one = lambda table: table.select(F.struct("*")).scalar()
     files = file_times(wide).agg(
@@ -176,16 +194,16 @@ def quality_totals(wide: DataFrame, stepped: DataFrame, segmented: DataFrame) ->
         F.min("first_timestamp").alias("first_timestamp"),
         F.max("last_timestamp").alias("last_timestamp"),
     )
-    empty = missing_cells(segmented).agg(
+    empty = missing_cells(wide, repaired).agg(
         F.sum("missing_cells").alias("missing_cells_total"),
         (F.sum("missing_cells") * 100.0 / F.sum("cells")).alias("missing_pct_overall"),
         F.sum("masked_counts").alias("corrupted_rows_masked_total"),
     )
-    torque = invalid_torque(segmented).agg(
+    torque = invalid_torque(wide, repaired).agg(
         F.sum("negative").alias("negative_torque_total"), F.sum("outliers_gt_3sigma").alias("torque_outliers_total")
     )
-    resets = file_counter_resets(segmented).agg(F.sum("counter_resets").alias("counter_resets_total"))
-    odd = unexpected_status(segmented).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_status_total"))
+    resets = file_counter_resets(repaired).agg(F.sum("counter_resets").alias("counter_resets_total"))
+    odd = unexpected_status(wide).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_status_total"))
     zeros = trailing_zero_rows(wide).agg(F.sum("trailing_zero_rows").alias("trailing_zero_rows_total"))
     gaps = sampling_gaps(stepped).agg(
         F.count(F.lit(1)).alias("n_gaps"), F.countDistinct("source_file").alias("files_with_gaps")
@@ -197,12 +215,12 @@ def quality_totals(wide: DataFrame, stepped: DataFrame, segmented: DataFrame) ->
     return row.select(*[f"{n}.*" for n in names])
 
 
-def status_totals(readings: DataFrame) -> DataFrame:
-    return status_distribution(readings).groupBy("status_code").agg(F.sum("n").alias("n"))
+def status_totals(wide: DataFrame) -> DataFrame:
+    return status_distribution(wide).groupBy("status_code").agg(F.sum("n").alias("n"))
 
 
-def resets_per_head(segmented: DataFrame) -> DataFrame:
-    return file_counter_resets(segmented).groupBy("head_id").agg(F.sum("counter_resets").alias("counter_resets"))
+def resets_per_head(repaired: DataFrame) -> DataFrame:
+    return file_counter_resets(repaired).groupBy("head_id").agg(F.sum("counter_resets").alias("counter_resets"))
 
 
 def ingest_breakdowns(events: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spindle.constants import FALLBACK_INTERVAL_SECONDS, GAP_FACTOR, HEAD_COLUMN, HEAD_FIELDS
 from spindle.functions import columns as C
 from spindle.plans.distribution import duration_band, exact_quantiles
-from spindle.plans.slices import UP_TO_HERE
+from spindle.plans.slices import BEFORE_HERE, UP_TO_HERE
 
 BLOCK = ["source_file", "block"]
 
@@ -120,12 +120,13 @@ def intervals(wide: DataFrame, edges: DataFrame, *names: str) -> DataFrame:
 
 def with_steps(wide: DataFrame) -> DataFrame:
     """Add to every raw row: `step` and `step_in_file` in seconds, the medians of
-    its file, `file_seq`, the position of the file among all files with rows, and
-    `is_gap`, a step of more than twice the median."""
+    its file, `file_seq`, the position of the file among all files with rows,
+    `block_rows`, the length of its block, and `is_gap`, a step of more than
+    twice the median."""
     edges = block_edges(wide)
     medians = ("median_with_boundary", "median_in_file")
     context = edges.join(intervals(wide, edges, *medians), "source_file").select(
-        *BLOCK, "file_seq", "previous_at", "file_first", *medians
+        *BLOCK, "file_seq", F.col("rows").alias("block_rows"), "previous_at", "file_first", *medians
     )
     at = C.micros("timestamp")
     previous = F.coalesce(F.lag(at).over(_in_block()), "previous_at")
@@ -143,3 +144,44 @@ def with_steps(wide: DataFrame) -> DataFrame:
         )
         .drop("previous_at", "file_first", "_starts")
     )
+
+
+def count_changes(stepped: DataFrame) -> DataFrame:
+    """The readings at which the count of a head changes, in long form.
+
+    A count that repeats the last known one can neither be an increment nor a
+    reset. All heads of a raw row are compared in one window over the wide rows,
+    and only the rest is unfolded: production makes few changes per row. Kept
+    besides changes are the first and last row of each block and a missing value
+    right after a zero, so that runs of zeros keep their ends.
+
+    `position` counts the rows of the block, `count_before` is the count one row
+    earlier in the block.
+    """
+    heads = complete_heads(stepped.columns)
+    here = _in_block()
+    past = here.rowsBetween(*BEFORE_HERE)
+    counts = {h: field(h, "Count") for h in heads}
+    rows = stepped.withColumn("position", F.row_number().over(here)).withColumns(
+        {f"_lag_{h}": F.lag(c).over(here) for h, c in counts.items()}
+        | {f"_known_{h}": F.last(c, ignorenulls=True).over(past) for h, c in counts.items()}
+    )
+    edge = (F.col("position") == 1) | (F.col("position") == F.col("block_rows"))
+
+    def reading(h):
+        count, known = counts[h], F.col(f"_known_{h}")
+        changed = count.isNotNull() & (known.isNull() | (count != known))
+        lost = count.isNull() & (F.col(f"_lag_{h}") == 0)
+        present = F.array_contains("file_heads", h) if "file_heads" in stepped.columns else F.lit(True)
+        values = F.struct(
+            F.lit(h).alias("head_id"),
+            count.alias("count"),
+            field(h, "AppTorque").alias("torque_nm"),
+            field(h, "Status").alias("status_code"),
+            F.col(f"_lag_{h}").alias("count_before"),
+        )
+        return F.when(present & (edge | changed | lost), values)
+
+    kept = F.array_compact(F.array(*[reading(h) for h in heads]))
+    keep = [*BLOCK, "row_id", "timestamp", "file_seq", "block_rows", "position", "is_gap"]
+    return rows.select(*keep, F.explode(kept).alias("_r")).select(*keep, "_r.*")

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.constants import EVENT_COLUMNS
-from spindle.operators.counters import counter_deltas, mask_corrupted_counts, reset_segments
 from spindle.operators.events import derive_speed, enrich_status
 from spindle.operators.idle import idle_periods
+from spindle.operators.ingest import repair
 from spindle.operators.readings import to_readings_long, with_steps
 from spindle.session import configure
 from spindle.sources.tables import stored
@@ -75,14 +75,13 @@ def idle_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw readings in long form, with the gap flag of their row."""
+    """All raw readings in long form, with the gap flag of their row."""
     return to_readings_long(with_steps(raw_wide(spark, folder)), "file_seq", "is_gap")
 
 
 def repaired(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings with masked counts, deltas and reset segments."""
-    build = lambda: reset_segments(counter_deltas(mask_corrupted_counts(readings(spark, folder))))
-    return stored(spark, folder, "repaired_readings", build)
+    """Count changes with masked counts and deltas."""
+    return stored(spark, folder, "repaired_changes", lambda: repair(raw_wide(spark, folder)))
 
 
 def raw_wide(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,6 +39,7 @@ def ingest_stream(
     configure(spark)
     names = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", CSV_FILES)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -90,15 +91,15 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     if wide.isEmpty():
         return
     context = wide if before is None else wide.unionByName(_state_rows(wide, *before), allowMissingColumns=True)
-    repaired = _materialise(spark, _with_past_segments(repair(context), before), output, "_stage/readings", number)
-    settled = _settled(repaired)
+    settled = _settled(_materialise(spark, repair(context), output, "_stage/changes", number))
+    moved = _with_past_segments(counters.reset_segments(settled), before)
 
-    found = events.enrich_status(counters.detect_closures(repaired.where(F.col("source_file") != STATE_FILE)))
+    found = events.enrich_status(counters.detect_closures(moved.where(F.col("source_file") != STATE_FILE)))
     timed = _speed(events.dedupe_events(found), before).withColumn("source_file", base_name())
     timed.select(*EVENT_SCHEMA.fieldNames()).write.mode("overwrite").option("compression", "zstd").parquet(
         _folder(output, tables.CLOSURE_EVENTS, number)
     )
-    _resets(settled, before).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
+    _resets(moved, before).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
 
     runs = _materialise(spark, _idle_runs(wide, before), output, "_stage/idle", number)
     n_files = wide.select("source_file").distinct().count()
@@ -139,12 +140,12 @@ def _state_rows(wide: DataFrame, heads: DataFrame, machine: DataFrame) -> DataFr
     )
 
 
-def _with_past_segments(repaired: DataFrame, before) -> DataFrame:
+def _with_past_segments(moved: DataFrame, before) -> DataFrame:
     if before is None:
-        return repaired
+        return moved
     past = F.broadcast(before[0].select("head_id", F.col("segments").alias("_past")))  # MAX_HEAD_IDS rows
     total = F.col("segment_id") + F.coalesce("_past", F.lit(0))
-    return repaired.join(past, "head_id", "left").withColumn("segment_id", total).drop("_past")
+    return moved.join(past, "head_id", "left").withColumn("segment_id", total).drop("_past")
 
 
 def _settled(repaired: DataFrame) -> DataFrame:
@@ -159,10 +160,10 @@ def _settled(repaired: DataFrame) -> DataFrame:
     return repaired.join(last, "head_id").withColumn("is_open", F.col("undecided") & after).drop("_settled")
 
 
-def _resets(settled: DataFrame, before) -> DataFrame:
+def _resets(moved: DataFrame, before) -> DataFrame:
     """Resets that are certain by now. One that began in an earlier batch is
     logged with the time and file at which its zeros began."""
-    log = counters.counter_resets(settled.where(~F.col("is_open")))
+    log = counters.counter_resets(moved.where(~F.col("is_open")))
     if before is None:
         return log.withColumn("source_file", base_name())
     began = F.broadcast(before[0].select("head_id", "open_at", "open_file"))  # MAX_HEAD_IDS rows
@@ -217,9 +218,8 @@ def _write_state(wide, settled, timed, open_run, before, output, number, last_fi
     per_head = settled.groupBy("head_id").agg(
         F.max_by("valid_count", F.when(known & ~F.col("is_open"), order)).alias("_valid"),
         first_open.alias("_open"),
-        F.max("segment_id").alias("_segment"),
-        F.max_by("is_open", order).alias("_ends_open"),
-        F.bool_or(F.col("is_open") & (F.col("counter_delta") < 0)).alias("_counted"),
+        # the reset of an open run is not certain, so it is not counted yet
+        F.count(F.when((F.col("counter_delta") < 0) & ~F.col("is_open"), 1)).alias("_resets"),
         F.max("file_seq").alias("_seq"),
     )
     # a head missing from the newest file starts afresh, as in the batch ingest
@@ -227,10 +227,11 @@ def _write_state(wide, settled, timed, open_run, before, output, number, last_fi
         timed.groupBy("head_id").agg(F.max("timestamp").alias("_event")), "head_id", "left"
     )
     if before is not None:
-        past = before[0].select("head_id", "last_event", "open_at", "open_file")
+        past = before[0].select("head_id", "segments", "last_event", "open_at", "open_file")
     else:
         past = heads.select("head_id").limit(0).select(
             "head_id",
+            F.lit(0).cast("long").alias("segments"),
             F.lit(None).cast("timestamp_ntz").alias("last_event"),
             F.lit(None).cast("timestamp_ntz").alias("open_at"),
             F.lit(None).cast("string").alias("open_file"),
@@ -249,8 +250,7 @@ def _write_state(wide, settled, timed, open_run, before, output, number, last_fi
             F.when(is_open & carried, F.col("open_file"))
             .when(is_open, base_name("_open.source_file"))
             .alias("open_file"),
-            # the reset of an open run is not certain, so it is not counted yet
-            (F.col("_segment") - F.col("_counted").cast("int")).alias("segments"),
+            (F.coalesce("segments", F.lit(0)) + F.col("_resets")).alias("segments"),
             F.coalesce("_event", "last_event").alias("last_event"),
         )
         .write.mode("overwrite")
@@ -300,7 +300,7 @@ def finish_resets(spark: SparkSession, output: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, output: str) -> DataFrame:
     """The event table written so far."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(f"{output.rstrip('/')}/{tables.CLOSURE_EVENTS}")
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{output.rstrip('/')}/{tables.CLOSURE_EVENTS}").drop(BATCH)
 
 
 def ingest_statistics(spark: SparkSession, output: str) -> DataFrame:

@@ -25,11 +25,12 @@ def staged(spark, df, path):
 def repaired(spark, files, folder):
     wide = staged(spark, read_wide_csv(spark, write(files, folder)).wide, folder / "_wide")
     done = staged(spark, repair(wide), folder / "_repaired")
-    return wide, done.withColumn("source_file", base_name())
+    named = lambda df: df.withColumn("source_file", base_name())
+    return named(wide), named(done)
 
 
 def events_of(done):
-    rows = counters.detect_closures(done).collect()
+    rows = counters.detect_closures(counters.reset_segments(done)).collect()
     return [(r.timestamp, r.head_id, r.segment_id, r.counter, r.counter_delta, r.data_quality, r.source_file) for r in rows]
 
 
@@ -37,8 +38,8 @@ def found(spark, files, folder):
     wide, done = repaired(spark, files, folder)
     return {
         "events": sorted(events_of(done)),
-        "resets": sorted(tuple(r) for r in counters.counter_resets(done).collect()),
-        "masked": done.where("masked").count(),
+        "resets": sorted(tuple(r) for r in counters.counter_resets(counters.reset_segments(done)).collect()),
+        "masked": quality.masked_rows(done).agg(F.coalesce(F.sum("masked_counts"), F.lit(0))).first()[0],
         "idle": sorted(tuple(r) for r in idle.idle_periods(wide).collect()),
     }
 
@@ -147,7 +148,7 @@ def test_quality_by_hand(spark, tmp_path, small_blocks):
         wide, done = repaired(spark, files, tmp_path / f"q{seed}")
         stepped = readings.with_steps(wide)
         rows = sum(len(f.rows) for f in files)
-        total = quality.quality_totals(wide, stepped, done.withColumn("source_file", F.col("source_file"))).first()
+        total = quality.quality_totals(wide, stepped, done).first()
         assert total.total_rows == rows and total.files_processed == 3
         got = account(files)
         assert total.corrupted_rows_masked_total == got["masked"]
