@@ -230,7 +230,7 @@ register(
 )
 register(
     "sampling_gaps",
-    lambda s, d: quality.sampling_gaps(readings.with_steps(raw(s, d))),
+    lambda s, d: quality.sampling_gaps(samples.stepped(s, d)),
     CLOCK,
     """SELECT source_file, step_in_file AS gap_seconds,
          make_timestamp(epoch_us("timestamp") - CAST(round(step_in_file * 1e6) AS BIGINT)) AS starts_after, "timestamp" AS ends_at
@@ -239,7 +239,7 @@ register(
 )
 register(
     "file_times",
-    lambda s, d: quality.file_times(raw(s, d)).drop("file_seq"),
+    lambda s, d: quality.file_times(samples.stepped(s, d)),
     CLOCK,
     """SELECT source_file, count(*) AS rows, min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp,
          (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1e6 AS duration_seconds, any_value(in_file) AS median_interval_s
@@ -248,7 +248,7 @@ register(
 )
 register(
     "boundary_gaps",
-    lambda s, d: quality.boundary_gaps(raw(s, d)),
+    lambda s, d: quality.boundary_gaps(samples.stepped(s, d)),
     CLOCK,
     """SELECT prev_file, source_file AS next_file, prev_end, "timestamp" AS next_start, step AS gap_seconds FROM
        (SELECT *, lag(source_file) OVER (ORDER BY row_id) AS prev_file, lag("timestamp") OVER (ORDER BY row_id) AS prev_end FROM clock)
@@ -307,8 +307,7 @@ register(
 
 
 def _totals(spark, folder):
-    wide = raw(spark, folder)
-    return quality.quality_totals(wide, readings.with_steps(wide), repaired(spark, folder))
+    return quality.quality_totals(samples.stepped(spark, folder), repaired(spark, folder))
 
 
 _TOTALS = f"""SELECT (SELECT count(DISTINCT source_file) FROM raw) AS files_processed, (SELECT count(*) FROM raw) AS total_rows,
@@ -366,7 +365,7 @@ register(
 )
 register(
     "flag_gap_rows",
-    lambda s, d: readings.with_steps(raw(s, d)).select("row_id", "step", "is_gap"),
+    lambda s, d: samples.stepped(s, d).select("row_id", "step", "is_gap"),
     CLOCK,
     "SELECT row_id, step, is_gap FROM clock",
     "step",
@@ -402,7 +401,7 @@ register(
 )
 register(
     "idle_runs_per_file",
-    lambda s, d: idle.idle_runs_table(idle.idle_runs_per_file(raw(s, d))).drop("file_seq"),
+    lambda s, d: idle.idle_runs_table(idle.idle_runs_per_file(samples.stepped(s, d))).drop("file_seq"),
     IDLE,
     """SELECT make_timestamp(min(us)) AS start_time, make_timestamp(max(us)) AS end_time, count(*) AS n_rows,
          bool_or(file_first) AS touches_start, bool_or(file_last) AS touches_end, (max(us) - min(us)) / 1e6 AS duration_seconds
@@ -411,14 +410,14 @@ register(
 )
 register(
     "merge_runs_across_files",
-    lambda s, d: idle.idle_runs_table(idle.merge_runs_across_files(idle.idle_runs_per_file(raw(s, d)))).select(
+    lambda s, d: idle.idle_runs_table(idle.merge_runs_across_files(idle.idle_runs_per_file(samples.stepped(s, d)))).select(
         "start_time", "end_time", "n_rows", "duration_seconds"
     ),
     IDLE,
     "SELECT start_time, end_time, n_rows, duration_seconds FROM idle_merged",
     "duration_seconds",
 )
-register("idle_periods", lambda s, d: idle.idle_periods(raw(s, d)), IDLE, "SELECT * FROM idle", "duration_seconds")
+register("idle_periods", lambda s, d: idle.idle_periods(samples.stepped(s, d)), IDLE, "SELECT * FROM idle", "duration_seconds")
 
 # --- whole ingests ----------------------------------------------------------------------------------
 

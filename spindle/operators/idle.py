@@ -13,7 +13,7 @@ from spindle.constants import (
     IDLE_MIN_SECONDS,
 )
 from spindle.functions import columns as C
-from spindle.operators.readings import BLOCK, block_edges, complete_heads, field, intervals
+from spindle.operators.readings import BLOCK, complete_heads, field
 from spindle.plans.slices import UP_TO_HERE
 
 RUN = ["file_seq", "last_file_seq", "start_at", "end_at", "n_rows", "touches_start", "touches_end"]
@@ -33,35 +33,29 @@ def _paused(step: Column) -> Column:
     return F.coalesce((typical > 0) & (step > GAP_FACTOR * typical), F.lit(False))
 
 
-def _fragments(wide: DataFrame) -> DataFrame:
+def _fragments(stepped: DataFrame) -> DataFrame:
     """Idle runs inside each block, cut where sampling paused."""
-    edges = block_edges(wide)
-    typical = intervals(wide, edges, "median_positive")
-    context = edges.join(typical, "source_file").select(
-        *BLOCK, "seq", "file_seq", "file_first", "file_last", "rows", "median_positive"
+    same = ["block_seq", "file_seq", "file_first", "file_last", "block_rows", "median_positive"]
+    rows = stepped.select(
+        *BLOCK, "position", "step_in_file", *same, C.micros("timestamp").alias("_at"), all_heads_idle(stepped).alias("_idle")
     )
-    rows = wide.select(
-        *BLOCK, "row_id", C.micros("timestamp").alias("_at"), all_heads_idle(wide).alias("_idle")
-    ).join(context, BLOCK)
-    here = Window.partitionBy(*BLOCK).orderBy("row_id")
-    step = (F.col("_at") - F.lag("_at").over(here)) / 1e6
+    here = Window.partitionBy(*BLOCK).orderBy("position")
     changes = F.coalesce(F.lag("_idle").over(here) != F.col("_idle"), F.lit(False))
-    cut = (changes | _paused(step)).cast("int")
-    rows = rows.withColumns({"_cut": cut, "_rn": F.row_number().over(here)})
+    cut = changes | ((F.col("position") > 1) & _paused(F.col("step_in_file")))
+    rows = rows.withColumn("_cut", cut.cast("int"))
     rows = rows.withColumn("_run", F.sum("_cut").over(here.rowsBetween(*UP_TO_HERE)))
-    same = ["seq", "file_seq", "file_first", "file_last", "median_positive"]
     return (
         rows.where(F.col("_idle"))
         .groupBy(*BLOCK, "_run")
         .agg(
-            F.min_by("_at", "row_id").alias("start_at"),
-            F.max_by("_at", "row_id").alias("end_at"),
+            F.min_by("_at", "position").alias("start_at"),
+            F.max_by("_at", "position").alias("end_at"),
             F.count(F.lit(1)).alias("n_rows"),
-            (F.min("_rn") == 1).alias("touches_start"),
-            (F.max("_rn") == F.max("rows")).alias("touches_end"),
+            (F.min("position") == 1).alias("touches_start"),
+            (F.max("position") == F.max("block_rows")).alias("touches_end"),
             *[F.max(c).alias(c) for c in same],
         )
-        .withColumns({"_order": F.struct("seq", "_run"), "last_file_seq": F.col("file_seq")})
+        .withColumns({"_order": F.struct("block_seq", "_run"), "last_file_seq": F.col("file_seq")})
     )
 
 
@@ -89,18 +83,18 @@ def _times(runs: DataFrame) -> DataFrame:
     ).withColumn("duration_seconds", (F.col("end_at") - F.col("start_at")) / 1e6)
 
 
-def idle_runs_per_file(wide: DataFrame) -> DataFrame:
+def idle_runs_per_file(stepped: DataFrame) -> DataFrame:
     """Idle runs of each file and whether they touch its first or last row.
 
     Runs are found inside each block; those touching a block edge, at most two
     per block, are then joined along the file.
     """
-    fragments = _fragments(wide)
+    fragments = _fragments(stepped)
     inner = fragments.where(~F.col("touches_start") & ~F.col("touches_end"))
     edge = fragments.where(F.col("touches_start") | F.col("touches_end"))
     along = Window.partitionBy("file_seq").orderBy("_order")
     step = (F.col("start_at") - F.lag("end_at").over(along)) / 1e6
-    follows = (F.lag("seq").over(along) == F.col("seq") - 1) & F.lag("touches_end").over(along)
+    follows = (F.lag("block_seq").over(along) == F.col("block_seq") - 1) & F.lag("touches_end").over(along)
     edge = edge.withColumn("_joins", F.col("touches_start") & follows & ~_paused(step))
     # from here on "touches" refers to the file
     whole_file = {
@@ -132,8 +126,8 @@ def long_runs(runs: DataFrame) -> DataFrame:
     return _times(runs).where(long_enough).select("start_time", "end_time", "duration_seconds")
 
 
-def idle_periods(wide: DataFrame) -> DataFrame:
-    return long_runs(merge_runs_across_files(idle_runs_per_file(wide)))
+def idle_periods(stepped: DataFrame) -> DataFrame:
+    return long_runs(merge_runs_across_files(idle_runs_per_file(stepped)))
 
 
 def idle_runs_table(runs: DataFrame) -> DataFrame:

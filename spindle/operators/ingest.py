@@ -24,10 +24,9 @@ def base_name(path: str = "source_file"):
     return F.element_at(F.split(path, "/"), -1)
 
 
-def repair(wide: DataFrame) -> DataFrame:
-    """Raw rows to count changes with masked counts and deltas."""
-    changes = readings.count_changes(readings.with_steps(wide))
-    return counters.counter_deltas(counters.mask_corrupted_counts(changes))
+def repair(stepped: DataFrame) -> DataFrame:
+    """Raw rows with steps to count changes with masked counts and deltas."""
+    return counters.counter_deltas(counters.mask_corrupted_counts(readings.count_changes(stepped)))
 
 
 def closure_events(repaired: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,18 +44,18 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
     """
     archive = read_wide_csv(spark, path)
     staged = lambda name, df: _stage(spark, name, df)
-    wide = staged("raw_rows", archive.wide)
-    repaired = staged("repaired_changes", repair(wide))
+    # two scans of the CSV files: one for the sampling steps, one for the rows
+    rows = staged("raw_rows", readings.with_steps(archive.wide))
+    repaired = staged("repaired_changes", repair(rows))
 
     found, duplicates = closure_events(repaired)
     tables.write_closure_events(found, output)
-    tables.write_idle_periods(idle.idle_periods(wide), output)
+    tables.write_idle_periods(idle.idle_periods(rows), output)
     stored = tables.load_closure_events(spark, output)
 
-    stepped = readings.with_steps(wide)
     named = lambda df: df.withColumn("source_file", base_name())
     one = lambda df: df.select(F.struct("*")).scalar()
-    totals = quality.quality_totals(wide, stepped, repaired)
+    totals = quality.quality_totals(rows, repaired)
     removed = duplicates.agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("duplicate_events_removed_total"))
     rejected = archive.errors.agg(F.count(F.lit(1)).alias("schema_errors"))
     report = {
@@ -65,16 +64,16 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
         "schema_errors": archive.errors,
         "schema_warnings": archive.warnings,
         "bad_timestamps": named(archive.bad_timestamps),
-        "file_quality": named(quality.file_times(wide)),
-        "missing_cells": named(quality.missing_cells(wide, repaired)),
-        "trailing_zero_rows": named(quality.trailing_zero_rows(wide)),
-        "sampling_gaps": named(quality.sampling_gaps(stepped)),
-        "boundary_gaps": quality.boundary_gaps(wide).withColumns(
+        "file_quality": named(quality.file_times(rows)),
+        "missing_cells": named(quality.missing_cells(rows, repaired)),
+        "trailing_zero_rows": named(quality.trailing_zero_rows(rows)),
+        "sampling_gaps": named(quality.sampling_gaps(rows)),
+        "boundary_gaps": quality.boundary_gaps(rows).withColumns(
             {"prev_file": base_name("prev_file"), "next_file": base_name("next_file")}
         ),
-        "invalid_torque": named(quality.invalid_torque(wide, repaired)),
-        "status_distribution": named(quality.status_distribution(wide)),
-        "unexpected_status": named(quality.unexpected_status(wide)),
+        "invalid_torque": named(quality.invalid_torque(rows, repaired)),
+        "status_distribution": named(quality.status_distribution(rows)),
+        "unexpected_status": named(quality.unexpected_status(rows)),
         "counter_resets": named(counters.counter_resets(counters.reset_segments(repaired))),
         "file_counter_resets": named(quality.file_counter_resets(repaired)),
         "duplicates_removed": duplicates,

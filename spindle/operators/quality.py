@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindle.constants import FALLBACK_INTERVAL_SECONDS, GAP_FACTOR, STATUS
 from spindle.functions import columns as C
-from spindle.operators.readings import BLOCK, block_edges, complete_heads, field, intervals, to_readings_long
+from spindle.operators.readings import BLOCK, complete_heads, field, to_readings_long
 from spindle.plans.slices import BEFORE_HERE
 
 PART = ["head_id", *BLOCK]
@@ -44,19 +44,17 @@ def trailing_zero_rows(wide: DataFrame) -> DataFrame:
     )
 
 
-def file_times(wide: DataFrame) -> DataFrame:
+def file_times(stepped: DataFrame) -> DataFrame:
     """Per file: rows, span and median sampling interval."""
-    edges = block_edges(wide)
-    per_file = edges.groupBy("source_file").agg(
-        F.sum("rows").alias("rows"),
-        F.min_by("first_at", "seq").alias("_first"),
-        F.max_by("last_at", "seq").alias("_last"),
-        F.min("file_seq").alias("file_seq"),
-    )
-    usual = intervals(wide, edges, "median_in_file").withColumnRenamed("median_in_file", "median_interval_s")
-    return per_file.join(usual, "source_file").select(
+    at, order = C.micros("timestamp"), F.struct("block", "row_id")
+    per_file = stepped.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min_by(at, order).alias("_first"),
+        F.max_by(at, order).alias("_last"),
+        F.max("median_in_file").alias("median_interval_s"),
+    )
+    return per_file.select(
         "source_file",
-        "file_seq",
         "rows",
         C.from_micros("_first").alias("first_timestamp"),
         C.from_micros("_last").alias("last_timestamp"),
@@ -77,19 +75,17 @@ def sampling_gaps(stepped: DataFrame) -> DataFrame:
     )
 
 
-def boundary_gaps(wide: DataFrame) -> DataFrame:
+def boundary_gaps(stepped: DataFrame) -> DataFrame:
     """Pauses between the last row of a file and the first of the next."""
-    edges = block_edges(wide)
-    usual = intervals(wide, edges, "median_in_file")
-    starts = edges.where(F.col("file_first") & F.col("previous_at").isNotNull()).join(usual, "source_file")
-    gap = (F.col("first_at") - F.col("previous_at")) / 1e6
+    step = F.col("step")
     typical = F.coalesce(F.nullif("median_in_file", F.lit(0.0)), F.lit(FALLBACK_INTERVAL_SECONDS))
-    return starts.where(gap > GAP_FACTOR * typical).select(
+    starts = stepped.where(F.col("step_in_file").isNull() & (step > GAP_FACTOR * typical))
+    return starts.select(
         F.col("previous_file").alias("prev_file"),
         F.col("source_file").alias("next_file"),
-        C.from_micros("previous_at").alias("prev_end"),
-        C.from_micros("first_at").alias("next_start"),
-        gap.alias("gap_seconds"),
+        C.from_micros(C.micros("timestamp") - F.round(step * 1e6).cast("long")).alias("prev_end"),
+        F.col("timestamp").alias("next_start"),
+        step.alias("gap_seconds"),
     )
 
 
@@ -181,37 +177,34 @@ def unexpected_status(wide: DataFrame) -> DataFrame:
     return status_distribution(wide).where(~F.col("status_code").isin(*STATUS))
 
 
-def quality_totals(wide: DataFrame, stepped: DataFrame, repaired: DataFrame) -> DataFrame:
-    """The report for all files together, one row.
-
-    `repaired` are the count changes with `masked` and `counter_delta`; the other
-    inputs are the raw table, without and with steps.
-    """
+def quality_totals(stepped: DataFrame, repaired: DataFrame) -> DataFrame:
+    """The report for all files together, one row, from the raw rows with steps
+    and the count changes with `masked` and `counter_delta`."""
     one = lambda table: table.select(F.struct("*")).scalar()
-    files = file_times(wide).agg(
+    files = file_times(stepped).agg(
         F.count(F.lit(1)).alias("files_processed"),
         F.sum("rows").alias("total_rows"),
         F.min("first_timestamp").alias("first_timestamp"),
         F.max("last_timestamp").alias("last_timestamp"),
     )
-    empty = missing_cells(wide, repaired).agg(
+    empty = missing_cells(stepped, repaired).agg(
         F.sum("missing_cells").alias("missing_cells_total"),
         (F.sum("missing_cells") * 100.0 / F.sum("cells")).alias("missing_pct_overall"),
         F.sum("masked_counts").alias("corrupted_rows_masked_total"),
     )
-    torque = invalid_torque(wide, repaired).agg(
+    torque = invalid_torque(stepped, repaired).agg(
         F.sum("negative").alias("negative_torque_total"), F.sum("outliers_gt_3sigma").alias("torque_outliers_total")
     )
     resets = file_counter_resets(repaired).agg(F.sum("counter_resets").alias("counter_resets_total"))
-    odd = unexpected_status(wide).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_status_total"))
-    zeros = trailing_zero_rows(wide).agg(F.sum("trailing_zero_rows").alias("trailing_zero_rows_total"))
+    odd = unexpected_status(stepped).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_status_total"))
+    zeros = trailing_zero_rows(stepped).agg(F.sum("trailing_zero_rows").alias("trailing_zero_rows_total"))
     gaps = sampling_gaps(stepped).agg(
         F.count(F.lit(1)).alias("n_gaps"), F.countDistinct("source_file").alias("files_with_gaps")
     )
-    edges = boundary_gaps(wide).agg(F.count(F.lit(1)).alias("boundary_gaps"))
+    edges = boundary_gaps(stepped).agg(F.count(F.lit(1)).alias("boundary_gaps"))
     parts = [files, empty, torque, resets, odd, zeros, gaps, edges]
     names = [f"_{i}" for i in range(len(parts))]
-    row = wide.sparkSession.range(1).select(*[one(p).alias(n) for p, n in zip(parts, names)])
+    row = stepped.sparkSession.range(1).select(*[one(p).alias(n) for p, n in zip(parts, names)])
     return row.select(*[f"{n}.*" for n in names])
 
 

@@ -19,6 +19,7 @@ from spindle.plans.distribution import duration_band, exact_quantiles
 from spindle.plans.slices import BEFORE_HERE, UP_TO_HERE
 
 BLOCK = ["source_file", "block"]
+MEDIANS = ["median_with_boundary", "median_in_file", "median_positive"]
 
 
 def file_order() -> Column:
@@ -92,8 +93,8 @@ def block_edges(wide: DataFrame) -> DataFrame:
     return edges.withColumn("file_seq", F.sum(F.col("file_first").cast("int")).over(along.rowsBetween(*UP_TO_HERE)))
 
 
-def intervals(wide: DataFrame, edges: DataFrame, *names: str) -> DataFrame:
-    """Median sampling interval per file, in seconds, in up to three flavours.
+def intervals(wide: DataFrame, edges: DataFrame) -> DataFrame:
+    """Median sampling interval per file, in seconds, in three flavours.
 
     `median_with_boundary` also counts the step from the file before;
     `median_in_file` does not; `median_positive` leaves out steps that do not
@@ -104,45 +105,55 @@ def intervals(wide: DataFrame, edges: DataFrame, *names: str) -> DataFrame:
     outer = edges.select(
         "source_file", (F.col("first_at") - F.col("previous_at")).alias("step"), F.col("file_first").alias("crosses")
     )
-    steps = inner.unionAll(outer).where(F.col("step").isNotNull())
-    counts = {
-        "median_with_boundary": F.lit(True),
-        "median_in_file": ~F.col("crosses"),
-        "median_positive": ~F.col("crosses") & (F.col("step") > 0),
+    in_file = ~F.col("crosses")
+    medians = {
+        "median_with_boundary": 0.5,
+        "median_in_file": (0.5, in_file),
+        "median_positive": (0.5, in_file & (F.col("step") > 0)),
     }
-    table = edges.select("source_file").distinct()
     band = duration_band(F.col("step"))
-    for name in names:
-        found = exact_quantiles(steps.where(counts[name]), ["source_file"], "step", {name: 0.5}, band)
-        table = table.join(found.withColumn(name, F.col(name) / 1e6), "source_file", "left")
-    return table
+    found = exact_quantiles(inner.unionAll(outer), ["source_file"], "step", medians, band)
+    seconds = found.select("source_file", *[(F.col(m) / 1e6).alias(m) for m in MEDIANS])
+    return edges.select("source_file").distinct().join(seconds, "source_file", "left")
 
 
 def with_steps(wide: DataFrame) -> DataFrame:
-    """Add to every raw row: `step` and `step_in_file` in seconds, the medians of
-    its file, `file_seq`, the position of the file among all files with rows,
-    `block_rows`, the length of its block, and `is_gap`, a step of more than
-    twice the median."""
+    """Raw rows with their place and their clock.
+
+    `file_seq` is the position of the file among all files with rows,
+    `block_seq` that of the block, `block_rows` its length. `step` is the time in
+    seconds since the row before, `step_in_file` is null on the first row of a
+    file. The medians are those of the file, and `is_gap` marks a step of more
+    than twice the median.
+    """
     edges = block_edges(wide)
-    medians = ("median_with_boundary", "median_in_file")
-    context = edges.join(intervals(wide, edges, *medians), "source_file").select(
-        *BLOCK, "file_seq", F.col("rows").alias("block_rows"), "previous_at", "file_first", *medians
+    context = edges.join(intervals(wide, edges), "source_file").select(
+        *BLOCK,
+        "file_seq",
+        F.col("seq").alias("block_seq"),
+        F.col("rows").alias("block_rows"),
+        "file_first",
+        "file_last",
+        "previous_file",
+        "previous_at",
+        *MEDIANS,
     )
     at = C.micros("timestamp")
-    previous = F.coalesce(F.lag(at).over(_in_block()), "previous_at")
-    file_start = F.col("file_first") & (F.row_number().over(_in_block()) == 1)
+    position = F.row_number().over(_in_block())
+    step = (at - F.coalesce(F.lag(at).over(_in_block()), "previous_at")) / 1e6
     typical = F.col("median_with_boundary")
     usual = F.when(typical > 0, typical).otherwise(FALLBACK_INTERVAL_SECONDS)
+    starts = F.col("file_first") & (F.col("position") == 1)
     return (
         wide.join(context, BLOCK)
-        .withColumns({"step": (at - previous) / 1e6, "_starts": file_start})
+        .withColumns({"position": position, "step": step})
         .withColumns(
             {
-                "step_in_file": F.when(~F.col("_starts"), F.col("step")),
+                "step_in_file": F.when(~starts, F.col("step")),
                 "is_gap": F.coalesce(F.col("step") > GAP_FACTOR * usual, F.lit(False)),
             }
         )
-        .drop("previous_at", "file_first", "_starts")
+        .drop("previous_at")
     )
 
 
@@ -162,7 +173,7 @@ def count_changes(stepped: DataFrame) -> DataFrame:
     here = _in_block()
     past = here.rowsBetween(*BEFORE_HERE)
     counts = {h: field(h, "Count") for h in heads}
-    rows = stepped.withColumn("position", F.row_number().over(here)).withColumns(
+    rows = stepped.withColumns(
         {f"_lag_{h}": F.lag(c).over(here) for h, c in counts.items()}
         | {f"_known_{h}": F.last(c, ignorenulls=True).over(past) for h, c in counts.items()}
     )

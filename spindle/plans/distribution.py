@@ -28,41 +28,49 @@ def duration_band(micros: Column) -> Column:
 
 
 def ranked_histogram(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    rank_keys: list[str] | None = None,
-    band: Column | None = None,
+    df: DataFrame, group: str, value: str, band: Column | None = None
 ) -> DataFrame:
-    """Histogram rows with `upto`, the number of rows of the rank group with a
-    value <= this one, and `upto_total`, the size of the rank group.
+    """Histogram rows with `upto`, the number of all rows with a value <= this
+    one, and `upto_total`, the number of all rows.
 
-    The rank group is `keys` unless `rank_keys` names a part of them. The values
-    are sliced at equi-depth points unless `band`, a non-decreasing function of
-    the value, is given.
+    The values are sliced at equi-depth points unless `band`, a non-decreasing
+    function of the value, is given.
     """
-    group = keys if rank_keys is None else rank_keys
-    if band is None:
-        band = slice_index(F.col(value), slice_bounds(df, F.col(value)))
-    hist = histogram(df, keys, value).withColumn(SLICE, band)
-    return running(hist, group, [value], {"upto": F.col("n")}, peers=True, totals=True)
+    hist = histogram(df, [group], value).withColumn(SLICE, _slices(df, value, band))
+    return running(hist, [], [value], {"upto": F.col("n")}, peers=True, totals=True)
+
+
+def _slices(df: DataFrame, value: str, band: Column | None) -> Column:
+    return slice_index(F.col(value), slice_bounds(df, F.col(value))) if band is None else band
 
 
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
     value: str,
-    probabilities: dict[str, float],
+    probabilities: dict[str, float | tuple[float, Column]],
     band: Column | None = None,
 ) -> DataFrame:
-    """One row per key with linearly interpolated quantiles, one column each."""
-    ranked = ranked_histogram(df, keys, value, band=band).withColumn("_before", F.col("upto") - F.col("n"))
-    last = F.col("upto_total") - 1
+    """One row per key with linearly interpolated quantiles, one column each.
+
+    A probability may come with a condition: the quantile is then taken over the
+    rows that meet it. All of them share one histogram.
+    """
+    everything = F.lit(True)
+    asked = {n: p if isinstance(p, tuple) else (p, everything) for n, p in probabilities.items()}
+    conditions = list({id(c): c for _, c in asked.values()}.values())
+    which = {n: next(i for i, c in enumerate(conditions) if c is asked[n][1]) for n in asked}
+    counts = [F.count(F.when(c, 1)).alias(f"_n{i}") for i, c in enumerate(conditions)]
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*counts)
+    hist = hist.withColumn(SLICE, _slices(df, value, band))
+    sums = {f"_upto{i}": F.col(f"_n{i}") for i in range(len(conditions))}
+    ranked = running(hist, keys, [value], sums, peers=True, totals=True)
     picks, results = [], []
-    for name, p in probabilities.items():
-        at = F.lit(p) * last
+    for name, (p, _) in asked.items():
+        i = which[name]
+        at = F.lit(p) * (F.col(f"_upto{i}_total") - 1)
         for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_before") <= index) & (index < F.col("upto"))
+            hit = (F.col(f"_upto{i}") - F.col(f"_n{i}") <= index) & (index < F.col(f"_upto{i}"))
             picks.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
         picks.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
         lo, hi, part = (F.col(f"_{name}_{s}") for s in ("lo", "hi", "part"))
@@ -73,7 +81,7 @@ def exact_quantiles(
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row per group: size `n`, sum of mid-ranks `rank_sum` over the pooled
     values, and the pooled size `n_all` and tie term `ties` on every row."""
-    ranked = ranked_histogram(df, [group], value, rank_keys=[])
+    ranked = ranked_histogram(df, group, value)
     tie = Window.partitionBy(SLICE, value)
     t = F.sum("n").over(tie).cast("double")
     n = F.col("n").cast("double")

@@ -70,18 +70,22 @@ def closure_events(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, "closure_events", build)
 
 
+def stepped(spark: SparkSession, folder: str) -> DataFrame:
+    return with_steps(raw_wide(spark, folder))
+
+
 def idle_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "idle_periods", lambda: idle_periods(raw_wide(spark, folder)))
+    return stored(spark, folder, "idle_periods", lambda: idle_periods(stepped(spark, folder)))
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """All raw readings in long form, with the gap flag of their row."""
-    return to_readings_long(with_steps(raw_wide(spark, folder)), "file_seq", "is_gap")
+    return to_readings_long(stepped(spark, folder), "file_seq", "is_gap")
 
 
 def repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Count changes with masked counts and deltas."""
-    return stored(spark, folder, "repaired_changes", lambda: repair(raw_wide(spark, folder)))
+    return stored(spark, folder, "repaired_changes", lambda: repair(stepped(spark, folder)))
 
 
 def raw_wide(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,13 +51,13 @@ def load_quality_report(spark: SparkSession, folder: str, name: str = "quality_t
 
 
 def write_closure_events(events: DataFrame, folder: str, name: str = CLOSURE_EVENTS, mode: str = "overwrite") -> str:
-    """Parquet, one folder per day. Rows are range-partitioned by day and time
-    first: a day with very many events spreads over several files, and each file
-    covers a short stretch of time, so that time filters skip most of them."""
+    """Parquet, one folder per day. Rows are rebalanced by day first: at run time
+    Spark splits a day with very many events and joins small ones, so that files
+    come out at the advisory size."""
     path = f"{folder.rstrip('/')}/{name}"
     dated = events.select(*EVENT_COLUMNS).withColumn(EVENT_DATE, F.to_date("timestamp"))
     (
-        dated.repartitionByRange(EVENT_DATE, "timestamp", "head_id")
+        dated.hint("rebalance", EVENT_DATE)
         .sortWithinPartitions(EVENT_DATE, "timestamp", "head_id")
         .write.mode(mode)
         .option("compression", "zstd")

@@ -91,7 +91,8 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     if wide.isEmpty():
         return
     context = wide if before is None else wide.unionByName(_state_rows(wide, *before), allowMissingColumns=True)
-    settled = _settled(_materialise(spark, repair(context), output, "_stage/changes", number))
+    rows = _materialise(spark, readings.with_steps(context), output, "_stage/steps", number)
+    settled = _settled(_materialise(spark, repair(rows), output, "_stage/changes", number))
     moved = _with_past_segments(counters.reset_segments(settled), before)
 
     found = events.enrich_status(counters.detect_closures(moved.where(F.col("source_file") != STATE_FILE)))
@@ -101,9 +102,8 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     )
     _resets(moved, before).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
 
-    runs = _materialise(spark, _idle_runs(wide, before), output, "_stage/idle", number)
-    n_files = wide.select("source_file").distinct().count()
-    newest = n_files + (0 if before is None else 1)
+    runs = _materialise(spark, _idle_runs(rows, before), output, "_stage/idle", number)
+    newest = rows.agg(F.max("file_seq")).scalar()
     open_run = F.col("touches_end") & (F.col("last_file_seq") == newest)
     idle.long_runs(runs.where(~open_run)).write.mode("overwrite").parquet(
         _folder(output, tables.IDLE_PERIODS, number)
@@ -190,12 +190,11 @@ def _speed(found: DataFrame, before) -> DataFrame:
     return events.derive_speed(both).where(F.col("source_file") != STATE_FILE)
 
 
-def _idle_runs(wide: DataFrame, before) -> DataFrame:
-    runs = idle.idle_runs_per_file(wide)
+def _idle_runs(rows: DataFrame, before) -> DataFrame:
+    runs = idle.idle_runs_per_file(rows)
     if before is None:
         return idle.merge_runs_across_files(runs)
-    # the open run takes the place of a file before the first one
-    later = runs.withColumns({"file_seq": F.col("file_seq") + 1, "last_file_seq": F.col("last_file_seq") + 1})
+    # the open run takes the place of the state's file, the first one
     one = F.lit(1).cast("long")
     past = before[1].where(F.col("idle_start").isNotNull()).select(
         one.alias("file_seq"),
@@ -207,7 +206,7 @@ def _idle_runs(wide: DataFrame, before) -> DataFrame:
         F.lit(True).alias("touches_end"),
         F.lit(None).cast(runs.schema["_order"].dataType).alias("_order"),
     )
-    return idle.merge_runs_across_files(later.unionByName(past))
+    return idle.merge_runs_across_files(runs.unionByName(past))
 
 
 def _write_state(wide, settled, timed, open_run, before, output, number, last_file) -> None:

@@ -23,7 +23,7 @@ def staged(spark, df, path):
 
 
 def repaired(spark, files, folder):
-    wide = staged(spark, read_wide_csv(spark, write(files, folder)).wide, folder / "_wide")
+    wide = staged(spark, readings.with_steps(read_wide_csv(spark, write(files, folder)).wide), folder / "_wide")
     done = staged(spark, repair(wide), folder / "_repaired")
     named = lambda df: df.withColumn("source_file", base_name())
     return named(wide), named(done)
@@ -146,9 +146,8 @@ def test_quality_by_hand(spark, tmp_path, small_blocks):
     for seed in (3, 4):
         files = random_archive(seed, n_files=3)
         wide, done = repaired(spark, files, tmp_path / f"q{seed}")
-        stepped = readings.with_steps(wide)
         rows = sum(len(f.rows) for f in files)
-        total = quality.quality_totals(wide, stepped, done).first()
+        total = quality.quality_totals(wide, done).first()
         assert total.total_rows == rows and total.files_processed == 3
         got = account(files)
         assert total.corrupted_rows_masked_total == got["masked"]
