@@ -143,11 +143,14 @@ def block_context(summary: DataFrame) -> DataFrame:
     # before them then also decides about them.
     closing = F.col("closes_zero")
     masked = _masks(F.col("_close.v"), F.col("close_after"))
-    undecided = F.col("_close.edge") & F.col("close_after").isNotNull()
+    # no later count is known: more data may yet mask these zeros
+    open_end = F.col("at_file_end") & F.col("close_after").isNull()
+    undecided = F.col("_close.edge") & (F.col("close_after").isNotNull() | F.col("at_file_end"))
+    kept = masked | F.coalesce(open_end & (F.col("_close.v") > 0), F.lit(False))
     left = (
         F.when(F.col("last_known") != 0, F.col("last_known"))
         .when(F.col("last_known").isNotNull() & ~closing, F.lit(0.0))
-        .when(closing & ~undecided, F.when(masked, F.col("_close.v")).otherwise(F.lit(0.0)))
+        .when(closing & ~undecided, F.when(kept, F.col("_close.v")).otherwise(F.lit(0.0)))
     )
     t = t.withColumn("_left", left)
     t = t.withColumn("_carried", F.last("_left", ignorenulls=True).over(era))

@@ -24,6 +24,8 @@ from spindle.sources import tables
 from spindle.sources.raw_csv import CSV_FILES, read_wide_csv
 
 STATE_FILE = ""  # sorts before every path
+STATE = ("heads", "machine", "waiting")
+WAITING = ("head_id", "valid_count", "segments", "open_at", "open_file")
 BATCH = "batch"
 
 
@@ -65,8 +67,8 @@ def _folder(output: str, name: str, number: int) -> str:
     return f"{output.rstrip('/')}/{name}/{BATCH}={number}"
 
 
-def _state(spark: SparkSession, output: str, number: int) -> tuple[DataFrame, DataFrame] | None:
-    """State left by the newest batch before this one."""
+def _state(spark: SparkSession, output: str, number: int) -> tuple[DataFrame, ...] | None:
+    """State left by the newest batch before this one: heads, machine, waiting."""
     try:
         machine = spark.read.parquet(f"{output.rstrip('/')}/_state/machine")
     except Exception as missing:
@@ -76,8 +78,7 @@ def _state(spark: SparkSession, output: str, number: int) -> tuple[DataFrame, Da
     last = machine.where(F.col(BATCH) < number).agg(F.max(BATCH)).first()[0]
     if last is None:
         return None
-    heads = spark.read.parquet(_folder(output, "_state/heads", last))
-    return heads, spark.read.parquet(_folder(output, "_state/machine", last))
+    return tuple(spark.read.parquet(_folder(output, f"_state/{name}", last)) for name in STATE)
 
 
 def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int) -> None:
@@ -90,7 +91,7 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     wide = _materialise(spark, read_wide_csv(spark, paths).wide, output, "_stage/rows", number)
     if wide.isEmpty():
         return
-    context = wide if before is None else wide.unionByName(_state_rows(wide, *before), allowMissingColumns=True)
+    context = wide if before is None else wide.unionByName(_state_rows(wide, *before[:2]), allowMissingColumns=True)
     rows = _materialise(spark, readings.with_steps(context), output, "_stage/steps", number)
     settled = _settled(_materialise(spark, repair(rows), output, "_stage/changes", number))
     moved = _with_past_segments(counters.reset_segments(settled), before)
@@ -100,7 +101,11 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     timed.select(*EVENT_SCHEMA.fieldNames()).write.mode("overwrite").option("compression", "zstd").parquet(
         _folder(output, tables.CLOSURE_EVENTS, number)
     )
-    _resets(moved, before).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
+    resolved, waiting = _waiting(settled, before, readings.complete_heads(wide.columns))
+    log = _resets(moved, before)
+    if resolved is not None:
+        log = log.unionByName(resolved)
+    log.write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
 
     runs = _materialise(spark, _idle_runs(rows, before), output, "_stage/idle", number)
     newest = rows.agg(F.max("file_seq")).scalar()
@@ -108,7 +113,7 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     idle.long_runs(runs.where(~open_run)).write.mode("overwrite").parquet(
         _folder(output, tables.IDLE_PERIODS, number)
     )
-    _write_state(wide, settled, timed, runs.where(open_run), before, output, number, paths[-1])
+    _write_state(wide, settled, timed, runs.where(open_run), waiting, before, output, number, paths[-1])
 
 
 def _materialise(spark: SparkSession, df: DataFrame, output: str, name: str, number: int) -> DataFrame:
@@ -180,6 +185,34 @@ def _resets(moved: DataFrame, before) -> DataFrame:
     )
 
 
+def _as_reset(run: DataFrame) -> DataFrame:
+    """The reset that an undecided run of zeros turns out to be."""
+    return run.select(
+        F.col("open_at").alias("timestamp"),
+        "head_id",
+        F.col("valid_count").alias("previous_count"),
+        F.lit(0.0).alias("new_count"),
+        F.col("segments").alias("segment_before"),
+        (F.col("segments") + 1).alias("segment_after"),
+        F.col("open_file").alias("source_file"),
+    )
+
+
+def _waiting(settled: DataFrame, before, heads: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Undecided runs of heads that later files left out. The first count the
+    head reports again decides: returns the resets found so, and what still
+    waits."""
+    if before is None:
+        return None, None
+    counted = (F.col("count") != 0) & (F.col("source_file") != STATE_FILE)
+    order = F.struct("file_seq", "block", "row_id")
+    first = settled.groupBy("head_id").agg(F.min_by("count", F.when(counted, order)).alias("_first"))
+    absent = before[0].where(F.col("is_open") & ~F.col("head_id").isin(*heads))
+    runs = before[2].select(*WAITING).unionByName(absent.select(*WAITING)).join(first, "head_id", "left")
+    resets = _as_reset(runs.where(F.col("_first") < F.col("valid_count")))
+    return resets, runs.where(F.col("_first").isNull()).drop("_first")
+
+
 def _speed(found: DataFrame, before) -> DataFrame:
     if before is None:
         return events.derive_speed(found)
@@ -204,12 +237,12 @@ def _idle_runs(rows: DataFrame, before) -> DataFrame:
         F.col("idle_rows").alias("n_rows"),
         F.lit(False).alias("touches_start"),
         F.lit(True).alias("touches_end"),
-        F.lit(None).cast(runs.schema["_order"].dataType).alias("_order"),
+        F.struct(F.lit(-1).alias("block_seq"), F.lit(-1).alias("_run")).cast(runs.schema["_order"].dataType).alias("_order"),
     )
     return idle.merge_runs_across_files(runs.unionByName(past))
 
 
-def _write_state(wide, settled, timed, open_run, before, output, number, last_file) -> None:
+def _write_state(wide, settled, timed, open_run, waiting, before, output, number, last_file) -> None:
     order = F.struct("file_seq", "block", "row_id")
     known = F.col("valid_count").isNotNull()
     newest = settled.agg(F.max("file_seq")).scalar()
@@ -221,10 +254,7 @@ def _write_state(wide, settled, timed, open_run, before, output, number, last_fi
         F.count(F.when((F.col("counter_delta") < 0) & ~F.col("is_open"), 1)).alias("_resets"),
         F.max("file_seq").alias("_seq"),
     )
-    # a head missing from the newest file starts afresh, as in the batch ingest
-    heads = per_head.where(F.col("_seq") == newest).join(
-        timed.groupBy("head_id").agg(F.max("timestamp").alias("_event")), "head_id", "left"
-    )
+    heads = per_head.join(timed.groupBy("head_id").agg(F.max("timestamp").alias("_event")), "head_id", "left")
     if before is not None:
         past = before[0].select("head_id", "segments", "last_event", "open_at", "open_file")
     else:
@@ -237,24 +267,25 @@ def _write_state(wide, settled, timed, open_run, before, output, number, last_fi
         )
     is_open = F.col("_open").isNotNull()
     carried = F.col("_open.source_file") == STATE_FILE
-    (
-        heads.join(past, "head_id", "left")
-        .select(
-            "head_id",
-            F.col("_valid").alias("valid_count"),
-            is_open.alias("is_open"),
-            F.when(is_open & carried, F.col("open_at"))
-            .when(is_open, F.col("_open.timestamp"))
-            .alias("open_at"),
-            F.when(is_open & carried, F.col("open_file"))
-            .when(is_open, base_name("_open.source_file"))
-            .alias("open_file"),
-            (F.coalesce("segments", F.lit(0)) + F.col("_resets")).alias("segments"),
-            F.coalesce("_event", "last_event").alias("last_event"),
-        )
-        .write.mode("overwrite")
-        .parquet(_folder(output, "_state/heads", number))
+    table = heads.join(past, "head_id", "left").select(
+        "head_id",
+        F.col("_valid").alias("valid_count"),
+        is_open.alias("is_open"),
+        F.when(is_open & carried, F.col("open_at")).when(is_open, F.col("_open.timestamp")).alias("open_at"),
+        F.when(is_open & carried, F.col("open_file"))
+        .when(is_open, base_name("_open.source_file"))
+        .alias("open_file"),
+        (F.coalesce("segments", F.lit(0)) + F.col("_resets")).alias("segments"),
+        F.coalesce("_event", "last_event").alias("last_event"),
+        (F.col("_seq") == newest).alias("_current"),
     )
+    table = _materialise(wide.sparkSession, table, output, "_stage/heads", number)
+    # a head missing from the newest file starts afresh, as in the batch ingest
+    table.where("_current").drop("_current").write.mode("overwrite").parquet(_folder(output, "_state/heads", number))
+    left = table.where(~F.col("_current") & F.col("is_open")).select(*WAITING)
+    if waiting is not None:
+        left = left.unionByName(waiting.select(*WAITING))
+    left.write.mode("overwrite").parquet(_folder(output, "_state/waiting", number))
     last_row = F.struct(readings.file_order(), "block", "row_id")
     pending = open_run.agg(
         F.max("start_at").alias("idle_start"), F.max("end_at").alias("idle_end"), F.max("n_rows").alias("idle_rows")
@@ -283,18 +314,10 @@ def finish_resets(spark: SparkSession, output: str) -> DataFrame:
     """All resets so far, counting runs of zeros still open as resets."""
     root = output.rstrip("/")
     log = spark.read.parquet(f"{root}/counter_resets").drop(BATCH)
-    heads = spark.read.parquet(f"{root}/_state/heads")
-    newest = heads.where(F.col(BATCH) == heads.agg(F.max(BATCH)).scalar()).where("is_open")
-    still = newest.select(
-        F.col("open_at").alias("timestamp"),
-        "head_id",
-        F.col("valid_count").alias("previous_count"),
-        F.lit(0.0).alias("new_count"),
-        F.col("segments").alias("segment_before"),
-        (F.col("segments") + 1).alias("segment_after"),
-        F.col("open_file").alias("source_file"),
-    )
-    return log.unionByName(still)
+    last = spark.read.parquet(f"{root}/_state/machine").agg(F.max(BATCH)).scalar()
+    newest = lambda name: spark.read.parquet(f"{root}/_state/{name}").where(F.col(BATCH) == last)
+    still = newest("heads").where("is_open").select(*WAITING).unionByName(newest("waiting").select(*WAITING))
+    return log.unionByName(_as_reset(still))
 
 
 def stream_events(spark: SparkSession, output: str) -> DataFrame:

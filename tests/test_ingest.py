@@ -118,7 +118,7 @@ def test_idle_run_split_over_three_files(spark, tmp_path):
     assert got["idle"] == [(at(300), at(359), 59.0)]
 
 
-@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("seed", range(8))
 def test_random_archives(spark, tmp_path, small_blocks, seed):
     files = random_archive(seed)
     assert found(spark, files, tmp_path / "a") == as_lists(account(files))
