@@ -365,7 +365,7 @@ register(
 )
 register(
     "flag_gap_rows",
-    lambda s, d: samples.stepped(s, d).select("row_id", "step", "is_gap"),
+    lambda s, d: readings.with_steps(raw(s, d)).select("row_id", "step", "is_gap"),
     CLOCK,
     "SELECT row_id, step, is_gap FROM clock",
     "step",
@@ -438,10 +438,12 @@ def _batch(spark, folder):
     return done.closure_events.drop("source_file", "head_number", tables.EVENT_DATE)
 
 
-def _stream(spark, folder, files_per_batch=12):
-    out = workspace(spark, "streamed")
-    streaming.ingest_stream(spark, csv_files(spark, folder), out, files_per_batch).awaitTermination()
-    return out
+def _stream(spark, folder, files_per_batch=16):
+    """The tables of one streaming ingest, shared by the queries on them."""
+    run = lambda out: streaming.ingest_stream(
+        spark, csv_files(spark, folder), out, files_per_batch
+    ).awaitTermination()
+    return tables.once(spark, folder, "streamed", run)
 
 
 register("ingest", _batch, _INGESTED, "SELECT * FROM ingested", _INGESTED_DOUBLES)

@@ -15,6 +15,7 @@ from spindle.constants import (
 from spindle.functions import columns as C
 from spindle.operators.readings import BLOCK, complete_heads, field
 from spindle.plans.slices import UP_TO_HERE
+from spindle.session import cut
 
 RUN = ["file_seq", "last_file_seq", "start_at", "end_at", "n_rows", "touches_start", "touches_end"]
 
@@ -89,7 +90,7 @@ def idle_runs_per_file(stepped: DataFrame) -> DataFrame:
     Runs are found inside each block; those touching a block edge, at most two
     per block, are then joined along the file.
     """
-    fragments = _fragments(stepped)
+    fragments = cut(_fragments(stepped))
     inner = fragments.where(~F.col("touches_start") & ~F.col("touches_end"))
     edge = fragments.where(F.col("touches_start") | F.col("touches_end"))
     along = Window.partitionBy("file_seq").orderBy("_order")

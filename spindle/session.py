@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -25,17 +25,27 @@ def get_session(app: str = "spindle", master: str | None = None, **conf) -> Spar
     return configure(builder.getOrCreate())
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint directory of the session.
-
-    That directory is shared by all executors on a cluster. Only a local
-    session without one gets a temporary folder of its own.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint directory of the session, which all executors share on a
+    cluster. Only a local session without one gets a temporary folder."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spindle-")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a small derived table that several branches of a plan use, so
+    that none of them derives it again."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -71,7 +71,8 @@ def closure_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stepped(spark: SparkSession, folder: str) -> DataFrame:
-    return with_steps(raw_wide(spark, folder))
+    """Raw rows with their steps, staged as in an ingest."""
+    return stored(spark, folder, "raw_rows", lambda: with_steps(raw_wide(spark, folder)))
 
 
 def idle_intervals(spark: SparkSession, folder: str) -> DataFrame:

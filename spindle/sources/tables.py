@@ -90,18 +90,25 @@ def write_analytics_tables(tables: dict[str, DataFrame], folder: str) -> str:
     return write_json_tables(tables, f"{folder.rstrip('/')}/analytics")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, origin: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder of a derived result, written once per session below the
+    checkpoint folder."""
+    key = (spark.sparkContext.applicationId, origin, name)
+    if key not in _WRITTEN:
+        path = workspace(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
 
 
 def stored(spark: SparkSession, origin: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, written once per session below the checkpoint folder.
+    """A derived table, written once per session.
 
     Analyses run on stored tables, as they do after an ingest: it cuts the
     lineage of the derivation and lets them prune columns and push filters.
     """
-    key = (spark.sparkContext.applicationId, origin, name)
-    if key not in _STORED:
-        path = workspace(spark, name)
-        build().write.option("compression", "zstd").parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    write = lambda path: build().write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(once(spark, origin, name, write))
