@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.columns import micros
-from spindle.plans.slices import BEFORE_HERE, SLICE, UP_TO_HERE, slice_bounds, slice_count, slice_index
+from spindle.plans.slices import BEFORE_HERE, SLICE, UP_TO_HERE, slice_bounds, slice_index
 
 
 def latest_intervals(events: DataFrame, intervals: DataFrame) -> DataFrame:
