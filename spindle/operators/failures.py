@@ -50,7 +50,7 @@ def failure_bursts(events: DataFrame, min_run: int = 3, heads=None, time_range=N
     real = real_closures(filter_events(events, heads, time_range)).select(
         "head_id", "timestamp", "counter", "is_reject", "status_code"
     )
-    timed = sliced(real.withColumn("_at", C.micros("timestamp")), F.col("_at"))
+    timed = sliced(real.withColumn("_at", C.micros("timestamp")), "_at")
     other = F.when(F.col("is_reject"), 0).otherwise(1)
     numbered = running(timed, ["head_id"], ["_at", "counter"], {"_run": other})
     return (

@@ -21,7 +21,7 @@ from spindle.operators.filters import (
     time_bucket,
 )
 from spindle.plans.distribution import exact_quantiles, histogram, rank_sums
-from spindle.plans.slices import UP_TO_HERE, chunked, running, sliced
+from spindle.plans.slices import SLICE, UP_TO_HERE, chunked, running, slice_bounds, slice_index
 
 GROUPINGS = ("overall", "per_head", "daily")
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -133,9 +133,10 @@ def _window_seconds(window_size: str) -> float:
     return int(parsed[1]) * INTERVAL_UNITS[parsed[2]]
 
 
-def _positions(events: DataFrame, heads, time_range) -> DataFrame:
+def _positions(events: DataFrame, heads, time_range) -> tuple[DataFrame, list]:
     """Successful readings per head, numbered in time order and centred on the
-    mean of the head, which keeps the running squares small."""
+    mean of the head, which keeps the running squares small; and the points at
+    which their time is cut."""
     good = successful_closures(filter_events(events, heads, time_range)).select(
         "head_id", "timestamp", "counter", "torque_nm"
     )
@@ -145,9 +146,12 @@ def _positions(events: DataFrame, heads, time_range) -> DataFrame:
             F.avg("torque_nm").alias("_centre"), F.stddev_samp("torque_nm").alias("_sd")
         )
     )
-    timed = sliced(good.withColumn("_at", C.micros("timestamp")), F.col("_at"))
+    timed = good.withColumn("_at", C.micros("timestamp"))
+    cuts = slice_bounds(timed, "_at")
+    timed = timed.withColumn(SLICE, slice_index("_at", cuts))
     numbered = running(timed, ["head_id"], ["_at", "counter"], {"_pos": F.lit(1)})
-    return numbered.join(heads_stats, "head_id").withColumn("_x", F.col("torque_nm") - F.col("_centre"))
+    centred = numbered.join(heads_stats, "head_id").withColumn("_x", F.col("torque_nm") - F.col("_centre"))
+    return centred, cuts
 
 
 def _moving(n: Column, s1: Column, s2: Column, min_rows: int) -> dict[str, Column]:
@@ -178,27 +182,21 @@ def _rolling_rows(readings: DataFrame, rows: int, lag_rows: int) -> DataFrame:
     return summed.withColumns(inside).withColumns(moving)
 
 
-def _rolling_time(readings: DataFrame, seconds: float, lag_rows: int) -> DataFrame:
+def _rolling_time(readings: DataFrame, cuts: list, seconds: float, lag_rows: int) -> DataFrame:
     """Moving statistics over (t - window, t]: every reading enters the sums at
     its time and leaves them one window later."""
     x, width = F.col("_x"), int(seconds * 1_000_000)
-    known = F.col("torque_nm").isNotNull()
-    enter = readings.withColumns(
-        {"_step": F.lit(1), "_dn": known.cast("int"), "_d1": x, "_d2": x * x, "_sort": F.col("_at")}
-    )
-    leave = readings.select(
-        "head_id",
-        (F.col("_at") + width).alias("_sort"),
-        "_pos",
-        F.lit(0).alias("_step"),
-        (-known.cast("int")).alias("_dn"),
-        (-x).alias("_d1"),
-        (-x * x).alias("_d2"),
-    )
-    # cut again: leaving times lie outside the range of the readings
-    both = sliced(
-        enter.drop("_slice").unionByName(leave, allowMissingColumns=True), F.col("_sort")
-    )
+    known = F.when(x.isNotNull(), 1).otherwise(0)
+
+    def step(at, entering, sign):
+        amounts = {"_dn": known * sign, "_d1": x * sign, "_d2": x * x * sign}
+        parts = [v.alias(n) for n, v in amounts.items()]
+        return F.struct(at.alias("_sort"), F.lit(entering).alias("_step"), *parts)
+
+    steps = F.array(step(F.col("_at"), 1, 1), step(F.col("_at") + width, 0, -1))
+    both = readings.drop(SLICE).withColumn("_e", F.explode(steps)).select("*", "_e.*").drop("_e")
+    # cut at the times of entering and of leaving: neither crowds a slice
+    both = both.withColumn(SLICE, slice_index("_sort", sorted({*cuts, *(c + width for c in cuts)})))
     summed = running(
         both,
         ["head_id"],
@@ -214,10 +212,12 @@ def _lag_rows(window_size) -> int:
 
 
 def _rolling(events: DataFrame, window_size, heads, time_range, lag_rows: int = 0) -> DataFrame:
-    readings = _positions(events, heads, time_range)
+    if not isinstance(window_size, int):
+        seconds = _window_seconds(window_size)
+    readings, cuts = _positions(events, heads, time_range)
     if isinstance(window_size, int):
         return _rolling_rows(readings, window_size, lag_rows)
-    return _rolling_time(readings, _window_seconds(window_size), lag_rows)
+    return _rolling_time(readings, cuts, seconds, lag_rows)
 
 
 def torque_rolling(events: DataFrame, window_size: int | str = 1000, heads=None, time_range=None) -> DataFrame:

@@ -19,8 +19,8 @@ def latest_intervals(events: DataFrame, intervals: DataFrame) -> DataFrame:
     the very time of an event counts as before it.
     """
     events = events.withColumn("_at", micros("timestamp"))
-    bounds = slice_bounds(events, F.col("_at"))
-    events = events.withColumn(SLICE, slice_index(F.col("_at"), bounds)).withColumn("_side", F.lit(1))
+    bounds = slice_bounds(events, "_at")
+    events = events.withColumn(SLICE, slice_index("_at", bounds)).withColumn("_side", F.lit(1))
 
     start, end = micros("start_time"), micros("end_time")
     opened = intervals.select(start.alias("_at"), start.alias("_s"), end.alias("_e"))
@@ -28,7 +28,7 @@ def latest_intervals(events: DataFrame, intervals: DataFrame) -> DataFrame:
     marks = (
         opened.unionByName(closed, allowMissingColumns=True)
         .where(F.col("_at").isNotNull())
-        .withColumn(SLICE, slice_index(F.col("_at"), bounds))
+        .withColumn(SLICE, slice_index("_at", bounds))
     )
     per_slice = marks.groupBy(SLICE).agg(
         F.max(F.when(F.col("_s").isNotNull(), F.struct("_s", "_e"))).alias("_o"),

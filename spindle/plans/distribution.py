@@ -41,7 +41,7 @@ def ranked_histogram(
 
 
 def _slices(df: DataFrame, value: str, band: Column | None) -> Column:
-    return slice_index(F.col(value), slice_bounds(df, F.col(value))) if band is None else band
+    return slice_index(value, slice_bounds(df, value)) if band is None else band
 
 
 def exact_quantiles(

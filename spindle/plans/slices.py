@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 MAX_SLICES = 4096
+TREE_CUTS = 512
 SKETCH_ACCURACY = 10_000
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE_HERE = (Window.unboundedPreceding, -1)
@@ -25,7 +26,7 @@ def slice_count(df: DataFrame) -> int:
     return max(4, min(wanted, MAX_SLICES))
 
 
-def slice_bounds(df: DataFrame, axis: Column, slices: int | None = None) -> list:
+def slice_bounds(df: DataFrame, axis: str, slices: int | None = None) -> list:
     """Equi-depth cut points of `axis`, from a mergeable sketch of fixed size.
 
     The points are fetched (at most MAX_SLICES numbers) and become literals, so
@@ -39,11 +40,13 @@ def slice_bounds(df: DataFrame, axis: Column, slices: int | None = None) -> list
     return sorted(set(cuts or []))
 
 
-def slice_index(axis: Column, bounds: list) -> Column:
+def slice_index(axis: str, bounds: list) -> Column:
     """How many cut points are <= axis, by binary search."""
     if not bounds:
         return F.lit(0)
     suffix = "L" if isinstance(bounds[0], int) else "D"
+    if len(bounds) <= TREE_CUTS:
+        return F.expr(_decision_tree(axis, [f"{b!r}{suffix}" for b in bounds], 0))
     cuts = F.expr("array(" + ",".join(f"{b!r}{suffix}" for b in bounds) + ")")
     strides = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
@@ -54,11 +57,21 @@ def slice_index(axis: Column, bounds: list) -> Column:
 
     # the axis travels in the state: a lambda that captures an outer column
     # does not survive the filters Spark infers for joins on the result
-    start = F.struct(F.lit(0).alias("found"), axis.alias("at"))
+    start = F.struct(F.lit(0).alias("found"), F.col(axis).alias("at"))
     return F.aggregate(F.array(*[F.lit(s) for s in strides]), start, step, lambda state: state["found"])
 
 
-def sliced(df: DataFrame, axis: Column, slices: int | None = None) -> DataFrame:
+def _decision_tree(axis: str, cuts: list[str], below: int) -> str:
+    """Nested comparisons, which compile to plain code."""
+    if not cuts:
+        return str(below)
+    middle = len(cuts) // 2
+    left = _decision_tree(axis, cuts[:middle], below)
+    right = _decision_tree(axis, cuts[middle + 1 :], below + middle + 1)
+    return f"CASE WHEN `{axis}` < {cuts[middle]} THEN {left} ELSE {right} END"
+
+
+def sliced(df: DataFrame, axis: str, slices: int | None = None) -> DataFrame:
     return df.withColumn(SLICE, slice_index(axis, slice_bounds(df, axis, slices)))
 
 

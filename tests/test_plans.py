@@ -28,12 +28,12 @@ def values():
 
 
 def test_slice_index_counts_the_cuts_below(spark):
-    df = spark.range(50).withColumn("s", slices.slice_index(F.col("id"), [3, 10, 11, 40]))
+    df = spark.range(50).withColumn("s", slices.slice_index("id", [3, 10, 11, 40]))
     assert all(r.s == sum(b <= r.id for b in (3, 10, 11, 40)) for r in df.collect())
 
 
 def test_running_sum_and_previous(spark, values, many_slices):
-    df = slices.sliced(spark.createDataFrame(values), F.col("i"))
+    df = slices.sliced(spark.createDataFrame(values), "i")
     got = slices.running(df, ["head_id"], ["i"], {"total": F.col("x")}).toPandas().sort_values("i")
     want = values.groupby("head_id")["x"].cumsum()
     assert np.allclose(got["total"], want)
@@ -138,7 +138,7 @@ def test_rolling_and_changepoints_against_pandas(spark, many_slices, monkeypatch
 
 def test_no_window_over_raw_rows_runs_in_one_task(spark, values):
     """Unpartitioned windows only ever see tables with one row per slice."""
-    df = slices.sliced(spark.createDataFrame(values), F.col("i"))
+    df = slices.sliced(spark.createDataFrame(values), "i")
     plan = slices.running(df, [], ["i"], {"total": F.col("x")})._jdf.queryExecution().executedPlan().toString()
     for window in [line for line in plan.splitlines() if " Window [" in line]:
         assert "_slice" in window
