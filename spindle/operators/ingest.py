@@ -24,9 +24,9 @@ def base_name(path: str = "source_file"):
     return F.element_at(F.split(path, "/"), -1)
 
 
-def repair(stepped: DataFrame) -> DataFrame:
-    """Raw rows with steps to count changes with masked counts and deltas."""
-    return counters.counter_deltas(counters.mask_corrupted_counts(readings.count_changes(stepped)))
+def repair(changes: DataFrame) -> DataFrame:
+    """Count changes with masked counts and deltas."""
+    return counters.counter_deltas(counters.mask_corrupted_counts(changes))
 
 
 def closure_events(repaired: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +46,8 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
     staged = lambda name, df: _stage(spark, name, df)
     # two scans of the CSV files: one for the sampling steps, one for the rows
     rows = staged("raw_rows", readings.with_steps(archive.wide))
-    repaired = staged("repaired_changes", repair(rows))
+    # masking looks at the changes twice: once per block, once per reading
+    repaired = staged("repaired_changes", repair(staged("count_changes", readings.count_changes(rows))))
 
     found, duplicates = closure_events(repaired)
     tables.write_closure_events(found, output)

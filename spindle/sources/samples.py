@@ -13,7 +13,7 @@ from spindle.constants import EVENT_COLUMNS
 from spindle.operators.events import derive_speed, enrich_status
 from spindle.operators.idle import idle_periods
 from spindle.operators.ingest import repair
-from spindle.operators.readings import to_readings_long, with_steps
+from spindle.operators.readings import count_changes, to_readings_long, with_steps
 from spindle.session import configure
 from spindle.sources.tables import stored
 
@@ -86,7 +86,8 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 
 def repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Count changes with masked counts and deltas."""
-    return stored(spark, folder, "repaired_changes", lambda: repair(stepped(spark, folder)))
+    changes = stored(spark, folder, "count_changes", lambda: count_changes(stepped(spark, folder)))
+    return stored(spark, folder, "repaired_changes", lambda: repair(changes))
 
 
 def raw_wide(spark: SparkSession, folder: str) -> DataFrame:

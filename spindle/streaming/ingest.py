@@ -93,7 +93,8 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
         return
     context = wide if before is None else wide.unionByName(_state_rows(wide, *before[:2]), allowMissingColumns=True)
     rows = _materialise(spark, readings.with_steps(context), output, "_stage/steps", number)
-    settled = _settled(_materialise(spark, repair(rows), output, "_stage/changes", number))
+    changes = _materialise(spark, readings.count_changes(rows), output, "_stage/changes", number)
+    settled = _settled(_materialise(spark, repair(changes), output, "_stage/repaired", number))
     moved = _with_past_segments(counters.reset_segments(settled), before)
 
     found = events.enrich_status(counters.detect_closures(moved.where(F.col("source_file") != STATE_FILE)))

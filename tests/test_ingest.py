@@ -24,7 +24,7 @@ def staged(spark, df, path):
 
 def repaired(spark, files, folder):
     wide = staged(spark, readings.with_steps(read_wide_csv(spark, write(files, folder)).wide), folder / "_wide")
-    done = staged(spark, repair(wide), folder / "_repaired")
+    done = staged(spark, repair(readings.count_changes(wide)), folder / "_repaired")
     named = lambda df: df.withColumn("source_file", base_name())
     return named(wide), named(done)
 
