@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,12 @@ def get_session(app: str = "spindle", master: str | None = None, **conf) -> Spar
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint directory of the session, which all executors share on a
-    cluster. Only a local session without one gets a temporary folder."""
+    cluster. Only a session whose driver runs all tasks itself gets a temporary
+    folder when none is set."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spindle-")
     if not context.getCheckpointDir():
