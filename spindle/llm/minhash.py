@@ -63,9 +63,14 @@ def sketch(least: np.ndarray) -> bytes:
     return (low[0::2] << 4 | low[1::2]).tobytes()
 
 
-def alike(a, b) -> np.ndarray:
-    """Estimated similarity of sketches; four bits agree by chance once in 16."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    differ = x ^ y
+def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated similarities of a sketch (or of as many) and the rows of others;
+    four bits agree by chance once in 16."""
+    differ = many ^ one
     same = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
-    return (same / (2 * x.shape[1]) - 1 / 16) / (15 / 16)
+    return (same / (TREES * LEVELS) - 1 / 16) / (15 / 16)
+
+
+def bits_of(sketches) -> np.ndarray:
+    """Sketches as rows of bytes."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, TREES * LEVELS // 2)

@@ -3,13 +3,14 @@
 Every tree orders the documents by a signature of eight levels. In that order
 documents with a long common prefix are neighbours: each one votes for the
 first of its region and for the neighbour it shares the longest prefix with. A
-region is a run with a common prefix of five levels; where more than REGION
+region is a run with a common prefix of four levels; where more than REGION
 documents share it, it is divided at the next level, down to the last, so its
 depth adapts to how crowded the order is there.
 
-At similarity 0.8 a pair shares five levels in one tree with probability
-0.33, and misses each other in all 24 trees once in 14,000 cases. Every link is
-confirmed on the full shingle sets.
+At similarity 0.8 a pair shares four levels in one tree with probability
+0.41, and misses each other in all 24 trees three times in a million. Every link is
+confirmed on the full shingle sets. Pairs are never written out: what is left to
+compare in a region is compared where its documents meet, and only links leave.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.components import components
-from spindle.llm.minhash import LEVELS, TREES, alike, hashed_shingles, shingles_of, signature, sketch, words_of
+from spindle.llm.minhash import LEVELS, TREES, alike, bits_of, hashed_shingles, shingles_of, signature, sketch, words_of
 from spindle.llm.shared import staged
 
-LEAST_DEPTH = 5
-REGION = 32  # documents of a region before it is divided
+LEAST_DEPTH = 4
+REGION = 1024  # documents of a region before it is divided
 ROWS = 1_000_000  # of a sorted part of the forest
-MARGIN = 0.15  # below the threshold; five deviations of the estimate from 192 hashes
+MARGIN = 0.12  # below the threshold; four deviations of the estimate from 192 hashes
 BROADCAST = 2_000_000  # ids; 16 MB at most
 DEPTHS = range(LEAST_DEPTH, LEVELS + 1)
 
@@ -66,9 +67,9 @@ def _name(tree, depth, high, low) -> np.ndarray:
 def regions_of(tree, high, low, doc):
     """Of one sorted part: (region, doc) memberships and (doc, partner) votes.
 
-    A run that touches an end of the part may go on in the next one, which may
-    divide it otherwise; its documents join the regions of every depth, so that
-    both sides meet."""
+    A run that touches an end of the part may go on in the next one, where it
+    may be divided deeper; its documents join the regions of all depths at which
+    this part would not divide them, so that both sides meet."""
     if not len(doc):
         empty = np.empty(0, np.int64)
         return (empty, empty), (empty, empty)
@@ -82,7 +83,7 @@ def regions_of(tree, high, low, doc):
     for d in DEPTHS:
         here = open_ & (sizes[d] <= REGION) if d < LEVELS else open_
         open_ &= ~here
-        here = here & (sizes[d] > 1) | cut
+        here = here & (sizes[d] > 1) | cut & ((sizes[d] <= REGION) | (d == LEVELS))
         names.append(_name(tree[here], d, high[here], prefix[d][here]))
         members.append(doc[here])
     leader = np.full(first[-1] + 1, np.iinfo(np.int64).max)
@@ -110,37 +111,99 @@ def _forest(batches):
                 yield pd.DataFrame({"kind": kind, "x": x[start : start + 100_000], "y": y[start : start + 100_000]})
 
 
+def _enough(common: int, m: int, n: int, percent: int) -> bool:
+    return 100 * common >= percent * (m + n - common) > 0
+
+
+def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents. Only ids of a bounded number are broadcast."""
+    ids = staged(ids.distinct(), "needed")
+    few = ids.count() <= BROADCAST
+    return staged(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+
+
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity on their full shingle sets."""
     least = percent / 100 - MARGIN
-    near = F.pandas_udf(lambda a, b: pd.Series(alike(a, b) >= least), "boolean")
+    near = F.pandas_udf(lambda a, b: pd.Series(alike(bits_of(a), bits_of(b)) >= least), "boolean")
     side = lambda df, name, column: df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in column])
     sized = pairs.join(side(sketches, "a", ["n", "sketch"]), "a").join(side(sketches, "b", ["n", "sketch"]), "b")
     likely = staged(sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(near("sketch_a", "sketch_b")).select("a", "b").distinct(), "likely")
-    needed = staged(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    few = needed.count() <= BROADCAST
-    held = staged(texts.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi"), "texts")
+    held = _needed(texts, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")))
 
     def confirm(batches):
-        known: dict[tuple, set] = {}
         for rows in batches:
             found = []
-            for a, b, *both in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):
-                sets = []
-                for doc, text in zip((a, b), both, strict=True):
-                    if (key := (doc, len(text), text[:32])) not in known or known[key][0] != text:
-                        if len(known) > 16:
-                            known.clear()
-                        known[key] = text, shingles_of(words_of(text), size)
-                    sets.append(known[key][1])
-                common = len(sets[0] & sets[1])
-                found.append(100 * common >= percent * (len(sets[0]) + len(sets[1]) - common) > 0)
+            for a, b in zip(rows["text_a"], rows["text_b"], strict=True):
+                x, y = shingles_of(words_of(a), size), shingles_of(words_of(b), size)
+                found.append(_enough(len(x & y), len(x), len(y), percent))
             yield rows.loc[found, ["a", "b"]]
 
     with_texts = likely.join(side(held, "a", ["text"]), "a").join(side(held, "b", ["text"]), "b")
     return staged(with_texts.mapInPandas(confirm, "a long, b long"), "links")
 
 
+def links_across(ids, components_, sketches, texts, regions, own, region: int, low: int, high: int, size: int, percent: int):
+    """Links between documents of different components in one region.
+
+    Documents outside the largest component are compared with all others, the
+    most similar by estimate first; a link joins two components, and pairs
+    inside one need no further look. A pair that shares several regions is
+    compared in the first of them. In a region of several blocks a task has two
+    of them and compares one with the other.
+    """
+    names, group = np.unique(components_, return_inverse=True)
+    above = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    main = np.bincount(group).argmax()
+    least = percent / 100 - MARGIN
+    bits = bits_of(sketches)
+    known: dict[int, np.ndarray] = {}
+    hashes = lambda i: known.setdefault(i, hashed_shingles(words_of(texts[i]), size)) if i not in known else known[i]
+    places = [frozenset(r) for r in regions]
+    found = []
+    for i in np.flatnonzero(group != main):
+        roots = np.array([top(g) for g in range(len(names))])[group]
+        others = np.flatnonzero((roots != roots[i]) & ((group == main) | (ids > ids[i])) & ((own != own[i]) | (low == high)))
+        estimate = alike(bits[i], bits[others])
+        for j in others[np.argsort(-estimate, kind="stable")][: (estimate >= least).sum()]:
+            if top(group[i]) == top(group[j]) or min(places[i] & places[j]) != region:
+                continue
+            x, y = hashes(i), hashes(j)
+            if _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                a, b = (shingles_of(words_of(texts[k]), size) for k in (i, j))
+                if _enough(len(a & b), len(a), len(b), percent):
+                    found.append((ids[i], ids[j]))
+                    above[top(group[i])] = top(group[j])
+    return found
+
+
+def _across(placed: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from (region, doc_id, component)."""
+    span = placed.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"))
+    several = staged(span.where("least < most").select("region", F.ceil(F.col("members") / REGION).cast("int").alias("blocks")), "several")
+    mixed = staged(placed.join(several, "region"), "mixed")
+    own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
+    tasks = mixed.select("region", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = tasks.select("region", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    shared = staged(mixed.groupBy("doc_id").agg(F.collect_list("region").alias("regions")), "shared")  # some of each tree
+    facts = staged(_needed(texts, mixed.select("doc_id")).join(sketches.select("doc_id", "sketch"), "doc_id").join(shared, "doc_id"), "facts")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id", kind="stable")
+        region, low, high = (int(rows[c].iloc[0]) for c in ("region", "low", "high"))
+        columns = [rows[c].to_numpy() for c in ("doc_id", "component")]
+        found = links_across(*columns, *(rows[c].tolist() for c in ("sketch", "text", "regions")), rows["own"].to_numpy(), region, low, high, size, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return staged(dealt.join(facts, "doc_id").groupBy("region", "low", "high").applyInPandas(compare, "a long, b long"), "links")
+
+
 def near_documents(documents: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `documents`.
 
@@ -157,9 +220,10 @@ def near_documents(documents: DataFrame, size: int = 5, percent: int = 80, id_co
     1. Equal sets are one class, represented by its smallest doc_id.
     2. Each representative is compared with the partner that most trees vote
        for; confirmed links give first components.
-    3. In regions that still hold several components, all pairs across
+    3. In regions that still hold several components, the pairs across
        components are compared. Pairs inside one component need no look, since
-       they cannot change the result.
+       they cannot change the result. A region beyond REGION documents that
+       share all levels is dealt out in blocks.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
     signed = staged(texts.mapInPandas(_signatures(size), "doc_id long, n long, key binary, high array<long>, low array<long>, sketch binary"), "signatures")
@@ -181,13 +245,8 @@ def near_documents(documents: DataFrame, size: int = 5, percent: int = 80, id_co
     joined = staged(components(links), "joined")
 
     in_regions = forest.where("kind = 0").select(F.col("x").alias("region"), F.col("y").alias("doc_id"))
-    placed = staged(in_regions.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    span = placed.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    several = staged(span.where("least < most").select("region"), "several")
-    mixed = staged(placed.join(several, "region", "left_semi").distinct(), "mixed")
-    left, right = (mixed.select("region", F.col("doc_id").alias(n), F.col("component").alias(f"component_{n}")) for n in ("a", "b"))
-    across = left.join(right, "region").where("component_a < component_b").select("a", "b").distinct()
-    links = links.union(_confirmed(across, sketches, texts, size, percent))
+    placed = staged(in_regions.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct(), "placed")
+    links = links.union(_across(placed, sketches, texts, size, percent))
 
     reached = components(links.union(members.select("doc_id", "class")))
     component = F.coalesce("component", "doc_id")
