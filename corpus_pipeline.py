@@ -28,10 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of 0.8 or more: that with the smallest doc_id. Of rows that repeat a doc_id
     one stays, the least by text. Documents without words or without a doc_id
     link with nothing and stay."""
-    dropped = near_documents(docs, size=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(staged(dropped, "dropped"), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    links = near_documents(docs, size=5, percent=80)
+    dropped = staged(links.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    named = docs.where("doc_id IS NOT NULL").alias("d").join(dropped.alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left_anti")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = named.select("*", place.alias("place_among_equal_ids")).where(F.col("place_among_equal_ids") == 1).drop("place_among_equal_ids")
+    first = named.select(F.struct("d.*").alias("document"), place.alias("place")).where("place = 1").select("document.*")
     return first.union(docs.where("doc_id IS NULL"))
 
 

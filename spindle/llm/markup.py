@@ -76,9 +76,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Page:
     """The elements and texts of a page in order.
 
-    `events` holds (depth, path, kind) steps: a path is the signatures of all
-    open elements. End tags that were left out are put in where HTML demands
-    them; stray ones are skipped.
+    A path is the signatures of all open elements. End tags that were left out
+    are put in where HTML demands them; stray ones are skipped.
     """
 
     def __init__(self, page: str):
@@ -97,6 +96,8 @@ class Page:
                 continue
             if name not in INLINE:
                 border += 1
+            elif name == "br":
+                self.texts.append((path, " ", border))
             if kind == "close":
                 at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
                 del stack[at or len(stack) :]

@@ -128,10 +128,11 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, texts whole: the number of
     copies is the words taken over the size, rounded. Documents that are taken
     by less than half, and those without words, do not appear."""
-    taken = mix(documents).groupBy(F.col("doc_id").alias("taken_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = taken.select("taken_id", F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
-    found = documents.alias("d").join(copies, F.col("d.doc_id").eqNullSafe(F.col("taken_id")))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
+    taken = mix(documents).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = taken.select("doc_id", F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    found = documents.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    each = F.explode(F.sequence(F.lit(1), F.col("c.copies")))
+    return found.select(F.struct("d.*").alias("document"), each.alias("copy")).select("document.*")
 
 
 _IN = lambda x: f"('0x' || substr(md5('{SEED}:' || {x}), 1, 8))::BIGINT"
