@@ -47,9 +47,10 @@ def duplicates_removed(events: DataFrame) -> DataFrame:
 
 
 def derive_speed(events: DataFrame) -> DataFrame:
-    """Seconds since the previous event of the head, and pieces per hour."""
+    """Seconds since the previous event of the head, and pieces per hour. Events
+    of one time come in the order of their files and counters."""
     timed = events.withColumn("_at", C.micros("timestamp"))
-    timed = previous_axis(sliced(timed, "_at"), ["head_id"], "_at", "_previous")
+    timed = previous_axis(sliced(timed, "_at"), ["head_id"], "_at", "_previous", ("source_file", "counter"))
     seconds = (F.col("_at") - F.col("_previous")) / F.lit(1_000_000.0)
     pieces = F.col("inferred_closure_count") * F.lit(3600.0)
     return (

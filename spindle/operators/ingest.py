@@ -44,7 +44,7 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
     """
     archive = read_wide_csv(spark, path)
     staged = lambda name, df: _stage(spark, name, df)
-    # two scans of the CSV files: one for the sampling steps, one for the rows
+    # reads the CSV files several times: for block edges, steps and rows
     rows = staged("raw_rows", readings.with_steps(archive.wide))
     # masking looks at the changes twice: once per block, once per reading
     repaired = staged("repaired_changes", repair(staged("count_changes", readings.count_changes(rows))))
@@ -87,4 +87,4 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
 def _stage(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     path = workspace(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # no rows leave no schema behind

@@ -107,13 +107,14 @@ def running(
     ).drop(*[f"_b_{n}" for n in sums])
 
 
-def previous_axis(df: DataFrame, keys: list[str], axis: str, out: str) -> DataFrame:
-    """Add the axis value of the row before this one; `df` must carry SLICE."""
+def previous_axis(df: DataFrame, keys: list[str], axis: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add the axis value of the row before this one; `df` must carry SLICE.
+    Rows with one axis value lie in one slice and come in the order of `ties`."""
     part = [*keys, SLICE]
     latest = df.groupBy(*part).agg(F.max(axis).alias("_latest"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE)
     carry = latest.select(*part, F.lag("_latest").over(earlier).alias("_carry"))
-    here = Window.partitionBy(*part).orderBy(axis)
+    here = Window.partitionBy(*part).orderBy(axis, *ties)
     return (
         df.join(carry, part)
         .withColumn(out, F.coalesce(F.lag(axis).over(here), "_carry"))

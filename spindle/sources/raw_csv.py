@@ -187,8 +187,11 @@ def read_wide_csv(spark: SparkSession, path: str | list[str]) -> RawArchive:
 
 
 def _empty_schema() -> T.StructType:
+    """Of an archive without an accepted file; one head, so that the columns of
+    heads have types."""
+    fields = "".join(f", `H01 {field}` double" for field in HEAD_FIELDS)
     return T.StructType.fromDDL(
-        f"source_file string, block long, row_id long, {TIMESTAMP} timestamp_ntz, file_heads array<string>"
+        f"source_file string, block long, row_id long, {TIMESTAMP} timestamp_ntz, file_heads array<string>{fields}"
     )
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spindle.constants import EVENT_COLUMNS
+from spindle.constants import EVENT_COLUMNS, EVENT_SCHEMA, IDLE_SCHEMA
 from spindle.session import configure, workspace
 
 CLOSURE_EVENTS = "closure_events.parquet"
@@ -18,26 +19,30 @@ EVENT_DATE = "event_date"
 OLD_NAMES = {"accepted_closure_count": "inferred_closure_count"}
 
 
-def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """`path` is the table itself or the folder it lies in."""
+def _read(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """`path` is the table itself or the folder it lies in. A table without rows
+    may have no file that shows its schema."""
     reader = configure(spark).read
-    try:
-        return reader.parquet(f"{path.rstrip('/')}/{name}")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return reader.parquet(path)
+    inside = f"{path.rstrip('/')}/{name}"
+    for place in (inside, path):
+        try:
+            return reader.parquet(place)
+        except AnalysisException as error:
+            if error.getCondition() == "UNABLE_TO_INFER_SCHEMA" and place == inside:
+                return reader.schema(schema).parquet(place)
+            if error.getCondition() != "PATH_NOT_FOUND" or place == path:
+                raise
 
 
 def load_closure_events(spark: SparkSession, path: str) -> DataFrame:
-    events = _read(spark, path, CLOSURE_EVENTS)
+    events = _read(spark, path, CLOSURE_EVENTS, T.StructType([*EVENT_SCHEMA, T.StructField(EVENT_DATE, T.DateType())]))
     if "inferred_closure_count" not in events.columns:
         events = events.withColumnsRenamed(OLD_NAMES)
     return events
 
 
 def load_idle_periods(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, IDLE_PERIODS)
+    return _read(spark, path, IDLE_PERIODS, IDLE_SCHEMA)
 
 
 def load_quality_report(spark: SparkSession, folder: str, name: str = "quality_totals") -> DataFrame | None:

@@ -156,3 +156,31 @@ def test_quality_by_hand(spark, tmp_path, small_blocks):
         assert total.negative_torque_total == negative
         empty = sum(c is None for f in files for _, v in f.rows for h in v for c in v[h])
         assert total.missing_cells_total == empty + got["masked"]
+
+
+def test_ingest_of_an_archive_without_events(spark, tmp_path):
+    from spindle.operators.ingest import ingest
+    from spindle.sources.tables import load_closure_events
+
+    flat = ingest(spark, write(one_head([5] * 20, [5] * 20), tmp_path / "flat"), str(tmp_path / "flat_out"))
+    assert flat.closure_events.count() == 0 and load_closure_events(spark, str(tmp_path / "flat_out")).count() == 0
+    assert flat.quality["quality_totals"].count() == 1
+
+
+def test_ingest_of_rejected_files_only(spark, tmp_path):
+    from spindle.operators.ingest import ingest
+
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.csv").write_text("time,x\n1,2\n")
+    result = ingest(spark, str(tmp_path / "bad"), str(tmp_path / "bad_out"))
+    assert result.closure_events.count() == 0 and result.idle_periods.count() == 0
+    assert result.quality["schema_errors"].count() > 0
+
+
+def test_speed_of_events_at_one_time_does_not_depend_on_their_order(spark):
+    from spindle.operators.events import derive_speed
+
+    rows = [(at(s), "H01", 1, "a.csv", c) for s, c in [(0, 1), (10, 2), (10, 3), (25, 4)]]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "timestamp timestamp_ntz, head_id string, inferred_closure_count long, source_file string, counter long")
+        assert [r.time_since_last_closure for r in derive_speed(df).orderBy("counter").collect()] == [None, 10.0, 0.0, 15.0]

@@ -43,3 +43,39 @@ def test_mann_whitney_normal_approximation():
     value, _ = p.mann_whitney_two_sided(150, 20, 20, 0)
     z = (250 - 200 - 0.5) / math.sqrt(20 * 20 * 41 / 12)
     assert value == pytest.approx(math.erfc(z / math.sqrt(2)))
+
+
+def counted_tail(u, m, n):
+    """P(U >= u) by adding up whole numbers: sums of m parts of at most n."""
+    ways = [[0] * (m * n + 1) for _ in range(m + 1)]
+    ways[0][0] = 1
+    for part in range(n + m):
+        for k in range(m, 0, -1):
+            for total in range(m * n, part - 1 - (k - 1), -1):
+                shift = part - (k - 1)
+                if 0 <= shift <= total:
+                    ways[k][total] += ways[k - 1][total - shift]
+    return sum(ways[m][u:]) / math.comb(m + n, m)
+
+
+@pytest.mark.parametrize("m, n", [(1, 5), (2, 7), (3, 9), (5, 6)])
+def test_exact_tail_equals_counting(m, n):
+    for u in range(m * n + 1):
+        assert p._exact_u_upper(u, m, n) == pytest.approx(counted_tail(u, m, n), rel=1e-14)
+
+
+@pytest.mark.parametrize("n", [1_000, 3_000, 10_000, 10**7])
+def test_exact_tail_of_large_samples(n):
+    all_ways = math.comb(8 + n, 8)
+    # of the largest values only the first few sums count: 1, 1, 2, 3, 5 partitions
+    for short, ways in enumerate([1, 2, 4, 7, 12]):
+        assert p._exact_u_upper(8 * n - short, 8, n) == ways / all_ways
+    assert p._exact_u_upper(0, 8, n) == 1.0
+    middle = p._exact_u_upper(4 * n, 8, n) + p._exact_u_upper(4 * n + 1, 8, n)
+    assert middle == pytest.approx(1.0, abs=1e-15)
+    assert p.mann_whitney_two_sided(8.0 * n, 8, n, 0)[1] == "exact"
+
+
+def test_student_with_very_many_degrees_is_normal():
+    for t in (0.5, 1.0, 2.5, 6.0):
+        assert p.student_two_sided(t, 1e12) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-9)
