@@ -143,13 +143,27 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: in
     return staged(with_texts.mapInPandas(confirm, "a long, b long"), "links")
 
 
-def links_across(ids, components_, sketches, texts, regions, own, region: int, low: int, high: int, size: int, percent: int):
+def _apart(sizes, bits, group, own, ids, low: int, high: int, percent: int):
+    """For each document outside the largest component of a region: its place,
+    and the places of those in other components that may be similar to it, by
+    size and estimate, the most similar first. Each pair comes once."""
+    main = np.bincount(group).argmax()
+    for i in np.flatnonzero(group != main):
+        others = np.flatnonzero((group != group[i]) & ((group == main) | (ids > ids[i])) & ((own != own[i]) | (low == high)))
+        fits = 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+        others = others[fits]
+        estimate = alike(bits[i], bits[others])
+        order = np.argsort(-estimate, kind="stable")[: (estimate >= percent / 100 - MARGIN).sum()]
+        if len(order):
+            yield i, others[order]
+
+
+def links_across(ids, components_, sizes, sketches, texts, own, low: int, high: int, size: int, percent: int):
     """Links between documents of different components in one region.
 
-    Documents outside the largest component are compared with all others, the
-    most similar by estimate first; a link joins two components, and pairs
-    inside one need no further look. A pair that shares several regions is
-    compared in the first of them. In a region of several blocks a task has two
+    Documents outside the largest component are compared with all likely ones,
+    the most similar by estimate first; a link joins two components, and pairs
+    inside one need no further look. In a region of several blocks a task has two
     of them and compares one with the other.
     """
     names, group = np.unique(components_, return_inverse=True)
@@ -160,19 +174,17 @@ def links_across(ids, components_, sketches, texts, regions, own, region: int, l
             above[x] = x = above[above[x]]
         return x
 
-    main = np.bincount(group).argmax()
-    least = percent / 100 - MARGIN
-    bits = bits_of(sketches)
     known: dict[int, np.ndarray] = {}
-    hashes = lambda i: known.setdefault(i, hashed_shingles(words_of(texts[i]), size)) if i not in known else known[i]
-    places = [frozenset(r) for r in regions]
+
+    def hashes(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = hashed_shingles(words_of(texts[i]), size)
+        return known[i]
+
     found = []
-    for i in np.flatnonzero(group != main):
-        roots = np.array([top(g) for g in range(len(names))])[group]
-        others = np.flatnonzero((roots != roots[i]) & ((group == main) | (ids > ids[i])) & ((own != own[i]) | (low == high)))
-        estimate = alike(bits[i], bits[others])
-        for j in others[np.argsort(-estimate, kind="stable")][: (estimate >= least).sum()]:
-            if top(group[i]) == top(group[j]) or min(places[i] & places[j]) != region:
+    for i, others in _apart(sizes, bits_of(sketches), group, own, ids, low, high, percent):
+        for j in others:
+            if top(group[i]) == top(group[j]):
                 continue
             x, y = hashes(i), hashes(j)
             if _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
@@ -191,14 +203,30 @@ def _across(placed: DataFrame, sketches: DataFrame, texts: DataFrame, size: int,
     own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
     tasks = mixed.select("region", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = tasks.select("region", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    shared = staged(mixed.groupBy("doc_id").agg(F.collect_list("region").alias("regions")), "shared")  # some of each tree
-    facts = staged(_needed(texts, mixed.select("doc_id")).join(sketches.select("doc_id", "sketch"), "doc_id").join(shared, "doc_id"), "facts")
+    shared = mixed.groupBy("doc_id").agg(F.collect_list("region").alias("regions"))  # some of each tree
+    light = staged(sketches.select("doc_id", "n", "sketch").join(shared, "doc_id"), "light")
+
+    def promising(rows: pd.DataFrame) -> pd.DataFrame:
+        region, low, high = (int(rows[c].iloc[0]) for c in ("region", "low", "high"))
+        ids, sizes, own = (rows[c].to_numpy() for c in ("doc_id", "n", "own"))
+        group = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        some, places = np.zeros(len(ids), dtype=bool), [frozenset(r) for r in rows["regions"]]
+        for i, others in _apart(sizes, bits_of(rows["sketch"]), group, own, ids, low, high, percent):
+            here = [j for j in others if min(places[i] & places[j]) == region]
+            if here:
+                some[i] = some[here] = True
+        return pd.DataFrame({"region": region, "doc_id": ids[some]})
+
+    # a pair that shares several regions is compared in the first of them, and only documents with such a pair go on with their texts
+    hopeful = staged(dealt.join(light, "doc_id").groupBy("region", "low", "high").applyInPandas(promising, "region long, doc_id long").distinct(), "hopeful")
+    dealt = dealt.join(hopeful, ["region", "doc_id"], "left_semi")
+    facts = staged(_needed(texts, hopeful.select("doc_id")).join(light.drop("regions"), "doc_id"), "facts")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
-        region, low, high = (int(rows[c].iloc[0]) for c in ("region", "low", "high"))
-        columns = [rows[c].to_numpy() for c in ("doc_id", "component")]
-        found = links_across(*columns, *(rows[c].tolist() for c in ("sketch", "text", "regions")), rows["own"].to_numpy(), region, low, high, size, percent)
+        low, high = (int(rows[c].iloc[0]) for c in ("low", "high"))
+        columns = [rows[c].to_numpy() for c in ("doc_id", "component", "n")]
+        found = links_across(*columns, rows["sketch"], rows["text"].tolist(), rows["own"].to_numpy(), low, high, size, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return staged(dealt.join(facts, "doc_id").groupBy("region", "low", "high").applyInPandas(compare, "a long, b long"), "links")
