@@ -3,9 +3,8 @@
 Every tree orders the documents by a signature of eight levels. In that order
 documents with a long common prefix are neighbours: each one votes for the
 first of its region and for the neighbour it shares the longest prefix with. A
-region is a run with a common prefix of four levels; where more than REGION
-documents share it, it is divided at the next level, down to the last, so its
-depth adapts to how crowded the order is there.
+region is a run with a common prefix of four levels, however many documents
+share it; one of more than REGION documents is dealt out in pairs of blocks.
 
 At similarity 0.8 a pair shares four levels in one tree with probability
 0.41, and misses each other in all 24 trees three times in a million. Every link is
@@ -26,7 +25,7 @@ from spindle.llm.minhash import LEVELS, TREES, alike, bits_of, hashed_shingles,
 from spindle.llm.shared import staged
 
 LEAST_DEPTH = 4
-REGION = 1024  # documents of a region before it is divided
+REGION = 1024  # documents of a block of a region
 ROWS = 1_000_000  # of a sorted part of the forest
 MARGIN = 0.12  # below the threshold; four deviations of the estimate from 192 hashes
 BROADCAST = 2_000_000  # ids; 16 MB at most
@@ -67,25 +66,16 @@ def _name(tree, depth, high, low) -> np.ndarray:
 def regions_of(tree, high, low, doc):
     """Of one sorted part: (region, doc) memberships and (doc, partner) votes.
 
-    A run that touches an end of the part may go on in the next one, where it
-    may be divided deeper; its documents join the regions of all depths at which
-    this part would not divide them, so that both sides meet."""
+    All documents of a run are members of its region. A run that touches an end
+    of the part may go on in the next one, so there a single one is a member too."""
     if not len(doc):
         empty = np.empty(0, np.int64)
         return (empty, empty), (empty, empty)
     prefix = {d: low >> np.int64(16 * (LEVELS - d)) for d in DEPTHS}
     runs = {d: _runs(tree, high, prefix[d]) for d in DEPTHS}
-    sizes = {d: np.bincount(runs[d])[runs[d]] for d in DEPTHS}
     first = runs[LEAST_DEPTH]
-    cut = (first == 0) | (first == first[-1])
-    open_ = ~cut
-    names, members = [], []
-    for d in DEPTHS:
-        here = open_ & (sizes[d] <= REGION) if d < LEVELS else open_
-        open_ &= ~here
-        here = here & (sizes[d] > 1) | cut & ((sizes[d] <= REGION) | (d == LEVELS))
-        names.append(_name(tree[here], d, high[here], prefix[d][here]))
-        members.append(doc[here])
+    here = (np.bincount(first)[first] > 1) | (first == 0) | (first == first[-1])
+    names = _name(tree[here], LEAST_DEPTH, high[here], prefix[LEAST_DEPTH][here])
     leader = np.full(first[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(leader, first, doc)
     leader = leader[first]
@@ -97,7 +87,7 @@ def regions_of(tree, high, low, doc):
     near = np.maximum(shared[:-1], shared[1:]) > 0
     votes = np.concatenate([doc, doc[near]]), np.concatenate([leader, neighbour[near]])
     real = votes[0] != votes[1]
-    return (np.concatenate(names), np.concatenate(members)), (votes[0][real], votes[1][real])
+    return (names, doc[here]), (votes[0][real], votes[1][real])
 
 
 def _forest(batches):
@@ -196,12 +186,24 @@ def links_across(ids, components_, sizes, sketches, texts, own, low: int, high:
 
 
 def _across(placed: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, from (region, doc_id, component)."""
-    span = placed.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"))
-    several = staged(span.where("least < most").select("region", F.ceil(F.col("members") / REGION).cast("int").alias("blocks")), "several")
+    """Links (a, b) between components, from (region, doc_id, component).
+
+    A crowded region has blocks of the documents outside its largest component,
+    and after them blocks of those inside. A block of the first kind meets all
+    blocks; two of the second hold no pair across components and do not meet."""
+    sizes = placed.groupBy("region", "component").count()
+    span = sizes.groupBy("region").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / REGION).cast("int")
+    crowded = F.col("members") > REGION
+    outer = F.when(crowded, blocks(F.col("members") - F.col("main.count"))).otherwise(1)
+    inner = F.when(crowded, blocks(F.col("main.count"))).otherwise(0)
+    several = staged(span.where("n > 1").select("region", F.col("main.component").alias("main"), outer.alias("outer"), inner.alias("inner")), "several")
     mixed = staged(placed.join(several, "region"), "mixed")
-    own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
-    tasks = mixed.select("region", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    is_inner = (F.col("inner") > 0) & (F.col("component") == F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    own = F.when(is_inner, F.col("outer") + deal(F.greatest("inner", F.lit(1)))).otherwise(deal(F.col("outer")))
+    meets = F.sequence(F.lit(0), F.col("outer") + F.when(is_inner, 0).otherwise(F.col("inner")) - 1)
+    tasks = mixed.select("region", "doc_id", "component", own.alias("own"), F.explode(meets).alias("other"))
     dealt = tasks.select("region", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     shared = mixed.groupBy("doc_id").agg(F.collect_list("region").alias("regions"))  # some of each tree
     light = staged(sketches.select("doc_id", "n", "sketch").join(shared, "doc_id"), "light")
@@ -250,8 +252,8 @@ def near_documents(documents: DataFrame, size: int = 5, percent: int = 80, id_co
        for; confirmed links give first components.
     3. In regions that still hold several components, the pairs across
        components are compared. Pairs inside one component need no look, since
-       they cannot change the result. A region beyond REGION documents that
-       share all levels is dealt out in blocks.
+       they cannot change the result. A region of more than REGION documents is
+       dealt out in blocks, so its size changes the work and not the pairs.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
     signed = staged(texts.mapInPandas(_signatures(size), "doc_id long, n long, key binary, high array<long>, low array<long>, sketch binary"), "signatures")

@@ -212,6 +212,40 @@ def test_near_documents_in_crowded_regions_and_odd_rows(spark, monkeypatch):
     assert rows(near_documents(df.limit(0), 2)) == []
 
 
+def test_crowded_regions_keep_every_document(monkeypatch):
+    from spindle.llm import near_documents as module
+
+    monkeypatch.setattr(module, "REGION", 64)
+    n = 400  # documents that share four levels in one tree, and differ in the next
+    zeros, doc = np.zeros(n, np.int64), np.arange(n)
+    parted = np.sort(doc % 100 << np.int64(48))
+    before, after = (np.full(2, x, np.int64) for x in (-1, 1))
+    ends = np.array([n, n + 1]), np.array([n + 2, n + 3])
+    (names, members), _ = module.regions_of(*map(np.concatenate, ([0 * before, zeros, 0 * after], [before, zeros, after], [0 * before, parted, 0 * after], [ends[0], doc, ends[1]])))
+    assert len(set(names[np.isin(members, doc)])) == 1 and sorted(members) == list(range(n + 4))
+
+
+def test_crowded_regions_compare_all_their_pairs(spark, monkeypatch):
+    from spindle.llm import near_documents as module
+
+    monkeypatch.setattr(module, "REGION", 16)
+    rng = random.Random(3)
+    texts = []
+    for start in range(0, 120, 3):  # 40 groups of three and one large group, all in one region
+        base = [f"g{start}w{i}" for i in range(60)]
+        for i in range(3):
+            texts.append((start + i, " ".join([*base[:-1], f"x{i}"])))
+    base = [f"w{i}" for i in range(60)]
+    texts += [(200 + i, " ".join([*base[:-1], f"x{rng.randrange(9)}"])) for i in range(70)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    signed = df.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(module._signatures(2), "doc_id long, n long, key binary, high array<long>, low array<long>, sketch binary")
+    # 70 documents of one component, three of each other one still apart
+    placed = df.select(F.lit(7).cast("long").alias("region"), "doc_id", F.when(F.col("doc_id") >= 200, 200).otherwise(F.col("doc_id")).cast("long").alias("component"))
+    links = module._across(placed, signed.select("doc_id", "n", "sketch"), signed.select("doc_id").join(df, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")), 2, 80)
+    reach = plain_components([(r["a"], r["b"]) for r in links.collect()])
+    assert {i: reach.get(i, i) for i, _ in texts if i < 200} == {i: i - i % 3 for i in range(120)}
+
+
 def test_hashed_sets_have_the_size_of_the_sets():
     for _, text in near_texts(9):
         for size in (2, 5):
