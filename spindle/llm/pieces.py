@@ -3,8 +3,11 @@
 Symbols are merged in the order of an agenda: the pair with the best score
 first, the leftmost among equals. A candidate that comes up is skipped if a
 keyed hash of its place falls below the dropout rate, so the same key gives the
-same segmentation anywhere, and other keys give others. Without dropout it is
-the model's own encoding.
+same segmentation anywhere, and other keys give others. Every place of a unit in
+a text has a key of its own. Without dropout it is the model's own encoding.
+
+Which merges of a unit are skipped decides its segmentation, so segmentations
+are remembered by unit and skipped merges; the keys are drawn for every place.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ import re
 
 import numpy as np
 import sentencepiece
-import xxhash
 
 SPACE = "▁"
-VARIANTS = 4  # segmentations that a word can have under one seed
-REMEMBERED = 300_000  # words kept for each of them
+REMEMBERED = 300_000  # units kept, and segmentations with skipped merges
+OFTEN = 5  # times that a new unit comes in texts encoded together, from which it is remembered
+MOST_SPANS = 62  # possible merges of a unit that is remembered by those skipped
 LONGEST = 32  # characters of a unit that is merged together with others
 NONE = 0xFFFF  # no piece has this id
 NEVER = 1 << 62
@@ -57,8 +60,12 @@ class PieceModel:
             self.bytes[i] = piece.replace(SPACE, " ").encode()
         #: No piece holds a space after another character or a line end among others, so merges stay inside these.
         self.units = re.compile(f"[\n{SPACE}]| *[^ \n{SPACE}]+| +")
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.setting: tuple | None = None
+        #: the model's own segmentations
+        self.known: dict[str, bytes] = {}
+        #: the segmentations of units by the merges that were skipped
+        self.skipped: dict[tuple[str, int], bytes] = {}
+        #: the places of the merges a unit can have, as rows of (start, stop)
+        self.places: dict[str, np.ndarray] = {}
         self._pairs()
 
     def _pairs(self) -> None:
@@ -167,39 +174,80 @@ class PieceModel:
             a = end[a]
         return ids
 
-    def encode_all(self, texts: list[str], names: list[int], rate: float = 0.0, seed: int = 0) -> list[np.ndarray]:
-        """The ids of each text. Names set texts apart: each place of a unit in a
-        text draws one of VARIANTS keys from seed, name and place."""
-        if self.setting != (rate, seed):
-            self.known, self.setting = [{} for _ in range(VARIANTS)], (rate, seed)
-        parts, gaps, missing = [], [], [{} for _ in range(VARIANTS)]
-        for text, name in zip(texts, names, strict=True):
-            units = self.units.findall(" " + text) if text else []
-            if rate:
-                drawn = _draw(len(units), name, seed)
-                had = [self.known[v].get(u) for u, v in zip(units, drawn, strict=True)]
-            else:
-                had = list(map(self.known[0].get, units))
-            gap = [(i, units[i], drawn[i] if rate else 0) for i, ids in enumerate(had) if ids is None]
-            for _, unit, v in gap:
-                missing[v][unit] = None
-            parts.append(had)
-            gaps.append(gap)
-        found = []
-        for v in range(VARIANTS):
-            units = list(missing[v])
-            keys = np.array([_keyed(u, seed, v) for u in units], np.uint64)
-            found.append(dict(zip(units, self.segments(units, rate, keys), strict=True)))
-        for had, gap in zip(parts, gaps, strict=True):
-            for i, unit, v in gap:
-                had[i] = found[v][unit]
-        out = [np.frombuffer(b"".join(had), np.uint16) for had in parts]
-        for v in range(VARIANTS):
-            if len(self.known[v]) + len(found[v]) > REMEMBERED:
-                self.known[v] = {}
-            self.known[v].update((u, i) for u, i in found[v].items() if len(u) <= LONGEST)
+    def _own(self, units: list[str]) -> list[bytes]:
+        """The model's own segmentations."""
+        new = [u for u in dict.fromkeys(units) if u not in self.known]
+        found = dict(zip(new, self.segments(new, 0.0, np.zeros(len(new), np.uint64)), strict=True))
+        out = [self.known[u] if u in self.known else found[u] for u in units]
+        if len(self.known) + len(found) > REMEMBERED:
+            self.known = {}
+        self.known.update((u, i) for u, i in found.items() if len(u) <= LONGEST)
+        return out
+
+    def _spans(self, unit: str) -> np.ndarray:
+        """Where symbols of a unit can be merged to a piece, whatever is skipped."""
+        text, n = unit.replace(" ", SPACE), len(unit)
+        return np.array([(i, j) for i in range(n) for j in range(i + 2, n + 1) if text[i:j] in self.pieces], np.uint16).reshape(-1, 2)
+
+    def _dropped(self, units: list[str], number: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
+        """The segmentations of units[number] under their keys."""
+        if len(self.places) > REMEMBERED:
+            self.places = {}
+        for u, times in zip(units, np.bincount(number, minlength=len(units)).tolist(), strict=True):
+            if times >= OFTEN and u not in self.places and len(u) <= LONGEST:
+                self.places[u] = self._spans(u)
+        known = list(map(self.places.get, units))
+        small = np.fromiter((k is not None for k in known), bool, len(units))
+        spans = [np.empty((0, 2), np.uint16) if k is None else k for k in known]
+        counts = np.fromiter(map(len, spans), np.int64, len(spans))
+        small &= counts <= MOST_SPANS
+        counts = np.where(small, counts, 0)
+        flat = np.concatenate([s for s, few in zip(spans, small, strict=True) if few] + [np.empty((0, 2), np.uint16)])
+        first = np.cumsum(counts) - counts
+        # one row for each merge that each place of a unit can have
+        rows = np.repeat(np.arange(len(number)), counts[number])
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(counts[number]) - counts[number], counts[number])
+        at = np.repeat(first[number], counts[number]) + nth
+        skip = _skips(keys[rows], flat[at, 0], flat[at, 1], rate)
+        masks = np.zeros(len(number), np.int64)
+        np.add.at(masks, rows[skip], np.int64(1) << nth[skip])
+        alone = np.flatnonzero(~small[number])
+        out: list[bytes] = [b""] * len(number)
+        for i, ids in zip(alone.tolist(), self.segments([units[number[i]] for i in alone], rate, keys[alone]), strict=True):
+            out[i] = ids
+        rest = np.flatnonzero(small[number])
+        order = rest[np.lexsort((masks[rest], number[rest]))]
+        change = np.ones(len(order), bool)
+        change[1:] = (np.diff(number[order]) != 0) | (np.diff(masks[order]) != 0)
+        heads = order[change]  # one place of each unit and mask
+        names = [(units[n], m) for n, m in zip(number[heads].tolist(), masks[heads].tolist(), strict=True)]
+        missing = [i for i, k in enumerate(names) if k not in self.skipped]
+        found = self.segments([names[i][0] for i in missing], rate, keys[heads[missing]])
+        new = {names[i]: ids for i, ids in zip(missing, found, strict=True)}
+        each = [new[k] if k in new else self.skipped[k] for k in names]
+        for i, g in zip(order.tolist(), (np.cumsum(change) - 1).tolist(), strict=True):
+            out[i] = each[g]
+        if len(self.skipped) + len(new) > REMEMBERED:
+            self.skipped = {}
+        self.skipped.update(new)
         return out
 
+    def encode_all(self, texts: list[str], names: list[int], rate: float = 0.0, seed: int = 0) -> list[np.ndarray]:
+        """The ids of each text. Names set texts apart: the key of each unit is
+        drawn from seed, name and its place in the text."""
+        parts = [self.units.findall(" " + text) if text else [] for text in texts]
+        every = [u for p in parts for u in p]
+        if rate:
+            units = list(dict.fromkeys(every))
+            place = {u: i for i, u in enumerate(units)}
+            number = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
+            keys = np.concatenate([_drawn(len(p), name, seed) for p, name in zip(parts, names, strict=True)] + [np.empty(0, np.uint64)])
+            done = self._dropped(units, number, keys, rate)
+        else:
+            done = self._own(every)
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        return [np.frombuffer(b"".join(done[end - len(p) : end]), np.uint16) for p, end in zip(parts, ends, strict=True)]
+
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, name: int = 0) -> np.ndarray:
         return self.encode_all([text], [name], rate, seed)[0]
 
@@ -209,12 +257,11 @@ class PieceModel:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-def _draw(n: int, name: int, seed: int) -> list[int]:
-    """A variant for each place of a text."""
-    places = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((name * 0xBF58476D1CE4E5B9 + seed * 0x94D049BB133111EB + 1) & MASK)
-    return ((((places ^ (places >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(VARIANTS)).tolist()
-
-
-def _keyed(unit: str, seed: int, variant: int) -> int:
-    """The key of a unit in one variant, the same in every process."""
-    return xxhash.xxh3_64_intdigest(unit.encode(), seed * VARIANTS + variant & MASK)
+def _drawn(n: int, name: int, seed: int) -> np.ndarray:
+    """A key for each place of a text, the same in every process."""
+    x = np.uint64((name * 0xBF58476D1CE4E5B9 + seed * 0x94D049BB133111EB + 1) & MASK)
+    x = np.full(n, (x ^ (x >> np.uint64(31))), np.uint64) * np.uint64(0x7FB5D329728EA185)
+    x ^= (x >> np.uint64(27)) ^ np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -18,7 +18,7 @@ from spindle.llm.minhash import hashed_shingles, shingles_of, words_of
 from spindle.llm.mixing import mix, mixed_documents
 from spindle.llm.near_documents import near_documents
 from spindle.llm.piece_encoding import decoded, encode_documents
-from spindle.llm.pieces import PieceModel
+from spindle.llm.pieces import PieceModel, _drawn
 from spindle.llm.prefix_counts import PrefixCounter
 from spindle.llm.quality import learn_quality, quality_scores
 from spindle.llm.queries import RULES, piece_model, word_tokenizer
@@ -376,6 +376,23 @@ def test_dropout_gives_a_word_several_segmentations():
     assert len(model.encode("information", 1.0, 1, 1)) == len("information") + 1
 
 
+def test_every_place_of_a_word_draws_its_own_dropout():
+    model = PieceModel(piece_model())
+    drawn = {tuple(model.encode(" information", 0.3, 1, name).tolist()) for name in range(300)}
+    assert len(drawn) > 20
+    # a word of one merge varies with the rate, under any seed
+    word = next(p for p in sorted(model.pieces) if len(p) == 2 and p.isalpha() and p[0] != p[1])
+    for seed in range(5):
+        units = model.encode(f"{word}\n" * 4000, 0.1, seed, 3)
+        assert 300 < np.count_nonzero(units == model.pieces[word[0]][1]) < 500
+    texts = [" ".join(f"information{i % 7} of words" for i in range(40)), "rare " + "x" * 50, ""]
+    together = model.encode_all(texts, [4, 5, 6], 0.2, 9)
+    for text, name, ids in zip(texts, [4, 5, 6], together, strict=True):
+        units = model.units.findall(f" {text}") if text else []
+        one_by_one = [i for u, k in zip(units, _drawn(len(units), name, 9), strict=True) for i in model.segment(u, 0.2, int(k))]
+        assert ids.tolist() == one_by_one == PieceModel(piece_model()).encode(text, 0.2, 9, name).tolist()
+
+
 # 9
 
 
