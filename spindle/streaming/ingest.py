@@ -1,13 +1,17 @@
 """Incremental ingest: the batch operators over new files plus a small state.
 
-The stream carries file names, not rows: each micro-batch is a list of new files
-that are read whole, each by its own header. Between batches the state keeps one
+The stream carries file names, not rows: each micro-batch is the list of all new
+files. They are put in path order, whatever their modification times, and cut
+into batches of files that are read whole, each by its own header. Between
+batches the state keeps one
 row per head and one for the machine. It enters a batch as a few rows that sort
 before the new files: the last valid count of every head, a zero after it if the
 head was inside an undecided run of zeros, and the idle run still open.
 
 Every batch writes under its own batch number, and reads the state of the batch
-before. Running a batch again after a failure therefore replaces its output.
+before. The numbers follow from the micro-batch and the place in it, and the size
+of its batches is stored, so running a micro-batch again after a failure replaces
+its output.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ STATE_FILE = ""  # sorts before every path
 STATE = ("heads", "machine", "waiting")
 WAITING = ("head_id", "valid_count", "segments", "open_at", "open_file")
 BATCH = "batch"
+NUMBERS = 1 << 32  # batch numbers of one micro-batch
 
 
 def ingest_stream(
@@ -35,8 +40,9 @@ def ingest_stream(
     """Start ingesting the CSV files below `path`; ends when all files present
     have been read, and can be started again for files that come later.
 
-    Files must arrive in path order. A file that sorts before one already read
-    stops the query.
+    The files present are read in path order, in batches of at most
+    `files_per_batch`. A later file that sorts before one already read stops the
+    query.
     """
     configure(spark)
     names = (
@@ -44,16 +50,16 @@ def ingest_stream(
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", CSV_FILES)
-        .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
         .select("path")
     )
 
     def process(batch: DataFrame, number: int) -> None:
-        # at most files_per_batch names
+        # the names of the new files
         found = sorted((row["path"] for row in batch.collect()), key=lambda p: p.split("/"))
-        if found:
-            ingest_batch(batch.sparkSession, found, output, number)
+        size = _size(batch.sparkSession, output, number, files_per_batch) if found else 1
+        for k, start in enumerate(range(0, len(found), size)):
+            ingest_batch(batch.sparkSession, found[start : start + size], output, number * NUMBERS + k)
 
     return (
         names.writeStream.foreachBatch(process)
@@ -67,6 +73,20 @@ def _folder(output: str, name: str, number: int) -> str:
     return f"{output.rstrip('/')}/{name}/{BATCH}={number}"
 
 
+def _size(spark: SparkSession, output: str, number: int, wanted: int) -> int:
+    """The size of the batches of a micro-batch: the one it was begun with."""
+    path = _folder(output, "_state/sizes", number)
+    try:
+        begun = spark.read.schema("size long").parquet(path).first()
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        begun = None
+    if begun is None:
+        spark.range(1).select(F.lit(wanted).cast("long").alias("size")).write.mode("overwrite").parquet(path)
+    return wanted if begun is None else begun["size"]
+
+
 def _state(spark: SparkSession, output: str, number: int) -> tuple[DataFrame, ...] | None:
     """State left by the newest batch before this one: heads, machine, waiting."""
     try:

@@ -56,6 +56,31 @@ def test_idle_run_stays_open_over_batches(spark, tmp_path):
     assert streamed(spark, files, tmp_path)["idle"] == expected(files)["idle"] != []
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 2, 4])
+def test_modification_times_do_not_matter(spark, tmp_path, files_per_batch):
+    files = random_archive(1, n_files=4)
+    raw = write(files, tmp_path / "raw")
+    arrive_in_order(tmp_path / "raw", files[::-1])
+    out = run(spark, raw, str(tmp_path / "out"), files_per_batch)
+    want = expected(files)
+    assert sorted((r.timestamp, r.head_id, r.counter, r.counter_delta, r.data_quality, r.source_file) for r in streaming.stream_events(spark, out).collect()) == want["events"]
+    assert sorted(tuple(r) for r in streaming.finish_resets(spark, out).collect()) == want["resets"]
+    assert sorted(tuple(r) for r in streaming.finish_idle(spark, out).collect()) == want["idle"]
+
+
+def test_a_failed_run_goes_on_with_the_batches_it_began(spark, tmp_path, monkeypatch):
+    files = one_head([1, 2, 3], [4, 6], [7])
+    raw, out = write(files, tmp_path / "raw"), str(tmp_path / "out")
+    whole = streaming.ingest_batch
+    monkeypatch.setattr(streaming, "ingest_batch", lambda s, paths, o, n: whole(s, paths, o, n) if n < 2 else 1 / 0)
+    with pytest.raises(Exception, match="division"):
+        run(spark, raw, out, 1)
+    monkeypatch.setattr(streaming, "ingest_batch", whole)
+    events = streaming.stream_events(spark, run(spark, raw, out, 3)).collect()
+    assert sorted((r.timestamp, r.head_id, r.counter, r.counter_delta, r.data_quality, r.source_file) for r in events) == expected(files)["events"]
+    assert streaming.finish_resets(spark, out).count() == 0
+
+
 def test_a_file_out_of_order_stops_the_stream(spark, tmp_path):
     first, second = one_head([1, 2, 3], [4, 5])
     raw = write([second], tmp_path / "raw")
