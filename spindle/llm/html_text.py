@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spindle.llm.markup import Page
 from spindle.llm.shared import staged
 from spindle.llm.urls import url_parts
-from spindle.llm.wrappers import aligned, main_slots, merged, wrapper_of
+from spindle.llm.wrappers import aligned, main_slots, merged, wanted, wrapper_of
 
 SALTS = 32  # shares of a host whose wrappers are aligned before those of the host
 BROADCAST = 32_000_000  # characters of all wrappers that may be broadcast; larger tables are joined by host
@@ -102,7 +102,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     found = rows.join(F.broadcast(slots) if size <= BROADCAST else slots, "host", "left")
 
     def extract(html: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
-        known: dict[str, frozenset] = {}
+        known: dict[str, dict | frozenset] = {}
         for texts, named in html:
             out = []
             for text, article, other in zip(texts, named["article"], named["other"], strict=True):
@@ -113,8 +113,10 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
                         if paths not in known:
                             if len(known) > 1000:
                                 known.clear()
-                            known[paths] = frozenset(json.loads(paths))
-                        blocks = page.blocks(known[paths])
+                            held = json.loads(paths)
+                            known[paths] = held if isinstance(held, dict) else frozenset(held)
+                        held = known[paths]
+                        blocks = page.blocks(wanted(held, page.texts) if isinstance(held, dict) else held)
                 out.append("\n".join(blocks))
             yield pd.Series(out, dtype=object)
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")  # each with its value, so no value is taken for a name
 # Elements by their roles in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -37,7 +37,7 @@ def signature(tag: str, attributes: str) -> str:
                 names.add("#" if len(name) - len(plain) > 3 or not plain.strip("-_") else re.sub(r"[./+]", "-", plain))
         elif kind == "role" and value:
             names.add(f"role-{re.sub(r'[^a-z]', '', value)}")
-        elif kind == "hidden" or value == "true":
+        elif kind == "hidden" or (kind == "aria-hidden" and value == "true"):
             flags = "!"
     return tag + "".join(f".{n}" for n in sorted(names)) + flags
 

@@ -128,25 +128,59 @@ def _words(sign: str) -> list[str]:
     return [w for name in sign.rstrip("!").split(".")[1:] for w in (name, *name.replace("_", "-").split("-"))]
 
 
-def banned(path: str) -> bool:
-    return any(s.endswith("!") or s.split(".")[0].rstrip("!") in BANNED_TAGS or not BANNED_WORDS.isdisjoint(_words(s)) for s in path.split("/"))
+def _tag(sign: str) -> str:
+    return sign.split(".")[0].rstrip("!")
+
+
+def around(path: str) -> int | None:
+    """The number of elements with words for what is no article around the
+    article of a path, None where the path is banned. Such words say nothing
+    about a whole page, nor about the article that has them itself."""
+    signs = path.split("/")
+    tags = list(map(_tag, signs))
+    article = next((tags.index(t) for t in ("article", "main") if t in tags), -1)
+    found = 0
+    for i, (sign, tag) in enumerate(zip(signs, tags, strict=True)):
+        if sign.endswith("!") or tag in BANNED_TAGS:
+            return None
+        if i == article or tag in ("html", "body", "main") or BANNED_WORDS.isdisjoint(_words(sign)):
+            continue
+        if i > article:
+            return None
+        found += 1
+    return found
+
+
+def named(path: str) -> bool:
+    """Whether a path is in an article element without words for what is none."""
+    article = next((s for s in path.split("/") if _tag(s) == "article"), None)
+    return article is not None and BANNED_WORDS.isdisjoint(_words(article))
+
+
+def wanted(article: dict[str, list], texts: list[tuple[str, str, int]]) -> frozenset[str]:
+    """The paths of the article of a page with these texts: those with as few
+    banned elements around as its article elements have."""
+    here = [article[p] for p in {p for p, t, _ in texts if t.strip()} if p in article]
+    most = min([n for n, sure in here if sure] or [n for n, _ in here], default=-1)
+    return frozenset(p for p in {p for p, _, _ in texts} if p in article and article[p][0] <= most)
 
 
 def in_article(path: str) -> bool:
-    return any(s.split(".")[0] in ARTICLE_TAGS or not ARTICLE_WORDS.isdisjoint(_words(s)) for s in path.split("/"))
+    return any(_tag(s) in ARTICLE_TAGS or not ARTICLE_WORDS.isdisjoint(_words(s)) for s in path.split("/"))
 
 
-def main_slots(wrapper: dict[str, Zones], slots: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
+def main_slots(wrapper: dict[str, Zones], slots: dict[str, tuple[int, int, int, bool]]) -> tuple[dict[str, list], list[str]]:
     """The paths of elements whose own text belongs to the article: those inside
-    article elements, and those to use on pages that have none.
+    article elements, as `wanted` takes them, and those to use on pages that have none.
 
-    `slots` gives, by the element's path, pages, characters, characters in links, and whether all pages
-    have one text. Without an article element it is the deepest element that
+    `slots` gives, by the element's path, pages, characters, characters in links, and whether all
+    pages have one text. Without an article element it is the deepest element that
     holds most of the free text; texts that are the same on all pages of a site
     belong to its frame.
     """
-    free = {p: s for p, s in slots.items() if p in wrapper and not banned(p)}
-    article = sorted(p for p in free if in_article(p))
+    depths = {p: around(p) for p in slots if p in wrapper}
+    article = {p: [n, named(p)] for p, n in sorted(depths.items()) if n is not None and in_article(p)}
+    free = {p: s for p, s in slots.items() if depths.get(p) == 0}
     varying = {p: s for p, s in free.items() if not (s[3] and s[0] >= 3)} or free
     mass: dict[str, list[int]] = {}
     for p, (_, chars, links, _) in varying.items():

@@ -331,6 +331,21 @@ def test_main_texts(spark):
     assert main_texts(df.limit(0)).count() == 0
 
 
+def test_words_around_the_article_and_attributes_that_look_hidden(spark):
+    article = "<h1>A</h1><p>Text {}</p><section id=comments><article class=comment><p>nice</article></section>"
+    kinds = [
+        '<article style="overflow:hidden" data-hidden="false" title="hidden">{}</article>',
+        "<body class=no-sidebar><article>{}</article><aside>x</aside></body>",
+        "<body><div id=content-with-sidebar><article>{}</article><div class=sidebar><p>no</div></div></body>",
+        "<article class='post has-comments'>{}</article>",
+        "<main class=has-sidebar><div class=has-sidebar><article>{}</article></div></main>",
+    ]
+    pages = [(i, f"http://h{i % 5}.x/", kinds[i % 5].format(article.format(i))) for i in range(10)]
+    pages += [(20, "http://b.x/", "<body class=no-sidebar><p>Words alone</p></body>"), (21, "http://c.x/", "<article hidden><p>no</article>")]
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"A\nText {i}" for i in range(10)} | {20: "Words alone", 21: ""}
+
+
 def test_wrappers_are_union_free_and_any_order_of_pages_gives_all_slots(spark):
     assert folded(list("abab")) == [[{"a": True, "b": True}, True]]
     assert folded(list("aab")) == [[{"a": False}, True], [{"b": False}, False]]
