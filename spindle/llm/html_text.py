@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from spindle.llm.markup import Page
 from spindle.llm.shared import staged
 from spindle.llm.urls import url_parts
-from spindle.llm.wrappers import aligned, main_slots, merged, wanted, wrapper_of
+from spindle.llm.wrappers import aligned, in_article, main_slots, merged, wanted, wrapper_of
 
 SALTS = 32  # shares of a host whose wrappers are aligned before those of the host
+FRAME_PAGES, FRAME_SHARE = 3, 0.9  # different pages of a host, and the share of them, that have a text of its frame
 BROADCAST = 32_000_000  # characters of all wrappers that may be broadcast; larger tables are joined by host
 
 
 def _traits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What the pages of a batch show of their hosts' wrappers: the expression
-    of each element (kind 0) and the texts of each slot (kind 1)."""
+    of each element (kind 0), the texts of each slot (kind 1) and, of pages
+    without an article, which pages have a slot (kind 2) and exist (kind 3)."""
     for rows in batches:
         seen: dict[tuple, list[int]] = {}
         for host, html in zip(rows["host"], rows["html"], strict=True):
@@ -32,6 +34,10 @@ def _traits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for path, text, _ in page.texts:
                 if text.strip():
                     slots.setdefault(f"{path}/#text" if path else "#text", []).append(text)
+            if not any(in_article(slot) for slot in slots):
+                same = xxhash.xxh3_128_hexdigest(html.encode("utf-8", "replace"))
+                seen[host, 3, "", same] = [0, 0, 0, 0, 0]
+                seen.update({(host, 2, slot.rpartition("/")[0], same): [0, 0, 0, 0, 0] for slot in slots})
             for slot, texts in slots.items():
                 chars = sum(len(t.strip()) for t in texts)
                 value = xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "replace")) >> 1
@@ -78,8 +84,14 @@ def infer_wrappers(pages: DataFrame, url_column: str = "url", html_column: str =
     sums = [F.sum(c).alias(c) for c in ("pages", "chars", "linked")]
     traits = staged(shown.groupBy("host", "kind", "path", "zones").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most")), "traits")
     shares = traits.where("kind = 0").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(_of_share, "host string, wrapper string, slots string")
-    slot = F.create_map("path", F.array("pages", "chars", "linked", (F.col("least") == F.col("most")).cast("long")))
-    slots = traits.where("kind = 1").select("host", F.lit("{}").alias("wrapper"), F.to_json(slot).alias("slots"))
+    # rows that are copies of one page were combined to one
+    having = traits.where("kind = 2").groupBy("host", "path").agg(F.count("*").alias("having"))
+    different = traits.where("kind = 3").groupBy("host").agg(F.count("*").alias("different"))
+    counted = having.join(different, ["host"]).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "having", "different")
+    of_slot = F.col("host").eqNullSafe(F.col("of_host")) & (F.col("path") == F.col("of_path"))
+    frame = (F.col("least") == F.col("most")) & (F.col("having") >= FRAME_PAGES) & (F.col("having") >= FRAME_SHARE * F.col("different"))
+    slot = F.create_map("path", F.array("pages", "chars", "linked", F.coalesce(frame, F.lit(False)).cast("long")))
+    slots = traits.where("kind = 1").join(counted, of_slot, "left").select("host", F.lit("{}").alias("wrapper"), F.to_json(slot).alias("slots"))
     return staged(shares.union(slots).groupBy("host").applyInPandas(_of_host, "host string, wrapper string, article string, other string"), "wrappers")
 
 

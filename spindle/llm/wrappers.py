@@ -173,15 +173,15 @@ def main_slots(wrapper: dict[str, Zones], slots: dict[str, tuple[int, int, int,
     """The paths of elements whose own text belongs to the article: those inside
     article elements, as `wanted` takes them, and those to use on pages that have none.
 
-    `slots` gives, by the element's path, pages, characters, characters in links, and whether all
-    pages have one text. Without an article element it is the deepest element that
+    `slots` gives, by the element's path, pages, characters, characters in links, and whether nearly
+    all different pages have it with one text. Without an article element it is the deepest element that
     holds most of the free text; texts that are the same on all pages of a site
     belong to its frame.
     """
     depths = {p: around(p) for p in slots if p in wrapper}
     article = {p: [n, named(p)] for p, n in sorted(depths.items()) if n is not None and in_article(p)}
     free = {p: s for p, s in slots.items() if depths.get(p) == 0}
-    varying = {p: s for p, s in free.items() if not (s[3] and s[0] >= 3)} or free
+    varying = {p: s for p, s in free.items() if not s[3]} or free
     mass: dict[str, list[int]] = {}
     for p, (_, chars, links, _) in varying.items():
         parts = p.split("/")

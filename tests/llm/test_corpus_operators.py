@@ -346,6 +346,15 @@ def test_words_around_the_article_and_attributes_that_look_hidden(spark):
     assert got == {i: f"A\nText {i}" for i in range(10)} | {20: "Words alone", 21: ""}
 
 
+def test_copies_of_a_page_are_no_frame(spark):
+    plain = "<body><div><p>Page {} has words of its own.</p><p>And more {}.</p></div><section>Frame</section></body>"
+    quote = "<body><div><p>Page x.</p><blockquote>A quote that one page has.</blockquote></div><section>Frame</section></body>"
+    pages = [(i, "http://a.x/", plain.format(i, i)) for i in range(4)] + [(10 + i, "http://a.x/", quote) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[10] == got[13] == "Page x.\nA quote that one page has."
+    assert got[2] == "Page 2 has words of its own.\nAnd more 2."
+
+
 def test_wrappers_are_union_free_and_any_order_of_pages_gives_all_slots(spark):
     assert folded(list("abab")) == [[{"a": True, "b": True}, True]]
     assert folded(list("aab")) == [[{"a": False}, True], [{"b": False}, False]]
