@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm.digest_index import EXACT_SQL, exact_duplicates
 from spindle.llm.html_text import main_texts
 from spindle.llm.licences import SCAN_SQL, document_files, scan_licences
 from spindle.llm.metric_join import near_vectors
@@ -70,7 +71,24 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(document_files(table(spark, folder, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_topk, op2_quality, op3_near_documents, op4_urls, op5_tokens, op6_html, op7_near_vectors, op8_pieces, op9_mixing, op10_licences)}
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(table(spark, folder, "documents"))
+
+
+OPERATORS = (
+    op1_topk,
+    op2_quality,
+    op3_near_documents,
+    op4_urls,
+    op5_tokens,
+    op6_html,
+    op7_near_vectors,
+    op8_pieces,
+    op9_mixing,
+    op10_licences,
+    op13_exact,
+)
+QUERIES = {q.__name__: q for q in OPERATORS}
 
 _VECTORS = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
 
@@ -137,4 +155,5 @@ ORACLE = {
     "op7_near_vectors": NEAR_VECTORS_SQL,
     "op9_mixing": MIX_SQL,
     "op10_licences": SCAN_SQL,
+    "op13_exact": EXACT_SQL,
 }

@@ -27,12 +27,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     `release` deletes what was staged, at the latest when the driver ends.
     """
     spark = df.sparkSession
-    path = workspace(spark, name)
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder that `release` deletes."""
+    path = workspace(spark, name)
+    _STAGED.append((spark, path))
+    return path
+
+
 def release() -> None:
     """Delete the staged tables. Results that read them must be consumed first."""
     while _STAGED:

@@ -24,7 +24,7 @@ def test_query_and_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
