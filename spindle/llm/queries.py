@@ -15,6 +15,7 @@ from spindle.llm.near_documents import near_documents
 from spindle.llm.piece_encoding import encode_documents
 from spindle.llm.quality import quality_scores
 from spindle.llm.shared import table
+from spindle.llm.token_alignment import aligned_documents
 from spindle.llm.token_counts import document_tokens
 from spindle.llm.topk import top_k
 from spindle.llm.urls import LOWER, SOFT, SOFT_HITS, STRICT, UPPER, judge_urls
@@ -27,6 +28,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
@@ -71,6 +76,10 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(document_files(table(spark, folder, "documents")))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned_documents(table(spark, folder, "documents"), byte_tokenizer(), piece_model())
+
+
 def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -86,6 +95,7 @@ OPERATORS = (
     op8_pieces,
     op9_mixing,
     op10_licences,
+    op11_alignment,
     op13_exact,
 )
 QUERIES = {q.__name__: q for q in OPERATORS}
