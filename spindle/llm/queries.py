@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm.conversation_repair import conversation_audits
 from spindle.llm.digest_index import EXACT_SQL, exact_duplicates
 from spindle.llm.html_text import main_texts
 from spindle.llm.licences import SCAN_SQL, document_files, scan_licences
@@ -80,6 +81,24 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return aligned_documents(table(spark, folder, "documents"), byte_tokenizer(), piece_model())
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults, by a checksum of conversation and turn: some
+    rows lack, are empty, lack the ends of sentences, come twice or are said by
+    the user. Nulls count as one space."""
+    spaced = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat_ws(":", spaced["conv_id"], spaced["turn"]).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    rows = conversations.select("conv_id", "turn", spaced["role"].alias("role"), spaced["text"].alias("text"), kind.alias("kind")).where("kind <> 0")
+    times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return conversation_audits(damaged(conversations), conversations)
+
+
 def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -96,6 +115,7 @@ OPERATORS = (
     op9_mixing,
     op10_licences,
     op11_alignment,
+    op12_repair,
     op13_exact,
 )
 QUERIES = {q.__name__: q for q in OPERATORS}
