@@ -54,34 +54,43 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
     tables.write_idle_periods(idle.idle_periods(rows), output)
     stored = tables.load_closure_events(spark, output)
 
+    per_file = {n: staged(n, t) for n, t in quality.report_tables(rows, repaired).items()}  # small; totals and sinks read them
+    report = quality_report(
+        per_file,
+        archive.errors,
+        archive.warnings,
+        archive.bad_timestamps,
+        counters.counter_resets(counters.reset_segments(repaired)).withColumn("source_file", base_name()),
+        duplicates,
+        stored,
+    )
+    tables.write_quality_tables(report, output)
+    return IngestResult(stored, tables.load_idle_periods(spark, output), report)
+
+
+def quality_report(per_file, errors, warnings, bad_timestamps, resets, duplicates, events) -> dict[str, DataFrame]:
+    """All tables of the report, from those per file with whole paths and what
+    else was found."""
     named = lambda df: df.withColumn("source_file", base_name())
     one = lambda df: df.select(F.struct("*")).scalar()
-    totals = quality.quality_totals(rows, repaired)
+    totals = quality.totals_of(per_file)
     removed = duplicates.agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("duplicate_events_removed_total"))
-    rejected = archive.errors.agg(F.count(F.lit(1)).alias("schema_errors"))
-    report = {
+    rejected = errors.agg(F.count(F.lit(1)).alias("schema_errors"))
+    return {
         "quality_totals": totals.withColumns({"_d": one(removed), "_e": one(rejected)})
         .select(*totals.columns, "_d.*", "_e.*"),
-        "schema_errors": archive.errors,
-        "schema_warnings": archive.warnings,
-        "bad_timestamps": named(archive.bad_timestamps),
-        "file_quality": named(quality.file_times(rows)),
-        "missing_cells": named(quality.missing_cells(rows, repaired)),
-        "trailing_zero_rows": named(quality.trailing_zero_rows(rows)),
-        "sampling_gaps": named(quality.sampling_gaps(rows)),
-        "boundary_gaps": quality.boundary_gaps(rows).withColumns(
+        "schema_errors": errors,
+        "schema_warnings": warnings,
+        "bad_timestamps": named(bad_timestamps),
+        **{name: named(table) for name, table in per_file.items() if name != "boundary_gaps"},
+        "boundary_gaps": per_file["boundary_gaps"].withColumns(
             {"prev_file": base_name("prev_file"), "next_file": base_name("next_file")}
         ),
-        "invalid_torque": named(quality.invalid_torque(rows, repaired)),
-        "status_distribution": named(quality.status_distribution(rows)),
-        "unexpected_status": named(quality.unexpected_status(rows)),
-        "counter_resets": named(counters.counter_resets(counters.reset_segments(repaired))),
-        "file_counter_resets": named(quality.file_counter_resets(repaired)),
+        "unexpected_status": named(quality.unexpected(per_file["status_distribution"])),
+        "counter_resets": resets,
         "duplicates_removed": duplicates,
-        "breakdowns": quality.ingest_breakdowns(stored),
+        "breakdowns": quality.ingest_breakdowns(events),
     }
-    tables.write_quality_tables(report, output)
-    return IngestResult(stored, tables.load_idle_periods(spark, output), report)
 
 
 def _stage(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.constants import FALLBACK_INTERVAL_SECONDS, GAP_FACTOR, STATUS
@@ -109,12 +109,17 @@ def missing_cells(wide: DataFrame, repaired: DataFrame) -> DataFrame:
 
 
 def masked_rows(repaired: DataFrame) -> DataFrame:
-    """Counts masked per file. A kept zero stands for the rows up to the next
-    kept reading of its block."""
+    """Counts masked per file."""
+    return zero_rows(repaired, F.col("masked"), "source_file").withColumnRenamed("n", "masked_counts")
+
+
+def zero_rows(repaired: DataFrame, wanted: Column, *keys: str) -> DataFrame:
+    """Raw rows (`n`) for which the kept zeros of a kind stand: each one stands
+    for the rows up to the next kept reading of its block."""
     here = Window.partitionBy(*PART).orderBy("row_id")
     until = F.coalesce(F.lead("position").over(here), F.col("block_rows") + 1)
     runs = repaired.withColumn("_length", until - F.col("position"))
-    return runs.where("masked").groupBy("source_file").agg(F.sum("_length").alias("masked_counts"))
+    return runs.where(wanted).groupBy(*keys).agg(F.sum("_length").alias("n"))
 
 
 def _steps(repaired: DataFrame) -> DataFrame:
@@ -174,40 +179,62 @@ def status_distribution(wide: DataFrame) -> DataFrame:
 
 def unexpected_status(wide: DataFrame) -> DataFrame:
     """Codes the status table does not list."""
-    return status_distribution(wide).where(~F.col("status_code").isin(*STATUS))
+    return unexpected(status_distribution(wide))
 
 
-def quality_totals(stepped: DataFrame, repaired: DataFrame) -> DataFrame:
-    """The report for all files together, one row, from the raw rows with steps
+def unexpected(distribution: DataFrame) -> DataFrame:
+    return distribution.where(~F.col("status_code").isin(*STATUS))
+
+
+def report_tables(stepped: DataFrame, repaired: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the report with rows per file, from the raw rows with steps
     and the count changes with `masked` and `counter_delta`."""
+    return {
+        "file_quality": file_times(stepped),
+        "missing_cells": missing_cells(stepped, repaired),
+        "trailing_zero_rows": trailing_zero_rows(stepped),
+        "sampling_gaps": sampling_gaps(stepped),
+        "boundary_gaps": boundary_gaps(stepped),
+        "invalid_torque": invalid_torque(stepped, repaired),
+        "status_distribution": status_distribution(stepped),
+        "file_counter_resets": file_counter_resets(repaired),
+    }
+
+
+def totals_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """The report for all files together, one row, from the tables per file."""
     one = lambda table: table.select(F.struct("*")).scalar()
-    files = file_times(stepped).agg(
+    files = tables["file_quality"].agg(
         F.count(F.lit(1)).alias("files_processed"),
         F.sum("rows").alias("total_rows"),
         F.min("first_timestamp").alias("first_timestamp"),
         F.max("last_timestamp").alias("last_timestamp"),
     )
-    empty = missing_cells(stepped, repaired).agg(
+    empty = tables["missing_cells"].agg(
         F.sum("missing_cells").alias("missing_cells_total"),
         (F.sum("missing_cells") * 100.0 / F.sum("cells")).alias("missing_pct_overall"),
         F.sum("masked_counts").alias("corrupted_rows_masked_total"),
     )
-    torque = invalid_torque(stepped, repaired).agg(
+    torque = tables["invalid_torque"].agg(
         F.sum("negative").alias("negative_torque_total"), F.sum("outliers_gt_3sigma").alias("torque_outliers_total")
     )
-    resets = file_counter_resets(repaired).agg(F.sum("counter_resets").alias("counter_resets_total"))
-    odd = unexpected_status(stepped).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_status_total"))
-    zeros = trailing_zero_rows(stepped).agg(F.sum("trailing_zero_rows").alias("trailing_zero_rows_total"))
-    gaps = sampling_gaps(stepped).agg(
+    resets = tables["file_counter_resets"].agg(F.sum("counter_resets").alias("counter_resets_total"))
+    odd = unexpected(tables["status_distribution"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unexpected_status_total"))
+    zeros = tables["trailing_zero_rows"].agg(F.sum("trailing_zero_rows").alias("trailing_zero_rows_total"))
+    gaps = tables["sampling_gaps"].agg(
         F.count(F.lit(1)).alias("n_gaps"), F.countDistinct("source_file").alias("files_with_gaps")
     )
-    edges = boundary_gaps(stepped).agg(F.count(F.lit(1)).alias("boundary_gaps"))
+    edges = tables["boundary_gaps"].agg(F.count(F.lit(1)).alias("boundary_gaps"))
     parts = [files, empty, torque, resets, odd, zeros, gaps, edges]
     names = [f"_{i}" for i in range(len(parts))]
-    row = stepped.sparkSession.range(1).select(*[one(p).alias(n) for p, n in zip(parts, names)])
+    row = tables["file_quality"].sparkSession.range(1).select(*[one(p).alias(n) for p, n in zip(parts, names)])
     return row.select(*[f"{n}.*" for n in names])
 
 
+def quality_totals(stepped: DataFrame, repaired: DataFrame) -> DataFrame:
+    return totals_of(report_tables(stepped, repaired))
+
+
 def status_totals(wide: DataFrame) -> DataFrame:
     return status_distribution(wide).groupBy("status_code").agg(F.sum("n").alias("n"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from spindle.constants import HEAD_COLUMN, HEAD_FIELDS, TIMESTAMP
 from spindle.operators.readings import complete_heads
+from spindle.plans.ranks import ranked
 from spindle.session import configure
 
 # executors get these functions by value and need no copy of the package
@@ -50,8 +51,7 @@ def discover_raw_files(spark: SparkSession, path: str) -> DataFrame:
         found = None
     if found is None or found.isEmpty():
         raise FileNotFoundError(f"no CSV files found under {path}")
-    # one row per file; names, not contents
-    return found.selectExpr("path", "length", "row_number() over (order by split(path, '/')) as position")
+    return ranked(found, F.split("path", "/")).select("path", "length", "position")
 
 
 def header_lines(files: DataFrame) -> DataFrame:
@@ -182,17 +182,16 @@ def read_wide_csv(spark: SparkSession, path: str | list[str]) -> RawArchive:
         parts = [_read_group(spark, g["header"], g["paths"]) for g in groups]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     else:
-        rows = spark.createDataFrame([], _empty_schema())
+        rows = empty_rows(spark)
     return RawArchive(rows, schema_errors(checked), schema_warnings(checked))
 
 
-def _empty_schema() -> T.StructType:
-    """Of an archive without an accepted file; one head, so that the columns of
-    heads have types."""
+def empty_rows(spark: SparkSession) -> DataFrame:
+    """The rows of an archive without an accepted file; one head, so that the
+    columns of heads have types."""
     fields = "".join(f", `H01 {field}` double" for field in HEAD_FIELDS)
-    return T.StructType.fromDDL(
-        f"source_file string, block long, row_id long, {TIMESTAMP} timestamp_ntz, file_heads array<string>{fields}"
-    )
+    schema = f"source_file string, block long, row_id long, {TIMESTAMP} timestamp_ntz, file_heads array<string>{fields}"
+    return spark.createDataFrame([], schema)
 
 
 def _read_group(spark: SparkSession, header: str, paths: list[str]) -> DataFrame:

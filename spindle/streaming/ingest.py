@@ -1,21 +1,25 @@
 """Incremental ingest: the batch operators over new files plus a small state.
 
 The stream carries file names, not rows: each micro-batch is the list of all new
-files. They are put in path order, whatever their modification times, and cut
-into batches of files that are read whole, each by its own header. Between
-batches the state keeps one
-row per head and one for the machine. It enters a batch as a few rows that sort
-before the new files: the last valid count of every head, a zero after it if the
-head was inside an undecided run of zeros, and the idle run still open.
-
-Every batch writes under its own batch number, and reads the state of the batch
-before. The numbers follow from the micro-batch and the place in it, and the size
-of its batches is stored, so running a micro-batch again after a failure replaces
-its output.
+files. They are put in path order, whatever their modification times, in a stored
+table, and read in batches of files, each whole and by its own header. Between
+batches the state keeps one row per head and one for the machine. It enters a
+batch as a few rows that sort before the new files: the last valid count of every
+head, a zero after it if the head was inside an undecided run of zeros, and the
+idle run still open.
+
+Every batch writes under its own batch number, reads the state of the batch
+before and is committed alone. The numbers follow from the micro-batch and the
+place in it, and the list of its batches is stored when it begins. Running a
+micro-batch again after a failure passes over the committed batches and replaces
+the output of the one that failed.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,15 +27,29 @@ from pyspark.sql.streaming import StreamingQuery
 from spindle.constants import EVENT_SCHEMA
 from spindle.operators import counters, events, idle, readings
 from spindle.operators.ingest import base_name, repair
+from spindle.plans.ranks import ranked
 from spindle.session import configure
 from spindle.sources import tables
-from spindle.sources.raw_csv import CSV_FILES, read_wide_csv
+from spindle.sources.folders import children, put, remove
+from spindle.sources.raw_csv import CSV_FILES, RawArchive, read_wide_csv
+from spindle.streaming import quality_state
 
 STATE_FILE = ""  # sorts before every path
-STATE = ("heads", "machine", "waiting")
 WAITING = ("head_id", "valid_count", "segments", "open_at", "open_file")
 BATCH = "batch"
 NUMBERS = 1 << 32  # batch numbers of one micro-batch
+COMMITS = "_state/commits"
+STAGES = "_stage"
+
+
+class State(NamedTuple):
+    """What a batch leaves for the next one."""
+
+    heads: DataFrame  # a row per head of the newest file
+    machine: DataFrame  # one row
+    waiting: DataFrame  # open runs of zeros of heads that the newest file lacks
+    pending: DataFrame  # raw rows of open runs by head and file
+    last_events: DataFrame  # time of the last event of every head
 
 
 def ingest_stream(
@@ -55,11 +73,7 @@ def ingest_stream(
     )
 
     def process(batch: DataFrame, number: int) -> None:
-        # the names of the new files
-        found = sorted((row["path"] for row in batch.collect()), key=lambda p: p.split("/"))
-        size = _size(batch.sparkSession, output, number, files_per_batch) if found else 1
-        for k, start in enumerate(range(0, len(found), size)):
-            ingest_batch(batch.sparkSession, found[start : start + size], output, number * NUMBERS + k)
+        ingest_files(batch.sparkSession, batch, output, number, files_per_batch)
 
     return (
         names.writeStream.foreachBatch(process)
@@ -69,83 +83,145 @@ def ingest_stream(
     )
 
 
+def ingest_files(spark: SparkSession, files: DataFrame, output: str, number: int, files_per_batch: int) -> None:
+    """The batches of one micro-batch, but for those committed before."""
+    batches = _listed(spark, files, output, number, files_per_batch)
+    done = set(committed(spark, output))
+    count = batches.agg(F.coalesce(F.max("part") + 1, F.lit(0))).first()[0]
+    for part in range(count):
+        if number * NUMBERS + part in done:
+            continue
+        # at most files_per_batch names
+        paths = [row["path"] for row in batches.where(F.col("part") == part).orderBy("position").collect()]
+        ingest_batch(spark, paths, output, number * NUMBERS + part)
+        put(spark, f"{output.rstrip('/')}/{COMMITS}/{number * NUMBERS + part}")
+        remove(spark, f"{output.rstrip('/')}/{STAGES}")
+
+
+def _listed(spark: SparkSession, files: DataFrame, output: str, number: int, size: int) -> DataFrame:
+    """(path, position, part): the files of a micro-batch in path order and the
+    batches it was begun with, as a stored table."""
+    path = _folder(output, "_state/files", number)
+    if "_SUCCESS" not in children(spark, path):
+        placed = ranked(files.select("path"), F.split("path", "/"))
+        part = F.floor((F.col("position") - 1) / size)
+        placed.select("path", "position", part.alias("part")).write.mode("overwrite").parquet(path)
+    return spark.read.schema("path string, position long, part long").parquet(path)
+
+
+def committed(spark: SparkSession, output: str) -> list[int]:
+    """The numbers of the batches that are done."""
+    return sorted(int(n) for n in children(spark, f"{output.rstrip('/')}/{COMMITS}") if n.isdigit())
+
+
 def _folder(output: str, name: str, number: int) -> str:
     return f"{output.rstrip('/')}/{name}/{BATCH}={number}"
 
 
-def _size(spark: SparkSession, output: str, number: int, wanted: int) -> int:
-    """The size of the batches of a micro-batch: the one it was begun with."""
-    path = _folder(output, "_state/sizes", number)
-    try:
-        begun = spark.read.schema("size long").parquet(path).first()
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        begun = None
-    if begun is None:
-        spark.range(1).select(F.lit(wanted).cast("long").alias("size")).write.mode("overwrite").parquet(path)
-    return wanted if begun is None else begun["size"]
-
-
-def _state(spark: SparkSession, output: str, number: int) -> tuple[DataFrame, ...] | None:
-    """State left by the newest batch before this one: heads, machine, waiting."""
-    try:
-        machine = spark.read.parquet(f"{output.rstrip('/')}/_state/machine")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return None
-    last = machine.where(F.col(BATCH) < number).agg(F.max(BATCH)).first()[0]
+def _state(spark: SparkSession, output: str, number: int) -> State | None:
+    """State left by the newest batch with rows before this one."""
+    names = children(spark, f"{output.rstrip('/')}/_state/machine")  # written last
+    found = sorted((int(n.partition("=")[2]) for n in names if n.startswith(f"{BATCH}=")), reverse=True)
+    whole = (n for n in found if n < number and "_SUCCESS" in children(spark, _folder(output, "_state/machine", n)))
+    last = next(whole, None)
     if last is None:
         return None
-    return tuple(spark.read.parquet(_folder(output, f"_state/{name}", last)) for name in STATE)
+    return State(*[spark.read.parquet(_folder(output, f"_state/{name}", last)) for name in State._fields])
 
 
 def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int) -> None:
-    """Ingest the files of one micro-batch."""
+    """Ingest the files of one batch."""
     before = _state(spark, output, number)
     if before is not None:
-        last_file = before[1].first()["last_file"]
-        if paths[0].split("/") <= last_file.split("/"):
-            raise ValueError(f"{paths[0]} sorts before {last_file}, which was already read")
-    wide = _materialise(spark, read_wide_csv(spark, paths).wide, output, "_stage/rows", number)
+        last = before.machine.first()
+        if paths[0].split("/") <= last["last_file"].split("/"):
+            raise ValueError(f"{paths[0]} sorts before {last['last_file']}, which was already read")
+    write = partial(_write, output=output, number=number)
+    read = read_wide_csv(spark, paths)
+    archive = RawArchive(_materialise(spark, read.rows, output, f"{STAGES}/rows", number), read.errors, read.warnings)
+    quality_state.write_schema(archive, write)
+    wide = archive.wide
     if wide.isEmpty():
         return
-    context = wide if before is None else wide.unionByName(_state_rows(wide, *before[:2]), allowMissingColumns=True)
-    rows = _materialise(spark, readings.with_steps(context), output, "_stage/steps", number)
-    changes = _materialise(spark, readings.count_changes(rows), output, "_stage/changes", number)
-    settled = _settled(_materialise(spark, repair(changes), output, "_stage/repaired", number))
+    context = wide if before is None else wide.unionByName(_state_rows(wide, before), allowMissingColumns=True)
+    rows = _materialise(spark, readings.with_steps(context), output, f"{STAGES}/steps", number)
+    changes = _materialise(spark, readings.count_changes(rows), output, f"{STAGES}/changes", number)
+    settled = _settled(_materialise(spark, repair(changes), output, f"{STAGES}/repaired", number))
+    settled = _materialise(spark, settled, output, f"{STAGES}/settled", number)
     moved = _with_past_segments(counters.reset_segments(settled), before)
-
-    found = events.enrich_status(counters.detect_closures(moved.where(F.col("source_file") != STATE_FILE)))
-    timed = _speed(events.dedupe_events(found), before).withColumn("source_file", base_name())
-    timed.select(*EVENT_SCHEMA.fieldNames()).write.mode("overwrite").option("compression", "zstd").parquet(
-        _folder(output, tables.CLOSURE_EVENTS, number)
-    )
-    resolved, waiting = _waiting(settled, before, readings.complete_heads(wide.columns))
+    own = F.col("source_file") != STATE_FILE
+
+    found = events.enrich_status(counters.detect_closures(moved.where(own)))
+    found = _materialise(spark, found, output, f"{STAGES}/found", number)
+    kept = events.dedupe_events(found)
+    removed = events.duplicates_removed(found)
+    again = _repeated(spark, settled.where(own), kept, before, output, number)
+    if again is not None:
+        kept = kept.join(again, events.COUNTER_KEY, "left_anti")
+        removed = removed.union(again.groupBy("head_id").agg(F.count(F.lit(1)).alias("removed")))
+    timed = _speed(kept, before).withColumn("source_file", base_name())
+    timed = timed.select(*EVENT_SCHEMA.fieldNames(), "segment_id")
+    timed.write.mode("overwrite").option("compression", "zstd").parquet(_folder(output, tables.CLOSURE_EVENTS, number))
+    timed = spark.read.schema(timed.schema).parquet(_folder(output, tables.CLOSURE_EVENTS, number))
+    resolved, waiting, masked = _waiting(settled, before, readings.complete_heads(wide.columns))
     log = _resets(moved, before)
+    late = log.where(F.col("_late")).drop("_late")
+    log = log.drop("_late")
     if resolved is not None:
-        log = log.unionByName(resolved)
-    log.write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
+        log, late = log.unionByName(resolved), late.unionByName(resolved)
+    log.withColumn("source_file", base_name()).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
 
-    runs = _materialise(spark, _idle_runs(rows, before), output, "_stage/idle", number)
+    runs = _materialise(spark, _idle_runs(rows, before), output, f"{STAGES}/idle", number)
     newest = rows.agg(F.max("file_seq")).scalar()
     open_run = F.col("touches_end") & (F.col("last_file_seq") == newest)
     idle.long_runs(runs.where(~open_run)).write.mode("overwrite").parquet(
         _folder(output, tables.IDLE_PERIODS, number)
     )
+
+    pending = quality_state.open_rows(settled.where(own))
+    if before is not None:
+        decided = quality_state.fates(settled, masked, STATE_FILE)
+        shown, still = quality_state.late_masks(before.pending, decided)
+        pending = pending.unionByName(still)
+        write(shown, f"{quality_state.FOLDER}/late_masks")
+    quality_state.write_tables(rows.where(own), settled.where(own), None if before is None else last["data_file"], write)
+    write(quality_state.resets_per_file(late), f"{quality_state.FOLDER}/late_resets")
+    write(removed, f"{quality_state.FOLDER}/duplicates_removed")
+    write(pending, "_state/pending")
     _write_state(wide, settled, timed, runs.where(open_run), waiting, before, output, number, paths[-1])
 
 
+def _write(table: DataFrame, name: str, output: str, number: int) -> None:
+    table.write.mode("overwrite").parquet(_folder(output, name, number))
+
+
+def _repeated(spark: SparkSession, settled: DataFrame, kept: DataFrame, before: State | None, output: str, number: int) -> DataFrame | None:
+    """Keys of events that earlier batches have already. Counters only repeat in a
+    segment if the head started afresh, so events of other heads are not read."""
+    if before is None:
+        return None
+    files = settled.agg(F.countDistinct("file_seq")).scalar()
+    whole = settled.groupBy("head_id").agg(F.countDistinct("file_seq").alias("files")).select("head_id", (F.col("files") == files).alias("whole"))
+    current = before.heads.select("head_id", F.lit(True).alias("current"))
+    afresh = before.last_events.join(whole, "head_id").join(current, "head_id", "left").where(~F.coalesce(F.col("whole") & F.col("current"), F.lit(False)))
+    heads = [row["head_id"] for row in afresh.select("head_id").collect()]  # at most MAX_HEAD_IDS names
+    if not heads:
+        return None
+    key = "head_id string, segment_id long, counter long, batch long"
+    earlier = spark.read.schema(key).parquet(f"{output.rstrip('/')}/{tables.CLOSURE_EVENTS}").where((F.col(BATCH) < number) & F.col("head_id").isin(heads))
+    return _materialise(spark, kept.select(*events.COUNTER_KEY).join(earlier, events.COUNTER_KEY, "left_semi"), output, f"{STAGES}/repeated", number)
+
+
 def _materialise(spark: SparkSession, df: DataFrame, output: str, name: str, number: int) -> DataFrame:
     path = _folder(output, name, number)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
-def _state_rows(wide: DataFrame, heads: DataFrame, machine: DataFrame) -> DataFrame:
+def _state_rows(wide: DataFrame, before: State) -> DataFrame:
     """The state as raw rows of a file before all others: the last valid counts,
     then a row with a zero for heads inside an undecided run."""
+    heads, machine = before.heads, before.machine
     known = readings.complete_heads(wide.columns)
     listed = heads.groupBy().agg(
         F.collect_list("head_id").alias("file_heads"),  # at most MAX_HEAD_IDS entries
@@ -169,7 +245,7 @@ def _state_rows(wide: DataFrame, heads: DataFrame, machine: DataFrame) -> DataFr
 def _with_past_segments(moved: DataFrame, before) -> DataFrame:
     if before is None:
         return moved
-    past = F.broadcast(before[0].select("head_id", F.col("segments").alias("_past")))  # MAX_HEAD_IDS rows
+    past = F.broadcast(before.heads.select("head_id", F.col("segments").alias("_past")))  # MAX_HEAD_IDS rows
     total = F.col("segment_id") + F.coalesce("_past", F.lit(0))
     return moved.join(past, "head_id", "left").withColumn("segment_id", total).drop("_past")
 
@@ -187,22 +263,24 @@ def _settled(repaired: DataFrame) -> DataFrame:
 
 
 def _resets(moved: DataFrame, before) -> DataFrame:
-    """Resets that are certain by now. One that began in an earlier batch is
-    logged with the time and file at which its zeros began."""
+    """Resets that are certain by now, and whether they began in an earlier batch
+    (`_late`): such a one is logged with the time and file at which its zeros
+    began."""
     log = counters.counter_resets(moved.where(~F.col("is_open")))
     if before is None:
-        return log.withColumn("source_file", base_name())
-    began = F.broadcast(before[0].select("head_id", "open_at", "open_file"))  # MAX_HEAD_IDS rows
+        return log.withColumn("_late", F.lit(False))
+    began = F.broadcast(before.heads.select("head_id", "open_at", "open_file"))  # MAX_HEAD_IDS rows
     late = F.col("source_file") == STATE_FILE
     return (
         log.join(began, "head_id", "left")
         .withColumns(
             {
                 "timestamp": F.when(late, F.col("open_at")).otherwise(F.col("timestamp")),
-                "source_file": F.when(late, F.col("open_file")).otherwise(base_name()),
+                "source_file": F.when(late, F.col("open_file")).otherwise(F.col("source_file")),
+                "_late": late,
             }
         )
-        .select(*log.columns)
+        .select(*log.columns, "_late")
     )
 
 
@@ -219,27 +297,26 @@ def _as_reset(run: DataFrame) -> DataFrame:
     )
 
 
-def _waiting(settled: DataFrame, before, heads: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+def _waiting(settled: DataFrame, before, heads: list[str]) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """Undecided runs of heads that later files left out. The first count the
-    head reports again decides: returns the resets found so, and what still
-    waits."""
+    head reports again decides: returns the resets found so, what still waits,
+    and whether the zeros of each decided run are masked."""
     if before is None:
-        return None, None
+        return None, None, None
     counted = (F.col("count") != 0) & (F.col("source_file") != STATE_FILE)
     order = F.struct("file_seq", "block", "row_id")
     first = settled.groupBy("head_id").agg(F.min_by("count", F.when(counted, order)).alias("_first"))
-    absent = before[0].where(F.col("is_open") & ~F.col("head_id").isin(*heads))
-    runs = before[2].select(*WAITING).unionByName(absent.select(*WAITING)).join(first, "head_id", "left")
+    absent = before.heads.where(F.col("is_open") & ~F.col("head_id").isin(*heads))
+    runs = before.waiting.select(*WAITING).unionByName(absent.select(*WAITING)).join(first, "head_id", "left")
     resets = _as_reset(runs.where(F.col("_first") < F.col("valid_count")))
-    return resets, runs.where(F.col("_first").isNull()).drop("_first")
+    decided = runs.where(F.col("_first").isNotNull()).select("head_id", (F.col("_first") >= F.col("valid_count")).alias("masked"))
+    return resets, runs.where(F.col("_first").isNull()).drop("_first"), decided
 
 
 def _speed(found: DataFrame, before) -> DataFrame:
     if before is None:
         return events.derive_speed(found)
-    past = before[0].where(F.col("last_event").isNotNull()).select(
-        "head_id", F.col("last_event").alias("timestamp"), F.lit(STATE_FILE).alias("source_file")
-    )
+    past = before.last_events.select("head_id", F.col("last_event").alias("timestamp"), F.lit(STATE_FILE).alias("source_file"))
     both = found.unionByName(past, allowMissingColumns=True)
     return events.derive_speed(both).where(F.col("source_file") != STATE_FILE)
 
@@ -250,7 +327,7 @@ def _idle_runs(rows: DataFrame, before) -> DataFrame:
         return idle.merge_runs_across_files(runs)
     # the open run takes the place of the state's file, the first one
     one = F.lit(1).cast("long")
-    past = before[1].where(F.col("idle_start").isNotNull()).select(
+    past = before.machine.where(F.col("idle_start").isNotNull()).select(
         one.alias("file_seq"),
         one.alias("last_file_seq"),
         F.col("idle_start").alias("start_at"),
@@ -275,14 +352,13 @@ def _write_state(wide, settled, timed, open_run, waiting, before, output, number
         F.count(F.when((F.col("counter_delta") < 0) & ~F.col("is_open"), 1)).alias("_resets"),
         F.max("file_seq").alias("_seq"),
     )
-    heads = per_head.join(timed.groupBy("head_id").agg(F.max("timestamp").alias("_event")), "head_id", "left")
+    heads = per_head
     if before is not None:
-        past = before[0].select("head_id", "segments", "last_event", "open_at", "open_file")
+        past = before.heads.select("head_id", "segments", "open_at", "open_file")
     else:
         past = heads.select("head_id").limit(0).select(
             "head_id",
             F.lit(0).cast("long").alias("segments"),
-            F.lit(None).cast("timestamp_ntz").alias("last_event"),
             F.lit(None).cast("timestamp_ntz").alias("open_at"),
             F.lit(None).cast("string").alias("open_file"),
         )
@@ -294,51 +370,72 @@ def _write_state(wide, settled, timed, open_run, waiting, before, output, number
         is_open.alias("is_open"),
         F.when(is_open & carried, F.col("open_at")).when(is_open, F.col("_open.timestamp")).alias("open_at"),
         F.when(is_open & carried, F.col("open_file"))
-        .when(is_open, base_name("_open.source_file"))
+        .when(is_open, F.col("_open.source_file"))
         .alias("open_file"),
         (F.coalesce("segments", F.lit(0)) + F.col("_resets")).alias("segments"),
-        F.coalesce("_event", "last_event").alias("last_event"),
         (F.col("_seq") == newest).alias("_current"),
     )
-    table = _materialise(wide.sparkSession, table, output, "_stage/heads", number)
+    table = _materialise(wide.sparkSession, table, output, f"{STAGES}/heads", number)
     # a head missing from the newest file starts afresh, as in the batch ingest
     table.where("_current").drop("_current").write.mode("overwrite").parquet(_folder(output, "_state/heads", number))
     left = table.where(~F.col("_current") & F.col("is_open")).select(*WAITING)
     if waiting is not None:
         left = left.unionByName(waiting.select(*WAITING))
     left.write.mode("overwrite").parquet(_folder(output, "_state/waiting", number))
+    last_events = timed.groupBy("head_id").agg(F.max("timestamp").alias("last_event"))
+    if before is not None:
+        last_events = last_events.unionByName(before.last_events).groupBy("head_id").agg(F.max("last_event").alias("last_event"))
+    _write(last_events, "_state/last_events", output, number)
     last_row = F.struct(readings.file_order(), "block", "row_id")
     pending = open_run.agg(
         F.max("start_at").alias("idle_start"), F.max("end_at").alias("idle_end"), F.max("n_rows").alias("idle_rows")
     )
-    machine = wide.agg(F.max_by("timestamp", last_row).alias("last_timestamp")).select(
-        "last_timestamp", F.lit(last_file).alias("last_file"), pending.select(F.struct("*")).scalar().alias("_p")
+    newest_row = wide.agg(F.max_by("timestamp", last_row).alias("last_timestamp"), F.max_by("source_file", last_row).alias("data_file"))
+    machine = newest_row.select(
+        "last_timestamp", "data_file", F.lit(last_file).alias("last_file"), pending.select(F.struct("*")).scalar().alias("_p")
     )
-    machine.select("last_timestamp", "last_file", "_p.*").write.mode("overwrite").parquet(
+    machine.select("last_timestamp", "data_file", "last_file", "_p.*").write.mode("overwrite").parquet(
         _folder(output, "_state/machine", number)
     )
 
 
 def finish_idle(spark: SparkSession, output: str) -> DataFrame:
     """All idle periods so far, with the run still open at the end of the data."""
-    root = output.rstrip("/")
-    closed = spark.read.parquet(f"{root}/{tables.IDLE_PERIODS}").drop(BATCH)
-    machine = spark.read.parquet(f"{root}/_state/machine")
-    newest = machine.where(F.col(BATCH) == machine.agg(F.max(BATCH)).scalar())
-    open_run = newest.where(F.col("idle_start").isNotNull()).select(
+    closed = spark.read.parquet(f"{output.rstrip('/')}/{tables.IDLE_PERIODS}").drop(BATCH)
+    open_run = _state(spark, output, 1 << 62).machine.where(F.col("idle_start").isNotNull()).select(
         F.col("idle_start").alias("start_at"), F.col("idle_end").alias("end_at"), F.col("idle_rows").alias("n_rows")
     )
     return closed.unionByName(idle.long_runs(open_run))
 
 
+def _still_open(spark: SparkSession, output: str) -> DataFrame:
+    """Resets for which the runs of zeros still open are taken."""
+    newest = _state(spark, output, 1 << 62)
+    return _as_reset(newest.heads.where("is_open").select(*WAITING).unionByName(newest.waiting.select(*WAITING)))
+
+
 def finish_resets(spark: SparkSession, output: str) -> DataFrame:
     """All resets so far, counting runs of zeros still open as resets."""
-    root = output.rstrip("/")
-    log = spark.read.parquet(f"{root}/counter_resets").drop(BATCH)
-    last = spark.read.parquet(f"{root}/_state/machine").agg(F.max(BATCH)).scalar()
-    newest = lambda name: spark.read.parquet(f"{root}/_state/{name}").where(F.col(BATCH) == last)
-    still = newest("heads").where("is_open").select(*WAITING).unionByName(newest("waiting").select(*WAITING))
-    return log.unionByName(_as_reset(still))
+    log = spark.read.parquet(f"{output.rstrip('/')}/counter_resets").drop(BATCH)
+    return log.unionByName(_still_open(spark, output).withColumn("source_file", base_name()))
+
+
+RESETS = "timestamp timestamp_ntz, head_id string, previous_count double, new_count double, segment_before long, segment_after long, source_file string"
+
+
+def finish_quality(spark: SparkSession, output: str) -> dict[str, DataFrame]:
+    """The quality report over all files so far: the tables, by name, that a
+    batch ingest of them writes."""
+    if _state(spark, output, 1 << 62) is None:  # no file had a row
+        log, still, found = spark.createDataFrame([], RESETS), spark.createDataFrame([], RESETS), spark.createDataFrame([], EVENT_SCHEMA)
+    else:
+        log, still, found = finish_resets(spark, output), _still_open(spark, output), stream_events(spark, output)
+    return quality_state.folded_report(spark, output, quality_state.resets_per_file(still), log, found)
+
+
+def write_quality(spark: SparkSession, output: str) -> str:
+    """Store the report beside the events, as an ingest does."""
+    return tables.write_quality_tables(finish_quality(spark, output), output)
 
 
 def stream_events(spark: SparkSession, output: str) -> DataFrame:
