@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -19,7 +20,8 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-REMEMBERED = 3_000_000  # links in remembered windows, beyond which a Python worker forgets them all
+REMEMBERED = 2_000_000  # links in remembered windows, beyond which a Python worker forgets them all
+OTHER = np.uint32(1 << 31)  # marks the ids of B
 SEGMENT = 200_000  # characters from which a text is tokenized in parts
 # How byte-level tokenizers cut texts into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,7 +41,7 @@ def byte_letters() -> list[str]:
 
 class ByteTokens:
     """A byte-level tokenizer file: ids without special tokens, whose strings in
-    a text are plain text."""
+    a text are plain text. The tokens of a text always spell its bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -47,15 +49,12 @@ class ByteTokens:
         model, cut = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or spec["normalizer"] or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut.get("use_regex", True):
             raise ValueError("not byte-pair merges of bytes")
+        self.path = path
         byte = {letter: b for b, letter in enumerate(byte_letters())}
         vocabulary = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(byte[letter] for letter in token)
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         made = [model["vocab"][left + right] for left, right in merges]
         special = {t["content"] for t in spec["added_tokens"]}
@@ -63,9 +62,17 @@ class ByteTokens:
         #: ids in the order of merges are ranks, for which there is a faster library
         self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if made == sorted(made) else None
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def encode(self, text: str) -> np.ndarray:
         if self.fast and not NOT_PLAIN.search(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -80,8 +87,8 @@ class PieceTokens:
         if any(re.search(rb"[^ ] ", t) for t in self.bytes):
             raise ValueError("pieces reach across words")
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text), np.uint32)
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.uint32) for ids in self.library.encode(texts, num_threads=1)]
 
 
 def parts_of(text: str) -> Iterator[str]:
@@ -107,25 +114,27 @@ class WindowAligner:
         self.spaced = np.array([t.startswith(b" ") for t in self.a.bytes])
         self.memo = _Windows(self)
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both, or None if the bytes of either differ from those of a
-        space and the text. A null or empty text has no tokens."""
-        if not text:
-            return None
-        found: tuple[list, list] = ([], [])
-        for part in parts_of(text):
-            wanted = f" {part}".encode()
-            for ids, model, given in zip(found, (self.a, self.b), (f" {part}", part), strict=True):
-                ids.append(model.encode(given))
-                if b"".join(map(model.bytes.__getitem__, ids[-1].tolist())) != wanted:
-                    return None
-        return np.concatenate(found[0]), np.concatenate(found[1])
+    def tokens(self, texts: list[str | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """The ids of both by the number of the text. Texts that are null or empty
+        or whose tokens have not the bytes that a space and the text have are left
+        out."""
+        parts = [(n, part) for n, text in enumerate(texts) if text for part in parts_of(text)]
+        found: dict[int, tuple[list, list]] = {}
+        short = set()
+        for (n, part), b in zip(parts, self.b.encode_all([part for _, part in parts]), strict=True):
+            a = self.a.encode(f" {part}")
+            wanted = len(part.encode()) + 1
+            if self.sizes[0][a].sum() != wanted or self.sizes[1][b].sum() != wanted:
+                short.add(n)
+            for ids, side in zip(found.setdefault(n, ([], [])), (a, b), strict=True):
+                ids.append(side)
+        return {n: (np.concatenate(a), np.concatenate(b)) for n, (a, b) in found.items() if n not in short}
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
         """(tokens of A, tokens of B, groups, the groups as text, distinct pairs
         of ids, how often each is linked) of each text."""
         out = [(0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))] * len(texts)
-        ids = {n: t for n, t in enumerate(map(self.tokens, texts)) if t}
+        ids = self.tokens(texts)
         if not ids:
             return out
         a, b = (np.concatenate([t[side] for t in ids.values()]) for side in (0, 1))
@@ -135,86 +144,97 @@ class WindowAligner:
         shared = np.flatnonzero(ends[1][at] == ends[0])
         anchors = np.append(self.spaced[a[shared[:-1] + 1]], True)
         stop_a, stop_b = shared[anchors] + 1, at[shared[anchors]] + 1
-        windows = np.fromiter(self.memo.numbers(a, b, stop_a, stop_b), np.int64, len(stop_a))
-        kinds, kind = np.unique(windows, return_inverse=True)
-        n_groups = np.array([self.memo.groups[k] for k in kinds.tolist()], np.int64)
-        links = [self.memo.links[k] for k in kinds.tolist()]
-        per = np.fromiter(map(len, links), np.int64, len(links))
-        flat, first = np.concatenate(links), np.cumsum(per) - per
+        windows = self.memo.numbers(a, b, stop_a, stop_b)
+        n_groups, sizes = self.memo.groups[windows], self.memo.sizes[windows]
         # the first window of each text
         firsts = np.searchsorted(stop_a, np.cumsum([len(t[0]) for t in ids.values()]), side="right")
         starts = np.concatenate([[0], firsts[:-1]])
         text_of = np.repeat(np.arange(len(ids)), firsts - starts)
-        sizes = per[kind]
         nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        pair = flat[np.repeat(first[kind], sizes) + nth]
+        pair = self.memo.links[np.repeat(self.memo.first[windows], sizes) + nth]
         keys, times = np.unique(np.repeat(text_of, sizes) << 40 | pair, return_counts=True)
         bounds = np.searchsorted(keys >> 40, np.arange(len(ids) + 1))
         pairs = keys & ((1 << 40) - 1)
         for n, (name, (ids_a, ids_b)) in enumerate(ids.items()):
             mine, of = slice(bounds[n], bounds[n + 1]), slice(starts[n], firsts[n])
-            text = ";".join(map(self.memo.texts.__getitem__, windows[of].tolist()))
-            out[name] = (len(ids_a), len(ids_b), int(n_groups[kind[of]].sum()), text, pairs[mine], times[mine])
+            groups = n_groups[of]
+            if groups.all():  # no window whose tokens spell different bytes
+                text = ";".join(map(self.memo.texts.__getitem__, windows[of].tolist()))
+                out[name] = (len(ids_a), len(ids_b), int(groups.sum()), text, pairs[mine], times[mine])
         self.memo.shrink()
         return out
 
 
 class _Windows(dict):
-    """The number of a window by its two tuples of ids, as bytes, and its groups
-    and links by number."""
+    """The number of a window by its two tuples of ids, as bytes. By number: its
+    groups as text and how many (none if its tokens spell different bytes), the
+    place of its first link and how many."""
 
     def __init__(self, aligner: WindowAligner):
-        self.aligner = aligner
+        self.spelled, self.spans, self.width = (aligner.a.bytes, aligner.b.bytes), aligner.sizes, aligner.width
+        self.most = max(map(len, self.spelled))
+        self.written = [f"{i}{end}" for end in ",|;" for i in range(self.most)]
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.groups: list[int] = []
         self.texts: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.held = 0
+        self.groups = self.sizes = self.first = self.links = np.empty(0, np.int64)
 
     def shrink(self) -> None:
-        if self.held > REMEMBERED:
+        if len(self.links) > REMEMBERED:
             self.forget()
 
-    def numbers(self, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> Iterator[int]:
-        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        i = k = 0
-        for j, m in zip((4 * stop_a).tolist(), (4 * stop_b).tolist(), strict=True):
-            yield self[raw_a[i:j], raw_b[k:m]]
-            i, k = j, m
-
-    def __missing__(self, window: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(side, "<u4").tolist() for side in window)
-        pairs, cuts = self._overlaps(a, b)
-        bounds = [(0, 0), *cuts]
-        groups = (f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for (i, k), (j, m) in pairwise(bounds))
-        self.texts.append(";".join(groups))
-        self.groups.append(len(cuts))
-        self.links.append(np.array(pairs, np.int64))
-        self.held += len(pairs)
-        self[window] = number = len(self.links) - 1
-        return number
-
-    def _overlaps(self, a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
-        """Pairs of ids of tokens that share bytes, and the places where both
-        end."""
-        width, (size_a, size_b) = self.aligner.width, self.aligner.sizes
-        pairs, cuts = [], []
-        i = k = 0
-        left = int(size_a[a[0]]) - int(size_b[b[0]])  # how far the token of A reaches beyond that of B
-        while True:
-            pairs.append(b[k] * width + a[i])
-            if left == 0:
-                i, k = i + 1, k + 1
-                cuts.append((i, k))
-                if i == len(a):
-                    return pairs, cuts
-                left = int(size_a[a[i]]) - int(size_b[b[k]])
-            elif left < 0:
-                i += 1
-                left += int(size_a[a[i]])
-            else:
-                k += 1
-                left -= int(size_b[b[k]])
+    def numbers(self, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> np.ndarray:
+        """The numbers of windows that stop there. The ids of B lie behind those of
+        A of the same window, with the highest bit set."""
+        both = np.empty(len(a) + len(b), "<u4")
+        window_a = np.repeat(np.arange(len(stop_a)), np.diff(stop_a, prepend=0))
+        window_b = np.repeat(np.arange(len(stop_b)), np.diff(stop_b, prepend=0))
+        both[np.arange(len(a)) + np.concatenate([[0], stop_b])[window_a]] = a
+        both[np.arange(len(b)) + stop_a[window_b]] = b | OTHER
+        raw, stops = both.tobytes(), (4 * (stop_a + stop_b)).tolist()
+        windows = [raw[i:j] for i, j in pairwise([0, *stops])]
+        new = [w for w in dict.fromkeys(windows) if w not in self]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.__getitem__, windows), np.int64, len(windows))
+
+    def _add(self, new: list[bytes]) -> None:
+        """Align windows, all at once. Every offset at which a token of A or B ends
+        is the end of one link; where both end, a group ends."""
+        ids = np.frombuffer(b"".join(new), "<u4").astype(np.int64)
+        window = np.repeat(np.arange(len(new)), [len(w) // 4 for w in new])
+        is_b = ids >= int(OTHER)
+        sides, of = (ids[~is_b], ids[is_b] - int(OTHER)), (window[~is_b], window[is_b])
+        ends = [np.cumsum(span[side]) for span, side in zip(self.spans, sides, strict=True)]
+        every = np.union1d(*ends)
+        at = [np.searchsorted(e, every) for e in ends]
+        sizes = np.bincount(of[0][at[0]], minlength=len(new))
+        both_end = (ends[0][at[0]] == every) & (ends[1][at[1]] == every)
+        groups = np.bincount(of[0][at[0][both_end]], minlength=len(new))
+        self._write(new, sides, of, ends, every[both_end])
+        groups[self._unlike(sides, of)] = 0
+        start = len(self.links)
+        self.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.first = np.append(self.first, start + np.cumsum(sizes) - sizes)
+        self.links = np.append(self.links, sides[1][at[1]] * self.width + sides[0][at[0]])
+        self.sizes, self.groups = np.append(self.sizes, sizes), np.append(self.groups, groups)
+
+    def _write(self, new, sides, of, ends, cuts) -> None:
+        """The groups as text: the ids of A, then those of B, of each group."""
+        group = [np.searchsorted(cuts, e) for e in ends]
+        marks = [np.append(np.diff(g) != 0, True) for g in group]  # the last id of a side of its group
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        kind = np.concatenate([np.where(marks[0], 1, 0), np.where(marks[1], 2, 0)]) * self.most + np.concatenate(sides)
+        parts = [self.written[k] for k in kind[order].tolist()]
+        stops = np.cumsum(np.bincount(np.concatenate(of), minlength=len(new))).tolist()
+        self.texts += ["".join(parts[i:j])[:-1] for i, j in pairwise([0, *stops])]
+
+    def _unlike(self, sides, of) -> np.ndarray:
+        """Windows whose tokens spell different bytes. All have as many in both."""
+        whole = [b"".join(map(t.__getitem__, side.tolist())) for t, side in zip(self.spelled, sides, strict=True)]
+        if whole[0] == whole[1]:
+            return np.empty(0, np.int64)
+        differ = np.flatnonzero(np.frombuffer(whole[0], np.uint8) != np.frombuffer(whole[1], np.uint8))
+        return np.unique(of[0][np.searchsorted(np.cumsum(self.spans[0][sides[0]]), differ, side="right")])
