@@ -17,9 +17,9 @@ DAY_OF = r"day=(\d{4}-\d{2}-\d{2})"
 DAY_SQL = "substr(source_file, 5, 10)"
 
 
-def csv_files(spark, folder, columns=CELLS):
+def csv_files(spark, folder, columns=CELLS, root=None):
     """The raw sample rows as CSV, one file per day."""
-    path = workspace(spark, "raw_csv")
+    path = root or workspace(spark, "raw_csv")
     rows = samples.raw_wide(spark, folder).select(
         F.to_date("timestamp").alias("day"), "row_id", "timestamp", *columns
     )
@@ -439,10 +439,15 @@ def _batch(spark, folder):
 
 
 def _stream(spark, folder, files_per_batch=16):
-    """The tables of one streaming ingest, shared by the queries on them."""
-    run = lambda out: streaming.ingest_stream(
-        spark, csv_files(spark, folder), out, files_per_batch
-    ).awaitTermination()
+    """The tables of one streaming ingest, shared by the queries on them. Half of
+    the files lack columns and are rejected."""
+
+    def run(out):
+        root = workspace(spark, "stream_csv")
+        csv_files(spark, folder, root=f"{root}/days")
+        csv_files(spark, folder, ["H01 Count", "H02 Status"], f"{root}/parts")
+        streaming.ingest_stream(spark, root, out, files_per_batch).awaitTermination()
+
     return tables.once(spark, folder, "streamed", run)
 
 
@@ -490,3 +495,38 @@ register(
     """SELECT head_id, data_quality, classification, count(*) AS events, CAST(sum(inferred_closure_count) AS BIGINT) AS inferred_closures
        FROM ingested GROUP BY 1, 2, 3""",
 )
+
+
+def _stream_report(name):
+    return lambda spark, folder: streaming.finish_quality(spark, _stream(spark, folder))[name]
+
+
+_REMOVED = "SELECT head_id, segment_id, counter, count(*) - 1 AS extra FROM found GROUP BY ALL"
+register(
+    "stream_quality_totals",
+    _stream_report("quality_totals"),
+    REPAIRED + f", found AS ({_CLOSURES}), removed AS ({_REMOVED})",
+    f"""SELECT *, (SELECT CAST(sum(extra) AS BIGINT) FROM removed) AS duplicate_events_removed_total,
+         (SELECT count(DISTINCT source_file) FROM raw) AS schema_errors FROM ({_TOTALS})""",
+    "missing_pct_overall",
+)
+register(
+    "stream_schema_errors",
+    lambda s, d: _stream_report("schema_errors")(s, d).groupBy("error").agg(F.count(F.lit(1)).alias("files")),
+    RAW,
+    """SELECT 'no complete Count/AppTorque/Status triplet found' AS error, count(DISTINCT source_file) AS files FROM raw""",
+)
+register(
+    "stream_duplicates_removed",
+    _stream_report("duplicates_removed"),
+    REPAIRED + f", found AS ({_CLOSURES}), removed AS ({_REMOVED})",
+    "SELECT head_id, CAST(sum(extra) AS BIGINT) AS removed FROM removed GROUP BY head_id HAVING sum(extra) > 0",
+)
+register(
+    "stream_breakdowns",
+    _stream_report("breakdowns"),
+    _INGESTED,
+    """SELECT 'head' AS breakdown, head_id AS value, count(*) AS events, CAST(sum(inferred_closure_count) AS BIGINT) AS inferred_closures FROM ingested GROUP BY head_id
+       UNION ALL SELECT 'data_quality', data_quality, count(*), CAST(sum(inferred_closure_count) AS BIGINT) FROM ingested GROUP BY data_quality
+       UNION ALL SELECT 'classification', classification, count(*), CAST(sum(inferred_closure_count) AS BIGINT) FROM ingested GROUP BY classification""",
+)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from functools import partial
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -148,7 +148,8 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     changes = _materialise(spark, readings.count_changes(rows), output, f"{STAGES}/changes", number)
     settled = _settled(_materialise(spark, repair(changes), output, f"{STAGES}/repaired", number))
     settled = _materialise(spark, settled, output, f"{STAGES}/settled", number)
-    moved = _with_past_segments(counters.reset_segments(settled), before)
+    eras = _eras(settled)
+    moved = _with_past_segments(counters.reset_segments(settled), eras, before)
     own = F.col("source_file") != STATE_FILE
 
     found = events.enrich_status(counters.detect_closures(moved.where(own)))
@@ -188,7 +189,7 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     write(quality_state.resets_per_file(late), f"{quality_state.FOLDER}/late_resets")
     write(removed, f"{quality_state.FOLDER}/duplicates_removed")
     write(pending, "_state/pending")
-    _write_state(wide, settled, timed, runs.where(open_run), waiting, before, output, number, paths[-1])
+    _write_state(wide, settled, eras, timed, runs.where(open_run), waiting, before, output, number, paths[-1])
 
 
 def _write(table: DataFrame, name: str, output: str, number: int) -> None:
@@ -242,12 +243,26 @@ def _state_rows(wide: DataFrame, before: State) -> DataFrame:
     )
 
 
-def _with_past_segments(moved: DataFrame, before) -> DataFrame:
+def _eras(settled: DataFrame) -> DataFrame:
+    """(head_id, file_seq, _carried, _latest): a head that a file lacks starts
+    afresh in the next one. Whether a file belongs to the unbroken sequence that
+    begins with the state, and to the last one of the head."""
+    head = Window.partitionBy("head_id")  # a row per file of the batch
+    files = settled.select("head_id", "file_seq", (F.col("source_file") == STATE_FILE).alias("_past")).distinct()
+    era = F.col("file_seq") - F.row_number().over(head.orderBy("file_seq"))
+    files = files.withColumn("_era", era)
+    past, last = F.max(F.when(F.col("_past"), F.col("_era"))).over(head), F.max(F.struct("file_seq", "_era")).over(head)["_era"]
+    same = lambda other: F.coalesce(F.col("_era") == other, F.lit(False))
+    return files.select("head_id", "file_seq", same(past).alias("_carried"), same(last).alias("_latest"))
+
+
+def _with_past_segments(moved: DataFrame, eras: DataFrame, before) -> DataFrame:
     if before is None:
         return moved
-    past = F.broadcast(before.heads.select("head_id", F.col("segments").alias("_past")))  # MAX_HEAD_IDS rows
+    past = eras.where("_carried").join(before.heads.select("head_id", "segments"), "head_id")
+    past = F.broadcast(past.select("head_id", "file_seq", F.col("segments").alias("_past")))  # heads x files of the batch
     total = F.col("segment_id") + F.coalesce("_past", F.lit(0))
-    return moved.join(past, "head_id", "left").withColumn("segment_id", total).drop("_past")
+    return moved.join(past, ["head_id", "file_seq"], "left").withColumn("segment_id", total).drop("_past")
 
 
 def _settled(repaired: DataFrame) -> DataFrame:
@@ -340,16 +355,17 @@ def _idle_runs(rows: DataFrame, before) -> DataFrame:
     return idle.merge_runs_across_files(runs.unionByName(past))
 
 
-def _write_state(wide, settled, timed, open_run, waiting, before, output, number, last_file) -> None:
+def _write_state(wide, settled, eras, timed, open_run, waiting, before, output, number, last_file) -> None:
     order = F.struct("file_seq", "block", "row_id")
     known = F.col("valid_count").isNotNull()
     newest = settled.agg(F.max("file_seq")).scalar()
     first_open = F.min(F.when(F.col("is_open"), F.struct(order, "timestamp", "source_file", "previous_valid")))
-    per_head = settled.groupBy("head_id").agg(
+    per_head = settled.join(F.broadcast(eras), ["head_id", "file_seq"]).groupBy("head_id").agg(
         F.max_by("valid_count", F.when(known & ~F.col("is_open"), order)).alias("_valid"),
         first_open.alias("_open"),
         # the reset of an open run is not certain, so it is not counted yet
-        F.count(F.when((F.col("counter_delta") < 0) & ~F.col("is_open"), 1)).alias("_resets"),
+        F.count(F.when((F.col("counter_delta") < 0) & ~F.col("is_open") & F.col("_latest"), 1)).alias("_resets"),
+        F.bool_or(F.col("_carried") & F.col("_latest")).alias("_goes_on"),
         F.max("file_seq").alias("_seq"),
     )
     heads = per_head
@@ -372,7 +388,7 @@ def _write_state(wide, settled, timed, open_run, waiting, before, output, number
         F.when(is_open & carried, F.col("open_file"))
         .when(is_open, F.col("_open.source_file"))
         .alias("open_file"),
-        (F.coalesce("segments", F.lit(0)) + F.col("_resets")).alias("segments"),
+        (F.when(F.col("_goes_on"), F.coalesce("segments", F.lit(0))).otherwise(0) + F.col("_resets")).alias("segments"),
         (F.col("_seq") == newest).alias("_current"),
     )
     table = _materialise(wide.sparkSession, table, output, f"{STAGES}/heads", number)
@@ -440,7 +456,10 @@ def write_quality(spark: SparkSession, output: str) -> str:
 
 def stream_events(spark: SparkSession, output: str) -> DataFrame:
     """The event table written so far."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(f"{output.rstrip('/')}/{tables.CLOSURE_EVENTS}").drop(BATCH)
+    path = f"{output.rstrip('/')}/{tables.CLOSURE_EVENTS}"
+    if not children(spark, path):
+        return spark.createDataFrame([], EVENT_SCHEMA)
+    return spark.read.schema(EVENT_SCHEMA).parquet(path).drop(BATCH)
 
 
 def ingest_statistics(spark: SparkSession, output: str) -> DataFrame:

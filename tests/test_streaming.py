@@ -1,8 +1,9 @@
 import os
 
 import pytest
-from machine import account, one_head, random_archive, write
+from machine import File, account, at, one_head, random_archive, write
 
+from spindle.constants import EVENT_SCHEMA
 from spindle.operators.ingest import ingest
 from spindle.streaming import ingest as streaming
 
@@ -114,3 +115,85 @@ def test_statistics_follow_the_events(spark, tmp_path):
     query.awaitTermination()
     rows = {r.data_quality: (r.events, r.inferred_closures) for r in spark.table("stats").collect()}
     assert rows == {"single": (3, 3), "aggregated": (1, 2)}
+
+
+QUALITY_KEYS = {"quality_totals", "schema_errors", "schema_warnings", "bad_timestamps", "file_quality", "missing_cells", "trailing_zero_rows", "sampling_gaps", "boundary_gaps", "invalid_torque", "status_distribution", "file_counter_resets", "unexpected_status", "counter_resets", "duplicates_removed", "breakdowns"}
+
+
+def plain_rows(df):
+    names = sorted(df.columns)
+    tidy = lambda v: round(v, 6) if isinstance(v, float) else v
+    return names, sorted((tuple(tidy(r[n]) for n in names) for r in df.collect()), key=repr)
+
+
+def full_events(df):
+    rows = df.select(*[f.name for f in EVENT_SCHEMA]).collect()
+    return sorted(map(tuple, rows), key=repr)
+
+
+def assert_report_equals_batch(spark, files, folder, sizes, broken=()):
+    """Returns the tables of the batch ingest, by name, as rows."""
+    raw = write(files, folder / "raw")
+    for name, text in broken:
+        (folder / "raw" / name).write_text(text)
+    batch = ingest(spark, raw, str(folder / "batch"))
+    want = {name: plain_rows(table) for name, table in batch.quality.items()}
+    assert set(want) == QUALITY_KEYS
+    for size in sizes:
+        out = run(spark, raw, str(folder / f"out{size}"), size)
+        got = streaming.finish_quality(spark, out)
+        assert {name: plain_rows(table) for name, table in got.items()} == want
+        assert full_events(streaming.stream_events(spark, out)) == full_events(batch.closure_events)
+    return {name: [dict(zip(names, row, strict=True)) for row in rows] for name, (names, rows) in want.items()}
+
+
+def test_report_of_an_archive_without_rows(spark, tmp_path):
+    broken = [("a.csv", "time,H01 Count\n1,2\n")]
+    assert len(assert_report_equals_batch(spark, [], tmp_path, [1], broken)["schema_errors"]) == 1
+
+
+def test_quality_report_equals_batch(spark, tmp_path):
+    """Zeros that later files mask or make a reset of, a head that a file lacks
+    and that comes back with counts it had, a broken file, a pause between files
+    and an unreadable time."""
+    counts = [
+        {"H01": [5, 6, 6, 0, 0], "H02": [5, 6, 7, 8, 0], "H03": [100, 101, 0, 0, 0]},
+        {"H01": [0, 0, 0, 0, 9], "H03": [0, 0, 0, 0, 0]},
+        {"H01": [9, 10, 0, 0, 0], "H02": [5, 6, 7, 9, 9], "H03": [0, 7, 8, 8, 8]},
+        {"H01": [0, 2, 3, 3, 0], "H02": [0, 0, 0, 12, 0]},
+    ]
+    files, clock = [], 0
+    for i, heads in enumerate(counts):
+        f = File(f"day{i}.csv")
+        for k in range(5):
+            clock += 1
+            f.rows.append((at(clock), {h: (c[k], 0.0 if k == 1 else 2.0 + k, 77 if (i, k) == (2, 3) else 0) for h, c in heads.items()}))
+        clock += 40 * (i == 1)
+        files.append(f)
+    broken = [("day1b.csv", "time,H01 Count\n1,2\n"), ("day2b.csv", "timestamp,H01 Count,H01 AppTorque,H01 Status,Extra\nnever,1,1,1,1\n")]
+    (totals,) = assert_report_equals_batch(spark, files, tmp_path, [1, 2, 4], broken)["quality_totals"]
+    assert totals["corrupted_rows_masked_total"] > 0 and totals["duplicate_events_removed_total"] > 0 and totals["boundary_gaps"] > 0
+
+
+def test_quality_report_of_a_random_archive(spark, tmp_path):
+    assert_report_equals_batch(spark, random_archive(5, n_files=4, heads=("H01", "H02", "H03")), tmp_path, [1])
+
+
+def test_committed_batches_are_not_done_again(spark, tmp_path, monkeypatch):
+    files = one_head([1, 2, 3], [4, 6], [7])
+    raw, out = write(files, tmp_path / "raw"), str(tmp_path / "out")
+    whole, done = streaming.ingest_batch, []
+
+    def failing(s, paths, o, n):
+        done.append(n)
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        whole(s, paths, o, n)
+
+    monkeypatch.setattr(streaming, "ingest_batch", failing)
+    with pytest.raises(Exception, match="lost"):
+        run(spark, raw, out, 1)
+    run(spark, raw, out, 1)
+    assert done == [0, 1, 1, 2] and streaming.committed(spark, out) == [0, 1, 2]
+    assert streaming.stream_events(spark, out).count() == len(expected(files)["events"])
+    assert not (tmp_path / "out" / "_stage").exists()
