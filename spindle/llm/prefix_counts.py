@@ -12,10 +12,13 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import regex
 from tokenizers import Tokenizer
 
+FEW = 24  # letters up to which the last token of a prefix is sought among the longest first
 REMEMBERED = 500_000  # words, and stretches between spaces, whose counts a Python worker keeps
 #: Texts without these characters are their own normal form but for case, letter by letter.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įĲ-ſ‐-‧]")
@@ -48,8 +51,10 @@ class PrefixCounter:
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.byte = {c: b for b, c in enumerate(byte_letters())}
         self.library = Tokenizer.from_file(path)
         self.fits: dict[tuple[str, str], bool] = {}
+        self.recent: tuple = (None, None)  # the last long word and its table
         self.counts = _Remembered(self.word)
         self.stretches = _Remembered(lambda s: sum(map(self.counts.__getitem__, self._words(s)[0])))
 
@@ -85,29 +90,44 @@ class PrefixCounter:
             self.fits[left, right] = known
         return known
 
-    def _last(self, word: str, end: int, suffix: str, last: list[str], counts: list[int]) -> tuple[str, int]:
-        """The last token of the encoding of word[:end], and how many there are."""
+    def _starts(self, end: int) -> range:
+        """Where the last token of a prefix may begin. There is only one such
+        token, so any order will do: in a word of many letters it is short."""
+        return range(end) if end <= FEW else range(end - 1, max(0, end - self.longest) - 1, -1)
+
+    def table(self, word: str) -> tuple[list[str], list[int]]:
+        """For every prefix of a word but the whole, the last token of its encoding
+        inside the word, and how many tokens there are."""
+        if word == self.recent[0]:
+            return self.recent[1]
         vocabulary, fits = self.vocabulary, self.fits
-        for start in range(max(0, end - self.longest), end):
-            token = word[start:end] + suffix
-            if token in vocabulary:
-                left = last[start]
-                if left or not start:
+        last, counts = [""], [0]
+        for end in range(1, len(word)):
+            for start in range(end) if end <= FEW else self._starts(end):
+                token = word[start:end]
+                if token in vocabulary:
+                    left = last[start]
                     good = fits.get((left, token))
                     if good or (good is None and self.follows(left, token)):
-                        return token, counts[start] + 1
-        return "", 0
+                        last.append(token)
+                        counts.append(counts[start] + 1)
+                        break
+        if len(word) > FEW:
+            self.recent = word, (last, counts)
+        return last, counts
+
+    def ending(self, word: str, end: int, last: list[str], counts: list[int]) -> int:
+        """The tokens of the first letters of a word, given its table, as if the
+        word ended there: its last token takes the suffix."""
+        for start in self._starts(end):
+            token = word[start:end] + self.end
+            if token in self.vocabulary and self.follows(last[start], token):
+                return counts[start] + 1
+        return 0
 
     def word(self, word: str) -> int:
-        """The count of a word of byte letters. The table over its prefixes holds
-        their last tokens and counts inside the word; the end of the word takes
-        a token with the suffix."""
-        last, counts = [""], [0]
-        for end in range(1, len(word)):
-            token, count = self._last(word, end, "", last, counts)
-            last.append(token)
-            counts.append(count)
-        return self._last(word, len(word), self.end, last, counts)[1]
+        """The count of a word of byte letters."""
+        return self.ending(word, len(word), *self.table(word))
 
     def pieces(self, text: str):
         """(words, spans or None) of each stretch without special strings, or an
@@ -127,10 +147,13 @@ class PrefixCounter:
             found = self.words.findall(lowered)
             if lowered.isascii():
                 return found, None  # printable ASCII stands for itself
-            return [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in found], None
+            return [w if w.isascii() else self._in_letters(w) for w in found], None
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [w for w, _ in cut], [s for _, s in cut]
 
+    def _in_letters(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def count(self, text: str) -> int:
         """Of the whole text; a special string is one token. No word holds a
         space, so plain texts are looked up by what stands between spaces."""
@@ -138,8 +161,31 @@ class PrefixCounter:
             return sum(map(self.stretches.__getitem__, text.split()))
         return sum(1 if isinstance(p, int) else sum(map(self.counts.__getitem__, p[0])) for p in self.pieces(text))
 
-    def prefixes(self, text: str) -> PrefixTable:
-        return PrefixTable(self, text)
+    def spans(self, text: str) -> Iterator[tuple[int, int, str | None]]:
+        """(start, end, word in byte letters) of the words of the normalized text,
+        one by one; a special string has no word."""
+        at = start = 0
+        specials = [m.span() for m in self.special.finditer(text)] if self.special else []
+        for begin, stop in [*specials, (len(text), len(text))]:
+            stretch = text[start:begin]
+            size = len(stretch)
+            if not NOT_PLAIN.search(stretch):
+                for found in self.words.finditer(stretch.lower()):
+                    yield at + found.start(), at + found.end(), found[0] if found[0].isascii() else self._in_letters(found[0])
+            else:
+                words, spans = self._words(stretch)
+                for word, (i, j) in zip(words, spans, strict=True):
+                    yield at + i, at + j, word
+                size = spans[-1][1] if spans else 0
+            at += size
+            if stop > begin:
+                yield at, at + stop - begin, None
+            at, start = at + stop - begin, stop
+
+    def prefixes(self, text: str, budget: int | None = None) -> PrefixTable:
+        """The counts of all prefixes, or of those up to the word that takes the
+        count beyond a budget."""
+        return PrefixTable(self, text, budget)
 
 
 class _Remembered(dict):
@@ -159,49 +205,53 @@ class _Remembered(dict):
 
 class PrefixTable:
     """Token counts at the end of every word of a normalized text, and of every
-    letter through the tables of its words. Lengths are in characters."""
+    letter through the tables of its words. Lengths are in characters. With a
+    budget, the table ends with the word that takes the count beyond it."""
 
-    def __init__(self, counter: PrefixCounter, text: str):
+    def __init__(self, counter: PrefixCounter, text: str, budget: int | None = None):
         self.counter = counter
         self.starts, self.ends, self.totals, self.words = [], [], [], []
-        at = total = 0
-        for piece in counter.pieces(text):
-            if isinstance(piece, int):
-                total += 1
-                self._add(at, at + piece, total, None)
-                at += piece
-                continue
-            words, spans = piece
-            if spans is None:
-                stretch = text[at:].lower()
-                stretch = stretch[: next(iter([m.start() for m in [counter.special.search(text, at)] if m]), len(text)) - at] if counter.special else stretch
-                spans, size = [m.span() for m in counter.words.finditer(stretch)], len(stretch)
-            else:
-                size = spans[-1][1] if spans else 0
-            for word, (start, end) in zip(words, spans, strict=True):
-                total += counter.counts[word]
-                self._add(at + start, at + end, total, word)
-            at += size
-
-    def _add(self, start: int, end: int, total: int, word: str | None) -> None:
-        self.starts.append(start)
-        self.ends.append(end)
-        self.totals.append(total)
-        self.words.append(word)
+        self.inner: dict[int, tuple] = {}
+        total = 0
+        for start, end, word in counter.spans(text):
+            total += 1 if word is None else counter.counts[word]
+            self.starts.append(start)
+            self.ends.append(end)
+            self.totals.append(total)
+            self.words.append(word)
+            if budget is not None and total > budget:
+                break
 
     def _inside(self, i: int, length: int) -> int:
-        """Tokens of the first characters of word i, as if the text ended there."""
+        """Tokens of the first characters of word i, as if the text ended there.
+        The table of the word is made once."""
         word = self.words[i]
         if word is None:
             return 1 << 60  # a special string cut short is other text; it counts as not fitting
-        text = bytes(byte_letters().index(c) for c in word).decode() if not word.isascii() else word
-        if word[0] == "'" and 1 < length < len(text) and text[1].isalpha():
-            return self.counter.counts["'"] + self.counter.counts[word[1 : 1 + length - 1]]
-        letters = len(text[:length].encode())
-        return self.counter.counts[word[:letters]]
+        if word[0] == "'" and 1 < length < len(word) and word[1].isalpha():
+            return self.counter.counts["'"] + self.counter.counts[word[1:length]]
+        if i not in self.inner:
+            letters = range(len(word) + 1)
+            if not word.isascii():
+                text = bytes(map(self.counter.byte.__getitem__, word)).decode()
+                letters = [0, *accumulate(len(c.encode()) for c in text)]
+            self.inner[i] = (letters, *self.counter.table(word))
+        letters, last, counts = self.inner[i]
+        return self.counter.ending(word, letters[length], last, counts)
+
+    def _furthest(self, i: int, budget: int) -> int:
+        """A length of word i, less than the whole, beyond which no prefix has so
+        few tokens: its last token begins where there is one token less."""
+        whole = self.ends[i] - self.starts[i] - 1
+        if whole < 1 or self.words[i] is None or budget < 1:
+            return 0
+        self._inside(i, 1)
+        letters, _, counts = self.inner[i] if i in self.inner else ((), (), ())
+        start = next((at for at in range(len(counts) - 1, -1, -1) if counts[at] < budget), 0)
+        return min(whole, bisect_right(letters, start + self.counter.longest)) if letters else whole
 
     def tokens(self, length: int) -> int:
-        """Of the first `length` characters."""
+        """Of the first `length` characters, which a budget's table must reach."""
         i = bisect_right(self.ends, length)
         before = self.totals[i - 1] if i else 0
         if i < len(self.ends) and self.starts[i] < length:
@@ -215,7 +265,7 @@ class PrefixTable:
         if i == len(self.totals):
             return self.ends[-1] if self.ends else 0
         before = self.totals[i - 1] if i else 0
-        for length in range(self.ends[i] - self.starts[i] - 1, 0, -1):
+        for length in range(self._furthest(i, budget - before), 0, -1):
             if before + self._inside(i, length) <= budget:
                 return self.starts[i] + length
         return self.ends[i - 1] if i else 0

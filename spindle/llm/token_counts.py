@@ -23,7 +23,7 @@ def token_counts(text: Column, tokenizer: str, budget: int) -> Column:
             found = []
             for t in texts:
                 n = counter.count(t) if t else 0
-                found.append((n, len(t or "") if n <= budget else counter.prefixes(t).fitting(budget)))
+                found.append((n, len(t or "") if n <= budget else counter.prefixes(t, budget).fitting(budget)))
             yield pd.DataFrame(found, columns=["n_tokens", "fitting"])
 
     counted.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

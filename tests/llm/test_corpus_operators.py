@@ -1,6 +1,7 @@
 """Corpus operators on small tables, against plain accounts of the same thing."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -310,6 +311,21 @@ def test_prefixes_need_no_second_encoding(sample):
             assert all(count(text[:n]) > budget for n in range(fits + 1, min(len(text), fits + 12)) if text[n - 1].isalnum())
 
 
+def test_budgets_end_in_very_long_words():
+    library, counter = Tokenizer.from_file(word_tokenizer()), PrefixCounter(word_tokenizer())
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(3)
+    for letters in ("abcdefghij", "é", "日本語漢字", "+/09"):
+        text = "a b " * 1020 + "".join(rng.choice(letters) for _ in range(100_000))
+        assert counter.count(text) == count(text)
+        started = time.process_time()
+        fits = counter.prefixes(text, 2048).fitting(2048)
+        assert time.process_time() - started < 1
+        assert count(text[:fits]) <= 2048 < count(text[: fits + 1]) and fits > 4080
+    short = "one two three four five six seven"
+    assert [counter.prefixes(short, n).fitting(n) for n in range(9)] == [counter.prefixes(short).fitting(n) for n in range(9)]
+
+
 # 6
 
 
@@ -396,7 +412,7 @@ def test_pieces_are_the_models_own_without_dropout_and_lossless_with_it(spark, s
 def test_dropout_gives_a_word_several_segmentations():
     model = PieceModel(piece_model())
     drawn = {tuple(model.encode(" information", 0.3, 1, name).tolist()) for name in range(60)}
-    assert 1 < len(drawn) <= 4
+    assert len(drawn) > 4  # every place draws anew, so a rate this high shows more than a few
     assert len(model.encode("information", 1.0, 1, 1)) == len("information") + 1
 
 
