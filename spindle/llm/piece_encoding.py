@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 from spindle.llm.pieces import PieceModel
 from spindle.llm.shared import kept_in_worker
 
-TOGETHER = 500  # texts whose new words are merged at once
+TOGETHER = 1000  # texts whose new words are merged at once
+CHARACTERS = 4_000_000  # of those texts, but for a single longer one
+
+
+def _together(texts: list[str]) -> Iterator[slice]:
+    start = size = 0
+    for end, text in enumerate(texts):
+        if end > start and (end - start >= TOGETHER or size + len(text) > CHARACTERS):
+            yield slice(start, end)
+            start = end
+            size = 0
+        size += len(text)
+    yield slice(start, len(texts))
 
 
 def encode_documents(documents: DataFrame, model: str, rate: float = 0.1, seed: int = 17, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -22,7 +34,8 @@ def encode_documents(documents: DataFrame, model: str, rate: float = 0.1, seed:
     `model` is the path of a model file that the executors can read, `rate` the
     share of merges that are skipped, `seed` and the doc_id the key of which. The
     same seed gives the same ids on every run and any partitioning; rate 0 gives
-    the model's own encoding. lossless says that decoding the ids gave back the
+    the model's own encoding, but that a space mark in a text, which the model
+    takes for a space, is always encoded as bytes. lossless says that decoding the ids gave back the
     text, which was done for every row. Null and empty texts have no pieces; rows
     without an id are encoded as if it were -1; repeated rows are encoded alike.
     An empty table gives an empty result, other columns are not looked at.
@@ -34,9 +47,9 @@ def encode_documents(documents: DataFrame, model: str, rate: float = 0.1, seed:
         for batch in batches:
             names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             found = []
-            for s in range(0, len(texts), TOGETHER):
-                keys = [-1 if n is None else n for n in names[s : s + TOGETHER].to_pylist()]
-                found += pieces.encode_all(texts[s : s + TOGETHER], keys, rate, seed)
+            for some in _together(texts):
+                keys = [-1 if n is None else n for n in names[some].to_pylist()]
+                found += pieces.encode_all(texts[some], keys, rate, seed)
             lossless = [pieces.decode(ids.tolist()) == text for ids, text in zip(found, texts, strict=True)]
             sizes = np.array([len(i) for i in found], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
