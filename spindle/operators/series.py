@@ -16,7 +16,7 @@ from spindle.operators.filters import (
 )
 from spindle.operators.production import utilization
 from spindle.operators.summary import success_rate
-from spindle.plans.distribution import exact_quantiles
+from spindle.plans.distribution import histogram, quantiles_of
 
 BINS = 40
 BAND = {"lo": 0.005, "hi": 0.995}
@@ -39,8 +39,8 @@ def series_torque_over_time(events: DataFrame, heads=None, time_range=None) -> D
 def series_torque_histogram(events: DataFrame, heads=None, time_range=None) -> DataFrame:
     """40 equal bins over the central 99 percent; readings outside are left out
     and the last bin includes its right edge."""
-    good = successful_closures(filter_events(events, heads, time_range)).select("torque_nm").dropna()
-    band = exact_quantiles(good, [], "torque_nm", BAND)
+    good = histogram(successful_closures(filter_events(events, heads, time_range)), [], "torque_nm")
+    band = quantiles_of(good, [], "torque_nm", {name: (p, "n") for name, p in BAND.items()})
     whole = good.agg(F.min("torque_nm").alias("least"), F.max("torque_nm").alias("most"))
     limits = band.withColumn("_w", whole.select(F.struct("least", "most")).scalar())
     flat = F.col("lo") >= F.col("hi")
@@ -59,7 +59,7 @@ def series_torque_histogram(events: DataFrame, heads=None, time_range=None) -> D
         good.withColumn("_e", edges.select(F.struct("lo", "hi")).scalar())
         .where(x.between(lo, hi))
         .groupBy(index.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("n").alias("count"))
     )
     grid = edges.select(F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"), "lo", "hi")
     width = (F.col("hi") - F.col("lo")) / BINS

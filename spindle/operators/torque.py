@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.constants import SUCCESS_CODE
 from spindle.functions import columns as C
 from spindle.functions.pvalues import correlation_p, mann_whitney_p
 from spindle.operators.filters import (
     bucket_label,
     check_choice,
-    failed_closures,
     filter_events,
     outside,
     spread,
@@ -20,7 +20,7 @@ from spindle.operators.filters import (
     successful_closures,
     time_bucket,
 )
-from spindle.plans.distribution import exact_quantiles, histogram, rank_sums
+from spindle.plans.distribution import histogram, moments_of, quantiles_of, rank_sums
 from spindle.plans.slices import SLICE, UP_TO_HERE, chunked, running, slice_bounds, slice_index
 
 GROUPINGS = ("overall", "per_head", "daily")
@@ -42,26 +42,18 @@ def torque_statistics(
     """Moments, quartiles, outliers beyond 1.5 IQR and relative spread."""
     check_choice("group_by", group_by, GROUPINGS)
     subset = status_population(filter_events(events, heads, time_range), filter_status)
-    readings = subset.select(bucket_label(group_by, time_bucket(group_by)).alias("group"), "torque_nm")
-    x = F.col("torque_nm")
-    moments = readings.groupBy("group").agg(
-        F.count(x).alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    )
-    quartiles = exact_quantiles(readings, ["group"], "torque_nm", QUARTILES).withColumn(
-        "iqr", F.col("q3") - F.col("q1")
-    )
+    key = time_bucket(group_by)
+    readings = subset.select(bucket_label(group_by, key).alias("group"), "torque_nm")
+    hist = histogram(readings, ["group"], "torque_nm")  # the only pass over the events
+    moments = moments_of(hist, ["group"], "torque_nm")
+    asked = {name: (p, "n") for name, p in QUARTILES.items()}
+    quartiles = quantiles_of(hist, ["group"], "torque_nm", asked).withColumn("iqr", F.col("q3") - F.col("q1"))
     # one row per head or calendar day, so small enough to send to every task
     limits = F.broadcast(quartiles.select("group", "q1", "q3", "iqr"))
+    x = F.col("torque_nm")
     beyond = (x < F.col("q1") - 1.5 * F.col("iqr")) | (x > F.col("q3") + 1.5 * F.col("iqr"))
-    outliers = (
-        histogram(readings, ["group"], "torque_nm")
-        .join(limits, "group")
-        .groupBy("group")
-        .agg(F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outlier_count"))
+    outliers = hist.join(limits, "group").groupBy("group").agg(
+        F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outlier_count")
     )
     table = (
         moments.join(quartiles, "group", "left")
@@ -262,24 +254,19 @@ def torque_daily_series(
 
 
 def _outcomes(events: DataFrame, heads, time_range) -> DataFrame:
-    chosen = filter_events(events, heads, time_range)
-    good = successful_closures(chosen).select(F.lit("successful").alias("population"), "torque_nm")
-    bad = failed_closures(chosen).select(F.lit("failed").alias("population"), "torque_nm")
-    return good.unionAll(bad).where(F.col("torque_nm").isNotNull())
+    """(population, torque_nm), in one pass; a closure that the table calls both
+    good and rejected counts in both."""
+    good = F.when(F.col("status_code") == SUCCESS_CODE, "successful")
+    bad = F.when(F.col("is_reject"), "failed")
+    chosen = filter_events(events, heads, time_range).where(F.col("torque_nm").isNotNull())
+    return chosen.select(F.explode(F.array_compact(F.array(good, bad))).alias("population"), "torque_nm")
 
 
 def torque_outcome_comparison(events: DataFrame, heads=None, time_range=None) -> DataFrame:
     """Torque of good and of rejected closures; no rows unless both exist."""
-    both = _outcomes(events, heads, time_range)
-    x = F.col("torque_nm")
-    moments = both.groupBy("population").agg(
-        F.count(x).alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    )
-    medians = exact_quantiles(both, ["population"], "torque_nm", {"median": 0.5})
+    hist = histogram(_outcomes(events, heads, time_range), ["population"], "torque_nm")
+    moments = moments_of(hist, ["population"], "torque_nm")
+    medians = quantiles_of(hist, ["population"], "torque_nm", {"median": (0.5, "n")})
     pair = Window.partitionBy()  # two rows
     return (
         moments.join(medians, "population")

@@ -15,29 +15,30 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 MAX_SLICES = 4096
+SLICE_ROWS = 250_000
 TREE_CUTS = 512
 SKETCH_ACCURACY = 10_000
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE_HERE = (Window.unboundedPreceding, -1)
 
 
-def slice_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(wanted, MAX_SLICES))
+def slice_count(df: DataFrame, rows: int = 0) -> int:
+    """As many as keep a slice at SLICE_ROWS rows, and enough for all tasks."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4, tasks, -(-rows // SLICE_ROWS)), MAX_SLICES)
 
 
 def slice_bounds(df: DataFrame, axis: str, slices: int | None = None) -> list:
     """Equi-depth cut points of `axis`, from a mergeable sketch of fixed size.
 
-    The points are fetched (at most MAX_SLICES numbers) and become literals, so
-    every branch of a plan cuts at the same places.
+    Rows are counted in the same pass, and their number decides how many of the
+    points are used. The points are fetched (at most MAX_SLICES numbers) and
+    become literals, so every branch of a plan cuts at the same places.
     """
-    n = slices or slice_count(df)
-    if n < 2:
-        return []
-    probabilities = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(axis, probabilities, SKETCH_ACCURACY)).first()[0]
-    return sorted(set(cuts or []))
+    points = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
+    found = df.agg(F.count(axis).alias("n"), F.percentile_approx(axis, points, SKETCH_ACCURACY).alias("at")).first()
+    n = slices or slice_count(df, found["n"])
+    return sorted({found["at"][round(i * MAX_SLICES / n) - 1] for i in range(1, n)}) if found["at"] else []
 
 
 def slice_index(axis: str, bounds: list) -> Column:

@@ -15,7 +15,7 @@ from spindle.plans.pairwise import pair_sums, pearson
 
 @pytest.fixture
 def many_slices(monkeypatch):
-    monkeypatch.setattr(slices, "slice_count", lambda df: 23)
+    monkeypatch.setattr(slices, "slice_count", lambda df, rows=0: 23)
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +68,38 @@ def test_rank_sums(spark, values, many_slices):
         assert row.ties == pytest.approx((t**3 - t).sum())
 
 
+def test_slices_of_values_of_which_nearly_all_are_equal(spark, many_slices):
+    """98 of 100 rows hold one value: cuts by row depth would put all others into
+    one slice; cuts of the histogram deal the distinct values out evenly."""
+    rows = [(2.0,)] * 9800 + [(2.0 + i / 997,) for i in range(1, 201)]
+    df = spark.createDataFrame(rows, "x double")
+    ranked = distribution.ranked_histogram(df.withColumn("g", F.lit("a")), "g", "x")
+    sizes = [r["count"] for r in ranked.groupBy(slices.SLICE).count().collect()]
+    assert sum(sizes) == 201 and max(sizes) <= 2 * 201 / len(sizes)
+    top = ranked.where("x > 2").orderBy("x").collect()
+    assert [r["upto"] for r in top] == list(range(9801, 10001))
+
+
+def test_slices_follow_the_number_of_rows_not_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(slices, "SLICE_ROWS", 100)
+    times = [int(1000 * (i / 100) ** 3) for i in range(5000)]
+    df = slices.sliced(spark.createDataFrame([(t,) for t in times], "t long"), "t")
+    sizes = [r["count"] for r in df.groupBy(slices.SLICE).count().collect()]
+    assert len(sizes) > 45 and max(sizes) <= 200
+
+
+def test_moments_of_a_histogram(spark, values):
+    extra = pd.DataFrame([("c", i, 0.1) for i in range(7)] + [("d", 0, 5.0)], columns=values.columns)
+    rows = pd.concat([values, extra])
+    hist = distribution.histogram(spark.createDataFrame(rows), ["head_id"], "x")
+    for row in distribution.moments_of(hist, ["head_id"], "x").collect():
+        x = rows[rows.head_id == row.head_id]["x"]
+        assert (row["count"], row["min"], row["max"]) == (len(x), x.min(), x.max())
+        assert row["mean"] == pytest.approx(x.mean()) and (len(x) == 1 and row["std"] is None or row["std"] == pytest.approx(x.std()))
+        if row.head_id == "c":
+            assert (row["mean"], row["std"]) == (0.1, 0.0)
+
+
 def test_pairwise_correlation_is_pairwise_complete(spark):
     rng = np.random.default_rng(1)
     cells = [(d, h, float(rng.random())) for d in range(30) for h in "abc" if rng.random() > 0.3]
