@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindle.catalog.oracle_views import HEADS, IDLE, PRODUCED, TELE, label
-from spindle.catalog.registry import register
+from spindle.catalog.registry import ORACLE, QUERIES, register, rounded
 from spindle.operators import (
     anomaly,
     dashboard,
@@ -15,6 +15,7 @@ from spindle.operators import (
     listing,
     production,
     quality,
+    rollup,
     series,
     summary,
     torque,
@@ -22,6 +23,7 @@ from spindle.operators import (
 from spindle.operators.events import dedupe_events, derive_speed, duplicates_removed, enrich_status
 from spindle.functions.columns import format_percentage
 from spindle.sources import samples
+from spindle.sources.tables import stored
 
 WEEK = ("2024-01-08 00:00:00", "2024-01-14 23:59:59")
 WEEK_SQL = "\"timestamp\" BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-14 23:59:59'"
@@ -897,3 +899,54 @@ register("report_anomaly", lambda s, d: _long(dashboard.report_anomaly(events(s,
 register("report_head_comparison", lambda s, d: _long(dashboard.report_head_comparison(events(s, d))))
 register("report_kpi", lambda s, d: _long(dashboard.report_kpi(events(s, d), idle(s, d))))
 register("analytics_suite", lambda s, d: _long(dashboard.analytics_suite(events(s, d), idle(s, d))))
+
+
+# --- hourly cells ---------------------------------------------------------------------------------
+
+
+def cells(spark, folder):
+    """Cells stored beside the events, as an ingest leaves them."""
+    return stored(spark, folder, "hourly_cells", lambda: rollup.hourly_cells(events(spark, folder), idle(spark, folder)))
+
+
+register(
+    "hourly_cells",
+    lambda s, d: cells(s, d).groupBy("hour", "head_id", "status_code", "in_idle", "crosses_idle").agg(
+        F.sum("n").alias("n"), F.sum("closures").alias("closures"), F.sum("torque_n").alias("torque_n"),
+        F.min("torque_min").alias("torque_min"), F.max("speed_max").alias("speed_max"),
+    ),
+    PRODUCED
+    + """, every AS (SELECT t.*, coalesce(t."timestamp" <= i.end_time, false) AS in_idle,
+    coalesce(epoch_us(t."timestamp") - CAST(round(t.time_since_last_closure * 1e6) AS BIGINT) <= epoch_us(e.end_time)
+      AND t."timestamp" > e.end_time, false) AS crosses_idle
+  FROM tele t ASOF LEFT JOIN idle i ON t."timestamp" >= i.start_time
+    ASOF LEFT JOIN idle_ends e ON t."timestamp" >= e.end_time)""",
+    """SELECT date_trunc('hour', "timestamp") AS hour, head_id, status_code, in_idle, crosses_idle, count(*) AS n,
+         CAST(sum(inferred_closure_count) AS BIGINT) AS closures, count(torque_nm) AS torque_n, min(torque_nm) AS torque_min,
+         max(capping_speed_pph) AS speed_max FROM every GROUP BY ALL""",
+    "torque_min speed_max",
+)
+for _group in rollup.GROUPINGS:
+    _same = {"overall": "success_rate_overall", "per_head": "success_rate_per_head", "daily": "success_rate_daily", "hourly": "success_rate_hourly"}[_group]
+    if _same in ORACLE:
+        QUERIES[f"rollup_{_same}"] = lambda s, d, g=_group: rounded(rollup.success_rate(cells(s, d), g))
+        ORACLE[f"rollup_{_same}"] = ORACLE[_same]
+for _name, _operator in {
+    "dataset_summary": rollup.dataset_summary,
+    "head_comparison": rollup.head_comparison,
+    "machine_throughput": rollup.machine_throughput,
+    "gap_affected_hours": rollup.gap_affected_hours,
+    "head_speed": rollup.head_speed,
+    "head_speed_variability": rollup.head_speed_variability,
+    "failure_distribution": rollup.failure_distribution,
+    "dominant_failure": rollup.dominant_failure,
+    "daily_failure_spikes": rollup.daily_failure_spikes,
+    "hourly_failure_spikes": rollup.hourly_failure_spikes,
+    "failure_by_hour_of_day": rollup.failure_by_hour_of_day,
+    "failure_correlation": rollup.failure_correlation,
+}.items():
+    if _name in ORACLE:  # the same SQL over events must agree with cells
+        QUERIES[f"rollup_{_name}"] = lambda s, d, f=_operator: rounded(f(cells(s, d)))
+        ORACLE[f"rollup_{_name}"] = ORACLE[_name]
+QUERIES["rollup_kpi_dashboard"] = lambda s, d: rounded(dashboard.kpi_dashboard(events(s, d), idle(s, d), cells=cells(s, d)))
+ORACLE["rollup_kpi_dashboard"] = ORACLE["kpi_dashboard"]

@@ -16,6 +16,7 @@ from spindle.operators.filters import (
 )
 from spindle.plans.distribution import exact_quantiles
 
+MAX_EVENTS = 500
 METHODS = ("zscore", "iqr", "threshold")
 
 
@@ -45,18 +46,20 @@ def anomalies(
     sensitivity: float = 3.0,
     heads=None,
     time_range=None,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """Every real closure with a torque strictly outside its expected range."""
+    """Every real closure with a torque strictly outside its expected range.
+    `bounds` are those of `head_bounds`, where they are known already."""
     check_choice("method", method, METHODS)
     if method == "threshold" and threshold_range is None:
-        raise ValueError("threshold_range is required when method='threshold'")
+        raise ValueError("the method threshold needs a threshold_range of two torques")
     real = real_closures(filter_events(events, heads, time_range))
     if method == "threshold":
         low, high = map(float, threshold_range)
         ranged = real.withColumns({"lower": F.lit(low), "upper": F.lit(high)})
     else:
         # at most MAX_HEAD_IDS rows
-        ranged = real.join(F.broadcast(head_bounds(real, method, sensitivity)), "head_id")
+        ranged = real.join(F.broadcast(head_bounds(real, method, sensitivity) if bounds is None else bounds), "head_id")
     x, lower, upper = F.col("torque_nm"), F.col("lower"), F.col("upper")
     below = x < lower
     text = lambda side, bound: F.concat(
@@ -72,7 +75,7 @@ def anomalies(
     )
 
 
-def top_anomalies(flagged: DataFrame, max_events: int = 500) -> DataFrame:
+def top_anomalies(flagged: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
     """The worst deviations first; time, head and counter break ties."""
     worst = [F.desc("deviation"), F.asc("timestamp"), F.asc("head_id"), F.asc("counter")]
     return (
@@ -86,7 +89,7 @@ def anomalies_per_head(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("head_id").agg(F.count(F.lit(1)).alias("n_anomalies"))
 
 
-def anomalies_total(flagged: DataFrame, max_events: int = 500) -> DataFrame:
+def anomalies_total(flagged: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
     n = F.count(F.lit(1))
     return flagged.agg(
         n.alias("total_anomalies"),

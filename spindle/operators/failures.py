@@ -10,6 +10,7 @@ from spindle.functions.pvalues import chi_square_p
 from spindle.operators.filters import filter_events, outside, real_closures, spread
 from spindle.plans.pairwise import head_pairs, pair_sums, pearson
 from spindle.plans.slices import running, sliced
+from spindle.session import cut
 
 SIGNIFICANCE = 0.05
 
@@ -22,11 +23,14 @@ def failure_distribution(events: DataFrame, heads=None, time_range=None) -> Data
 def daily_failure_spikes(events: DataFrame, heads=None, time_range=None) -> DataFrame:
     """Days whose share of rejects is two deviations above the mean day."""
     real = real_closures(filter_events(events, heads, time_range))
-    daily = (
-        real.groupBy(C.day("timestamp").alias("day"))
-        .agg(C.count_if(F.col("is_reject")).alias("n_failures"), F.count(F.lit(1)).alias("_n"))
-        .select("day", "n_failures", (F.col("n_failures") / F.col("_n") * 100.0).alias("failure_rate_pct"))
+    counted = real.groupBy(C.day("timestamp").alias("day")).agg(
+        C.count_if(F.col("is_reject")).alias("n_failures"), F.count(F.lit(1)).alias("_n")
     )
+    return spikes_of(cut(counted))
+
+
+def spikes_of(counted: DataFrame) -> DataFrame:
+    daily = counted.select("day", "n_failures", (F.col("n_failures") / F.col("_n") * 100.0).alias("failure_rate_pct"))
     marked = daily.withColumn("_s", spread(daily, "failure_rate_pct"))
     return marked.where(outside(F.col("failure_rate_pct"), F.col("_s"), "above")).drop("_s")
 
@@ -34,7 +38,10 @@ def daily_failure_spikes(events: DataFrame, heads=None, time_range=None) -> Data
 def dominant_failure(events: DataFrame, heads=None, time_range=None) -> DataFrame:
     """Each head's most frequent reject code; the lower code wins a tie."""
     rejects = real_closures(filter_events(events, heads, time_range)).where(F.col("is_reject"))
-    profile = rejects.groupBy("head_id", "status_code").agg(F.count(F.lit(1)).alias("count"))
+    return dominant_of(rejects.groupBy("head_id", "status_code").agg(F.count(F.lit(1)).alias("count")))
+
+
+def dominant_of(profile: DataFrame) -> DataFrame:
     most = F.struct(-F.col("count"), F.col("status_code"))
     return profile.groupBy("head_id").agg(
         F.min_by("status_code", most).alias("status_code"), F.max("count").alias("count")
@@ -75,6 +82,11 @@ def failure_correlation(events: DataFrame, heads=None, time_range=None) -> DataF
     hourly = real.groupBy(C.hour("timestamp").alias("hour"), "head_id").agg(
         C.count_if(F.col("is_reject")).cast("double").alias("failures")
     )
+    return correlated(cut(hourly))
+
+
+def correlated(hourly: DataFrame) -> DataFrame:
+    """Pearson r of the failures of each two heads, given those per hour and head."""
     n_hours = hourly.agg(F.countDistinct("hour").cast("double")).scalar()
     # zeros add nothing to any sum, so only hours with rejects are multiplied
     failing = hourly.where(F.col("failures") > 0)
@@ -104,7 +116,11 @@ def failure_by_hour_of_day(events: DataFrame, heads=None, time_range=None) -> Da
     counted = real.groupBy(F.hour("timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("n_events"), C.count_if(F.col("is_reject")).alias("n_failures")
     )
-    hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    return all_hours(counted)
+
+
+def all_hours(counted: DataFrame) -> DataFrame:
+    hours = counted.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     return (
         hours.join(F.broadcast(counted), "hour", "left")
         .na.fill(0, ["n_events", "n_failures"])

@@ -33,8 +33,13 @@ def head_comparison(events: DataFrame, heads=None, time_range=None) -> DataFrame
             F.avg(good_torque).alias("mean_torque_nm"),
             F.stddev_samp(good_torque).alias("std_torque_nm"),
         )
-        .withColumn("success_rate_pct", C.success_rate("successful", "failed"))
     )
+    return compared(table)
+
+
+def compared(table: DataFrame) -> DataFrame:
+    """Counts and torque per head with the success rate and the ranks."""
+    table = table.withColumn("success_rate_pct", C.success_rate("successful", "failed"))
 
     def rank(column):  # at most MAX_HEAD_IDS rows
         best_first = Window.partitionBy().orderBy(F.desc_nulls_last(column))

@@ -74,13 +74,20 @@ def _hourly(produced: DataFrame) -> DataFrame:
 
 def machine_timeline(produced: DataFrame) -> DataFrame:
     """Pieces of the whole machine per hour with production."""
-    hourly = _hourly(produced).where(F.col("pieces_per_hour") > 0)
-    return hourly.select("hour", "pieces_per_hour", "gap_affected")
+    return timeline_of(_hourly(produced))
+
+
+def timeline_of(hourly: DataFrame) -> DataFrame:
+    return hourly.where(F.col("pieces_per_hour") > 0).select("hour", "pieces_per_hour", "gap_affected")
 
 
 def machine_throughput(produced: DataFrame) -> DataFrame:
+    return throughput_of(machine_timeline(produced))
+
+
+def throughput_of(timeline: DataFrame) -> DataFrame:
     x = F.col("pieces_per_hour")
-    return machine_timeline(produced).agg(
+    return timeline.agg(
         F.avg(x).alias("mean"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
@@ -91,13 +98,21 @@ def machine_throughput(produced: DataFrame) -> DataFrame:
 
 def gap_affected_hours(produced: DataFrame) -> DataFrame:
     """Hours credited with pieces made during an unsampled stretch."""
-    hourly = _hourly(produced).where(F.col("gap_affected"))
+    return gap_hours_of(_hourly(produced))
+
+
+def gap_hours_of(hourly: DataFrame) -> DataFrame:
+    hourly = hourly.where(F.col("gap_affected"))
     shown = F.when(F.col("pieces_per_hour") > 0, F.col("pieces_per_hour")).otherwise(0.0)
     return hourly.select("hour", shown.alias("pieces_per_hour"), "backlogged_closures")
 
 
 def throughput_anomalies(produced: DataFrame) -> DataFrame:
-    timeline = machine_timeline(produced).select("hour", "pieces_per_hour")
+    return throughput_anomalies_of(machine_timeline(produced))
+
+
+def throughput_anomalies_of(timeline: DataFrame) -> DataFrame:
+    timeline = timeline.select("hour", "pieces_per_hour")
     marked = timeline.withColumn("_s", spread(timeline, "pieces_per_hour"))
     x = F.col("pieces_per_hour")
     kind = F.when(x < F.col("_s.mean"), "slowdown").otherwise("speedup")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.functions import columns as C
@@ -15,6 +15,7 @@ from spindle.operators.filters import (
     spread,
     time_bucket,
 )
+from spindle.session import cut
 
 GROUPINGS = ("overall", "per_head", "daily", "hourly", "per_file")
 
@@ -31,6 +32,11 @@ def dataset_summary(events: DataFrame) -> DataFrame:
         F.max("timestamp").alias("end_time"),
         *[column.alias(k) for k, column in kinds.items()],
     )
+    return described(totals)
+
+
+def described(totals: DataFrame) -> DataFrame:
+    """Counts of the whole data set with what follows from them."""
     return totals.select(
         "*",
         (F.col("total_inferred_closures") - F.col("total_events")).alias("closures_without_individual_status"),
@@ -74,20 +80,22 @@ def success_rate(
     """
     check_choice("group_by", group_by, GROUPINGS)
     real = real_closures(filter_events(events, heads, time_range))
-    table = (
-        real.groupBy(time_bucket(group_by).alias("_key"))
-        .agg(
-            F.count(F.lit(1)).alias("total_closures"),
-            F.sum("inferred_closure_count").alias("inferred_closures"),
-            C.count_if(F.col("is_successful")).alias("successful"),
-            C.count_if(F.col("is_reject")).alias("failed"),
-        )
-        .withColumn("success_rate_pct", C.success_rate("successful", "failed"))
+    counts = real.groupBy(time_bucket(group_by).alias("_key")).agg(
+        F.count(F.lit(1)).alias("total_closures"),
+        F.sum("inferred_closure_count").alias("inferred_closures"),
+        C.count_if(F.col("is_successful")).alias("successful"),
+        C.count_if(F.col("is_reject")).alias("failed"),
     )
-    rates = spread(table, "success_rate_pct")
+    return rates(cut(counts), group_by, bucket_label(group_by, F.col("_key")))
+
+
+def rates(counts: DataFrame, group_by: str, label: Column) -> DataFrame:
+    """Counts per group with their rates, compared with the other groups."""
+    table = counts.withColumn("success_rate_pct", C.success_rate("successful", "failed"))
+    spread_of = spread(table, "success_rate_pct")
     evaluated = F.col("successful") + F.col("failed")
-    result = table.withColumn("_s", rates).select(
-        bucket_label(group_by, F.col("_key")).alias("group"),
+    result = table.withColumn("_s", spread_of).select(
+        label.alias("group"),
         "total_closures",
         "inferred_closures",
         "successful",

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from spindle.constants import EVENT_COLUMNS, EVENT_SCHEMA, IDLE_SCHEMA
 from spindle.session import configure, workspace
+from spindle.sources.folders import children
 
 CLOSURE_EVENTS = "closure_events.parquet"
 IDLE_PERIODS = "idle_periods.parquet"
+HOURLY_CELLS = "hourly_cells.parquet"
 QUALITY = "data_quality"
 EVENT_DATE = "event_date"
 OLD_NAMES = {"accepted_closure_count": "inferred_closure_count"}
@@ -78,6 +80,20 @@ def write_idle_periods(idle: DataFrame, folder: str, name: str = IDLE_PERIODS, m
     return path
 
 
+def write_hourly_cells(cells: DataFrame, folder: str) -> str:
+    """One file in order of hours for each task that has some, so that a range
+    reads few row groups."""
+    path = f"{folder.rstrip('/')}/{HOURLY_CELLS}"
+    cells.repartitionByRange("hour").sortWithinPartitions("hour").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return path
+
+
+def load_hourly_cells(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The cells that an ingest stored beside the events, if it did."""
+    path = f"{folder.rstrip('/')}/{HOURLY_CELLS}"
+    return configure(spark).read.parquet(path) if children(spark, path) else None
+
+
 def write_json_tables(tables: dict[str, DataFrame], folder: str) -> str:
     """Each table as a folder of JSON lines; not-a-number becomes null."""
     for name, table in tables.items():
