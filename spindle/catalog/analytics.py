@@ -950,3 +950,28 @@ for _name, _operator in {
         ORACLE[f"rollup_{_name}"] = ORACLE[_name]
 QUERIES["rollup_kpi_dashboard"] = lambda s, d: rounded(dashboard.kpi_dashboard(events(s, d), idle(s, d), cells=cells(s, d)))
 ORACLE["rollup_kpi_dashboard"] = ORACLE["kpi_dashboard"]
+
+# --- samples --------------------------------------------------------------------------------------
+
+_DRAWN = """, drawn AS (SELECT *, row_number() OVER (PARTITION BY head_id
+    ORDER BY md5('42:' || head_id || ':' || epoch_us("timestamp") || ':' || counter)) AS place FROM good WHERE torque_nm IS NOT NULL)"""
+register(
+    "sample_per_head",
+    lambda s, d: heads.sample_per_head(events(s, d), 20).select("head_id", "timestamp", "counter", "torque_nm"),
+    TELE + _DRAWN,
+    'SELECT head_id, "timestamp", counter, torque_nm FROM drawn WHERE place <= 20',
+    "torque_nm",
+)
+register(
+    "kruskal_wallis_sampled",
+    on_events(heads.kruskal_wallis, None, None, 20),
+    TELE + _DRAWN + """, sampled AS (SELECT head_id, torque_nm FROM drawn WHERE place <= 20),
+ranks AS (SELECT head_id, rank() OVER (ORDER BY torque_nm) + (count(*) OVER (PARTITION BY torque_nm) - 1) / 2.0 AS r FROM sampled),
+per_head AS (SELECT count(*)::DOUBLE AS n, sum(r) AS s FROM ranks GROUP BY head_id),
+whole AS (SELECT count(*)::DOUBLE AS n FROM sampled),
+ties AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM sampled GROUP BY torque_nm))""",
+    """SELECT (SELECT sum(p.n * power(p.s / p.n - (w.n + 1) / 2, 2)) FROM per_head p) * 12 / (w.n * (w.n + 1))
+         / (1 - (SELECT t FROM ties) / (power(w.n, 3) - w.n)) AS h_statistic,
+         (SELECT count(*) FROM per_head) AS n_groups, CAST(w.n AS BIGINT) AS n_observations FROM whole w""",
+    "h_statistic",
+)

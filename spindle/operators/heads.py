@@ -11,10 +11,12 @@ from spindle.functions.pvalues import chi_square_p, correlation_p
 from spindle.operators.filters import filter_events, outside, real_closures, successful_closures
 from spindle.plans.distribution import rank_sums
 from spindle.plans.pairwise import head_pairs, pair_sums, pearson
+from spindle.plans.sampling import sample_per_group
 
 SIGNIFICANCE = 0.05
 OUTLIER_METRICS = ("success_rate_pct", "mean_torque_nm", "std_torque_nm")
 WEAK, MODERATE = 0.3, 0.7
+SAMPLE, SEED = 50_000, 42  # of a test on a sample
 
 
 def head_comparison(events: DataFrame, heads=None, time_range=None) -> DataFrame:
@@ -85,10 +87,21 @@ def busiest_quietest(table: DataFrame) -> DataFrame:
     ).where(F.col("busiest_head").isNotNull())
 
 
-def kruskal_wallis(events: DataFrame, heads=None, time_range=None) -> DataFrame:
+def sample_per_head(events: DataFrame, size: int = SAMPLE, seed: int = SEED, heads=None, time_range=None) -> DataFrame:
+    """At most `size` successful closures with a torque of each head, drawn
+    without replacement: the same for a seed, however the events are stored."""
+    good = successful_closures(filter_events(events, heads, time_range)).where(F.col("torque_nm").isNotNull())
+    key = F.concat_ws(":", F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string"), F.col("counter").cast("string"))
+    return sample_per_group(good, "head_id", size, key, seed)
+
+
+def kruskal_wallis(events: DataFrame, heads=None, time_range=None, sample: int | None = None, seed: int = SEED) -> DataFrame:
     """H over all successful torque readings, corrected for ties. One row, or
-    none with fewer than two heads."""
-    good = successful_closures(filter_events(events, heads, time_range))
+    none with fewer than two heads. With `sample`, over so many of each head."""
+    if sample is None:
+        good = successful_closures(filter_events(events, heads, time_range))
+    else:
+        good = sample_per_head(events, sample, seed, heads, time_range)
     sums = rank_sums(good, "head_id", "torque_nm")
     n, n_all = F.col("n").cast("double"), F.col("n_all").cast("double")
     off_centre = F.pow(F.col("rank_sum") / n - (n_all + 1) / 2, 2)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
 
@@ -28,3 +31,28 @@ def put(spark: SparkSession, path: str) -> None:
     see a part of it."""
     folder, system = _system(spark, path)
     system.create(folder, True).close()
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], object]) -> str:
+    """Write a folder anew beside the one that is there, and put it in its place
+    when it is whole. If writing fails, the old one stays as it was. Names that
+    begin with `_` are not read as data."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    mark = uuid.uuid4().hex
+    fresh, old = f"{parent}/_new-{mark}/{name}", f"{parent}/_old-{mark}/{name}"
+    try:
+        write(fresh)
+        target, system = _system(spark, path)
+        as_path = lambda p: _system(spark, p)[0]
+        if system.exists(target):
+            system.mkdirs(as_path(old).getParent())
+            if not system.rename(target, as_path(old)):
+                raise OSError(f"{path} could not be moved")
+        if not system.rename(as_path(fresh), target):
+            if system.exists(as_path(old)):
+                system.rename(as_path(old), target)
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        remove(spark, f"{parent}/_new-{mark}")
+    remove(spark, f"{parent}/_old-{mark}")
+    return path

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from spindle.constants import EVENT_COLUMNS, EVENT_SCHEMA, IDLE_SCHEMA
 from spindle.session import configure, workspace
-from spindle.sources.folders import children
+from spindle.sources.folders import children, replaced
 
 CLOSURE_EVENTS = "closure_events.parquet"
 IDLE_PERIODS = "idle_periods.parquet"
@@ -60,32 +60,37 @@ def load_quality_report(spark: SparkSession, folder: str, name: str = "quality_t
 def write_closure_events(events: DataFrame, folder: str, name: str = CLOSURE_EVENTS, mode: str = "overwrite") -> str:
     """Parquet, one folder per day. Rows are rebalanced by day first: at run time
     Spark splits a day with very many events and joins small ones, so that files
-    come out at the advisory size."""
+    come out at the advisory size. A table that is overwritten stays readable
+    until the new one is whole."""
     path = f"{folder.rstrip('/')}/{name}"
     dated = events.select(*EVENT_COLUMNS).withColumn(EVENT_DATE, F.to_date("timestamp"))
-    (
-        dated.hint("rebalance", EVENT_DATE)
-        .sortWithinPartitions(EVENT_DATE, "timestamp", "head_id")
-        .write.mode(mode)
-        .option("compression", "zstd")
-        .partitionBy(EVENT_DATE)
-        .parquet(path)
+    ordered = dated.hint("rebalance", EVENT_DATE).sortWithinPartitions(EVENT_DATE, "timestamp", "head_id")
+    return _put(
+        events.sparkSession,
+        path,
+        mode,
+        lambda to: ordered.write.mode(mode).option("compression", "zstd").partitionBy(EVENT_DATE).parquet(to),
     )
+
+
+def _put(spark: SparkSession, path: str, mode: str, write: Callable[[str], object]) -> str:
+    if mode == "overwrite":
+        return replaced(spark, path, write)
+    write(path)
     return path
 
 
 def write_idle_periods(idle: DataFrame, folder: str, name: str = IDLE_PERIODS, mode: str = "overwrite") -> str:
     path = f"{folder.rstrip('/')}/{name}"
-    idle.write.mode(mode).parquet(path)
-    return path
+    return _put(idle.sparkSession, path, mode, lambda to: idle.write.mode(mode).parquet(to))
 
 
 def write_hourly_cells(cells: DataFrame, folder: str) -> str:
     """One file in order of hours for each task that has some, so that a range
     reads few row groups."""
     path = f"{folder.rstrip('/')}/{HOURLY_CELLS}"
-    cells.repartitionByRange("hour").sortWithinPartitions("hour").write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return path
+    ordered = cells.repartitionByRange("hour").sortWithinPartitions("hour")
+    return replaced(cells.sparkSession, path, lambda to: ordered.write.option("compression", "zstd").parquet(to))
 
 
 def load_hourly_cells(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -95,11 +100,13 @@ def load_hourly_cells(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def write_json_tables(tables: dict[str, DataFrame], folder: str) -> str:
-    """Each table as a folder of JSON lines; not-a-number becomes null."""
+    """Each table as a folder of JSON lines; not-a-number becomes null. A table
+    that is there already stays until the new one is whole."""
     for name, table in tables.items():
         doubles = {c: F.when(~F.isnan(c), F.col(c)) for c, kind in table.dtypes if kind == "double"}
         clean = table.withColumns(doubles) if doubles else table
-        clean.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder.rstrip('/')}/{name}")
+        write = lambda to, clean=clean: clean.write.option("ignoreNullFields", "false").json(to)
+        replaced(table.sparkSession, f"{folder.rstrip('/')}/{name}", write)
     return folder
 
 
