@@ -111,6 +111,26 @@ def test_sums_beyond_doubles_stay_whole():
 # 7
 
 
+def test_links_between_blocks_are_counted_without_holding_them(monkeypatch):
+    from spindle.llm import metric_join
+
+    monkeypatch.setattr(metric_join, "TOGETHER", 7)
+    rng = np.random.default_rng(9)
+    values = metric_join.unit(np.concatenate([rng.standard_normal((40, 8)), np.repeat(rng.standard_normal((6, 8)), 12, axis=0) + 0.2 * rng.standard_normal((72, 8))]))
+    rng.shuffle(values)
+    linked = values @ values.T >= 0.9
+    np.fill_diagonal(linked, False)
+    for cut in (None, 50, 0, len(values)):
+        found = linked.copy()
+        if cut is not None:
+            found[:cut, :cut] = found[cut:, cut:] = False
+        blocks = (values, None) if cut is None else (values[:cut], values[cut:])
+        counts, root = metric_join.links_between(*blocks, 0.9)
+        assert counts.tolist() == found.sum(axis=1).tolist()
+        want = plain_components(list(zip(*map(np.ndarray.tolist, np.nonzero(found)), strict=True)))
+        assert root.tolist() == [want.get(i, i) for i in range(len(values))]
+
+
 def test_near_vectors_in_dense_cells(spark, monkeypatch):
     from spindle.llm import metric_join
 
