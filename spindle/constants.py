@@ -75,3 +75,7 @@ IDLE_SCHEMA = T.StructType(
         T.StructField("duration_seconds", T.DoubleType()),
     ]
 )
+
+# What an anomaly says of its torque, before the reading and before the bound.
+REASON_BELOW = ("torque ", " Nm below expected lower bound ")
+REASON_ABOVE = ("torque ", " Nm above expected upper bound ")

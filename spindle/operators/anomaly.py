@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.constants import REASON_ABOVE, REASON_BELOW
 from spindle.functions import columns as C
 from spindle.operators.filters import (
     check_choice,
@@ -62,15 +63,13 @@ def anomalies(
         ranged = real.join(F.broadcast(head_bounds(real, method, sensitivity) if bounds is None else bounds), "head_id")
     x, lower, upper = F.col("torque_nm"), F.col("lower"), F.col("upper")
     below = x < lower
-    text = lambda side, bound: F.concat(
-        F.lit("torque "), F.round(x, 3).cast("string"), F.lit(f" Nm {side} bound "), F.round(bound, 3).cast("string")
+    told = lambda parts, bound: F.concat(
+        F.lit(parts[0]), F.round(x, 3).cast("string"), F.lit(parts[1]), F.round(bound, 3).cast("string")
     )
     return ranged.where(below | (x > upper)).withColumns(
         {
             "deviation": F.greatest(lower - x, x - upper),
-            "reason": F.when(below, text("below expected lower", lower)).otherwise(
-                text("above expected upper", upper)
-            ),
+            "reason": F.when(below, told(REASON_BELOW, lower)).otherwise(told(REASON_ABOVE, upper)),
         }
     )
 
