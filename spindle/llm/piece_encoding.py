@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from spindle.llm.pieces import PieceModel
 from spindle.llm.shared import kept_in_worker
 
-TOGETHER = 500  # texts whose new words are merged at once
-CHARACTERS = 2_000_000  # of those texts, but for a single longer one
+TOGETHER = 250  # texts whose new words are merged at once
+CHARACTERS = 1_000_000  # of those texts, but for a single longer one
 
 
 def _together(texts: list[str]) -> Iterator[slice]:
