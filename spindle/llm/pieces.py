@@ -6,8 +6,11 @@ keyed hash of its place falls below the dropout rate, so the same key gives the
 same segmentation anywhere, and other keys give others. Every place of a unit in
 a text has a key of its own. Without dropout it is the model's own encoding.
 
-Which merges of a unit are skipped decides its segmentation, so segmentations
-are remembered by unit and skipped merges; the keys are drawn for every place.
+What a unit becomes is a tree: its root holds the merges that happen, in their
+order, if none is skipped, and the child of a merge those that happen if this
+one is the next to be skipped. Every place walks the tree of its unit with its
+own key and tests only the merges that come up there; the branches that many
+places take are remembered.
 """
 
 from __future__ import annotations
@@ -19,22 +22,62 @@ import numpy as np
 import sentencepiece
 
 SPACE = "▁"
-REMEMBERED = 300_000  # units kept, and segmentations with skipped merges
-OFTEN = 5  # times that a new unit comes in texts encoded together, from which it is remembered
-MOST_SPANS = 62  # possible merges of a unit that is remembered by those skipped
+REMEMBERED = 250_000  # units kept, and nodes of their trees
+DEEPEST = 2  # skipped merges on a remembered branch; places with more are merged one by one
 LONGEST = 32  # characters of a unit that is merged together with others
 NONE = 0xFFFF  # no piece has this id
 NEVER = 1 << 62
 MASK = (1 << 64) - 1
 
 
-def _skips(key, start, stop, rate: float):
-    """Whether the merge of the characters from start to stop is skipped."""
+def _hashed(start, stop) -> np.ndarray:
+    """A hash of the characters from start to stop."""
     u = lambda x: np.asarray(x).astype(np.uint64)
-    mixed = (u(key) ^ u(start) * np.uint64(0x9E3779B97F4A7C15) ^ u(stop) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    return u(start) * np.uint64(0x9E3779B97F4A7C15) ^ u(stop) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _skips(keys: np.ndarray, hashed: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the merges of characters with these hashes are skipped."""
+    mixed = (keys ^ hashed) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(32) < np.uint64(min(rate, 1.0) * 2.0**32)
 
 
+class _Trees:
+    """Nodes of all trees. A node has a segmentation and a run of merges in the
+    flat arrays: their (start, stop), the hash of it, and the child if skipped."""
+
+    def __init__(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.seen: set[str] = set()  # units that came once
+        self.units: list[str] = []
+        self.banned: list[tuple] = []  # the skipped merges, as (start, stop)
+        self.ids = np.empty(0, object)
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.spans = np.empty((0, 2), np.uint8)
+        self.hashed = np.empty(0, np.uint64)
+        self.child = np.empty(0, np.int32)
+        self.owner = np.empty(0, np.int32)
+
+    def add(self, units: list[str], banned: list[tuple], found: list[bytes], traces: list[list]) -> np.ndarray:
+        """New nodes; their numbers."""
+        numbers = np.arange(len(self.units), len(self.units) + len(units))
+        sizes = np.fromiter(map(len, traces), np.int64, len(traces))
+        spans = np.array([s for t in traces for s in t], np.uint8).reshape(-1, 2)
+        ids = np.empty(len(found), object)
+        ids[:] = found
+        self.units += units
+        self.banned += banned
+        self.ids = np.concatenate([self.ids, ids])
+        self.first = np.concatenate([self.first, len(self.child) + np.cumsum(sizes) - sizes])
+        self.count = np.concatenate([self.count, sizes])
+        self.spans = np.concatenate([self.spans, spans])
+        self.hashed = np.concatenate([self.hashed, _hashed(spans[:, 0], spans[:, 1])])
+        self.child = np.concatenate([self.child, np.full(len(spans), -1, np.int32)])
+        self.owner = np.concatenate([self.owner, np.repeat(numbers, sizes).astype(np.int32)])
+        return numbers
+
+
 class PieceModel:
     """The pieces of a byte-pair model with byte fallback and identity
     normalization. A space mark in a text is encoded as bytes, so that decoding
@@ -62,10 +105,8 @@ class PieceModel:
         self.units = re.compile(f"[\n{SPACE}]| *[^ \n{SPACE}]+| +")
         #: the model's own segmentations
         self.known: dict[str, bytes] = {}
-        #: the segmentations of units by the merges that were skipped
-        self.skipped: dict[tuple[str, int], bytes] = {}
-        #: the places of the merges a unit can have, as rows of (start, stop)
-        self.places: dict[str, np.ndarray] = {}
+        #: the segmentations of units with skipped merges
+        self.trees = _Trees()
         self._pairs()
 
     def _pairs(self) -> None:
@@ -78,7 +119,7 @@ class PieceModel:
                 self.single[ord(piece)] = i
         order = {v: at for at, v in enumerate(sorted({s for s, _ in self.pieces.values()}))}
         joins = [
-            (self.pieces[piece[:k]][1] << 16 | self.pieces[piece[k:]][1], order[score] << 16 | i)
+            (self.pieces[piece[:k]][1] << 16 | self.pieces[piece[k:]][1], order[score] << 22 | i)
             for piece, (score, i) in self.pieces.items()
             for k in range(1, len(piece))
             if piece[:k] in self.pieces and piece[k:] in self.pieces
@@ -87,58 +128,80 @@ class PieceModel:
         self.join_keys = np.array([k for k, _ in joins] + [1 << 40], np.int64)
         self.join_values = np.array([v for _, v in joins] + [NEVER], np.int64)
 
-    def _offers(self, ids, starts, stops, rate: float, keys):
-        """For neighbours: place in the agenda and id of the joined piece, NEVER
-        where there is none or the merge is skipped."""
-        wanted = ids[0].astype(np.int64) << 16 | ids[1]
+    def _offers(self, ids, starts, stops, rate: float, keys, banned):
+        """For neighbours: place in the agenda, start and id of the joined piece,
+        NEVER where there is none or the merge is skipped or banned."""
+        wanted = ids[0] << 16 | ids[1]
         at = np.searchsorted(self.join_keys, wanted)
-        value = np.where(self.join_keys[at] == wanted, self.join_values[at], NEVER)
-        return np.where(_skips(keys, starts, stops, rate), NEVER, value) if rate else value
+        value = np.where(self.join_keys[at] == wanted, self.join_values[at] | starts << 16, NEVER)
+        if rate:
+            value[_skips(keys, _hashed(starts, stops), rate)] = NEVER
+        for one in banned if banned is not None else ():
+            value[one == (starts << 16 | stops)] = NEVER
+        return value
 
-    def segments(self, units: list[str], rate: float, keys: np.ndarray) -> list[bytes]:
-        """`segment` of many units, as bytes of 16-bit ids. Units of one length
-        are merged together: all of them lose one symbol a round, and those
-        without a candidate leave."""
+    def segments(self, units: list[str], rate: float, keys: np.ndarray, banned: list[tuple] | None = None, traces: list[list] | None = None) -> list[bytes]:
+        """`segment` of many units, as bytes of 16-bit ids. With merges that are
+        `banned`, those that happen are added to `traces`. Units of one length
+        are merged together, a column each and one merge a round; symbols stay
+        at the place of their first character."""
         out: list[bytes] = [b""] * len(units)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        for n in np.unique(sizes):
+        for n in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == n)
-            points = np.frombuffer("".join([units[r] for r in rows]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            points = np.frombuffer("".join([units[r] for r in rows.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, n)
             ids = self.single[np.where(points == 32, ord(SPACE), points)]
             odd = (ids == NONE).any(axis=1) | (points == ord(SPACE)).any(axis=1) if n <= LONGEST else np.ones(len(rows), bool)
-            for r in rows[odd]:
-                out[r] = np.array(self.segment(units[r], rate, int(keys[r])), np.uint16).tobytes()
-            rows, ids = rows[~odd], ids[~odd]
-            starts = np.tile(np.arange(n + 1), (len(rows), 1))  # and one beyond the last
-            own = keys[rows]
-            offers = self._offers((ids[:, :-1], ids[:, 1:]), starts[:, :-2], starts[:, 2:], rate, own[:, None])
-            while len(rows):
-                if offers.shape[1]:
-                    at = (offers >> 16).argmin(axis=1)
-                    best = offers[np.arange(len(rows)), at]
-                    done = best == NEVER
-                else:
-                    done = np.ones(len(rows), bool)
-                for r, final in zip(rows[done].tolist(), ids[done].astype(np.uint16), strict=True):
-                    out[r] = final.tobytes()
-                if done.all():
+            for r in rows[odd].tolist():
+                alone = self.segment(units[r], rate, int(keys[r]), () if banned is None else banned[r], None if traces is None else traces[r])
+                out[r] = np.array(alone, np.uint16).tobytes()
+            rows = rows[~odd]
+            if not len(rows):
+                continue
+            ids = np.ascontiguousarray(ids[~odd].T).astype(np.int64)
+            own, ban = keys[rows], None
+            if banned is not None:
+                ban = np.full((max(len(banned[r]) for r in rows.tolist()), len(rows)), -1)
+                for i, r in enumerate(rows.tolist()):
+                    ban[: len(banned[r]), i] = [start << 16 | stop for start, stop in banned[r]]
+            place = np.repeat(np.arange(n + 1)[:, None], len(rows), axis=1)
+            after, before = place + 1, place - 1  # where the neighbours of the symbol begin
+            cols = np.arange(len(rows))  # of the agenda
+            agenda = np.full((n, len(rows)), NEVER)
+            agenda[:-1] = self._offers((ids[:-1], ids[1:]), place[:-2], place[2:], rate, own, None if ban is None else ban[:, None])
+            while True:
+                best = agenda.min(axis=0)
+                go = np.flatnonzero(best != NEVER)
+                if not len(go):
                     break
-                go = ~done
-                rows, ids, starts, offers, own, at, best = rows[go], ids[go], starts[go], offers[go], own[go], at[go], best[go]
-                row, width = np.arange(len(rows)), ids.shape[1]
-                ids[row, at] = best & 0xFFFF
-                keep = np.arange(width - 1) + (np.arange(width - 1) > at[:, None])
-                ids = np.take_along_axis(ids, keep, axis=1)
-                starts = np.take_along_axis(starts, np.arange(width) + (np.arange(width) > at[:, None]), axis=1)
-                offers = np.take_along_axis(offers, np.arange(width - 2) + (np.arange(width - 2) >= at[:, None]), axis=1)
-                for beside in (at - 1, at):
-                    some = (beside >= 0) & (beside < width - 2)
-                    r, b = row[some], beside[some]
-                    offers[r, b] = self._offers((ids[r, b], ids[r, b + 1]), starts[r, b], starts[r, b + 2], rate, own[r])
+                if 2 * len(go) < len(cols):
+                    cols, agenda, best, go = cols[go], agenda[:, go], best[go], np.arange(len(go))
+                best, c = best[go], cols[go]
+                a = best >> 16 & 63
+                gone = after[a, c]
+                stop = after[gone, c]
+                ids[a, c], ids[gone, c] = best & 0xFFFF, NONE
+                after[a, c], before[stop, c] = stop, a
+                agenda[gone, go] = agenda[a, go] = NEVER
+                if banned is not None:
+                    for r, start, end in zip(rows[c].tolist(), a.tolist(), stop.tolist(), strict=True):
+                        traces[r].append((start, end))
+                for some, left in ((stop < n, a), (a > 0, before[a, c])):
+                    some = np.flatnonzero(some)
+                    column, left = c[some], left[some]
+                    right = after[left, column]
+                    pair = ids[left, column], ids[right, column]
+                    agenda[left, go[some]] = self._offers(pair, left, after[right, column], rate, own[column], None if ban is None else ban[:, column])
+            final = ids.T
+            alive = final != NONE
+            packed = final[alive].astype(np.uint16).tobytes()
+            ends = (2 * np.cumsum(alive.sum(axis=1))).tolist()
+            for r, start, end in zip(rows.tolist(), [0, *ends], ends, strict=False):
+                out[r] = packed[start:end]
         return out
 
-    def segment(self, unit: str, rate: float, key: int) -> list[int]:
-        """The ids of one unit."""
+    def segment(self, unit: str, rate: float, key: int, banned: tuple = (), trace: list | None = None) -> list[int]:
+        """The ids of one unit. Merges that happen are added to `trace`."""
         if unit == SPACE:
             return [self.byte[b] for b in SPACE.encode()]
         text = unit.replace(" ", SPACE)
@@ -146,10 +209,11 @@ class PieceModel:
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))  # neighbours of the symbol that starts here
         end = list(range(1, n + 1))  # 0 once merged into another
         agenda: list[tuple[float, int, int]] = []
+        own = np.array([key], np.uint64)
 
         def offer(a: int, b: int) -> None:
             known = self.pieces.get(text[a : end[b]])
-            if known:
+            if known and (a, end[b]) not in banned:
                 heapq.heappush(agenda, (known[0], a, end[b]))
 
         for a in range(n - 1):
@@ -159,8 +223,10 @@ class PieceModel:
             b = right[a]
             if not end[a] or b >= n or end[b] != stop:
                 continue
-            if rate and _skips([key], a, stop, rate)[0]:
+            if rate and _skips(own, _hashed([a], [stop]), rate)[0]:
                 continue
+            if trace is not None:
+                trace.append((a, stop))
             end[a], end[b], right[a] = stop, 0, right[b]
             if right[a] < n:
                 left[right[a]] = a
@@ -184,53 +250,58 @@ class PieceModel:
         self.known.update((u, i) for u, i in found.items() if len(u) <= LONGEST)
         return out
 
-    def _spans(self, unit: str) -> np.ndarray:
-        """Where symbols of a unit can be merged to a piece, whatever is skipped."""
-        text, n = unit.replace(" ", SPACE), len(unit)
-        return np.array([(i, j) for i in range(n) for j in range(i + 2, n + 1) if text[i:j] in self.pieces], np.uint16).reshape(-1, 2)
+    def _grow(self, units: list[str], banned: list[tuple]) -> np.ndarray:
+        """Nodes of these units where these merges are skipped and no others."""
+        traces: list[list] = [[] for _ in units]
+        found = self.segments(units, 0.0, np.zeros(len(units), np.uint64), banned, traces)
+        return self.trees.add(units, banned, found, traces)
 
     def _dropped(self, units: list[str], number: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
         """The segmentations of units[number] under their keys."""
-        if len(self.places) > REMEMBERED:
-            self.places = {}
-        for u, times in zip(units, np.bincount(number, minlength=len(units)).tolist(), strict=True):
-            if times >= OFTEN and u not in self.places and len(u) <= LONGEST:
-                self.places[u] = self._spans(u)
-        known = list(map(self.places.get, units))
-        small = np.fromiter((k is not None for k in known), bool, len(units))
-        spans = [np.empty((0, 2), np.uint16) if k is None else k for k in known]
-        counts = np.fromiter(map(len, spans), np.int64, len(spans))
-        small &= counts <= MOST_SPANS
-        counts = np.where(small, counts, 0)
-        flat = np.concatenate([s for s, few in zip(spans, small, strict=True) if few] + [np.empty((0, 2), np.uint16)])
-        first = np.cumsum(counts) - counts
-        # one row for each merge that each place of a unit can have
-        rows = np.repeat(np.arange(len(number)), counts[number])
-        nth = np.arange(len(rows)) - np.repeat(np.cumsum(counts[number]) - counts[number], counts[number])
-        at = np.repeat(first[number], counts[number]) + nth
-        skip = _skips(keys[rows], flat[at, 0], flat[at, 1], rate)
-        masks = np.zeros(len(number), np.int64)
-        np.add.at(masks, rows[skip], np.int64(1) << nth[skip])
-        alone = np.flatnonzero(~small[number])
-        out: list[bytes] = [b""] * len(number)
-        for i, ids in zip(alone.tolist(), self.segments([units[number[i]] for i in alone], rate, keys[alone]), strict=True):
-            out[i] = ids
-        rest = np.flatnonzero(small[number])
-        order = rest[np.lexsort((masks[rest], number[rest]))]
-        change = np.ones(len(order), bool)
-        change[1:] = (np.diff(number[order]) != 0) | (np.diff(masks[order]) != 0)
-        heads = order[change]  # one place of each unit and mask
-        names = [(units[n], m) for n, m in zip(number[heads].tolist(), masks[heads].tolist(), strict=True)]
-        missing = [i for i, k in enumerate(names) if k not in self.skipped]
-        found = self.segments([names[i][0] for i in missing], rate, keys[heads[missing]])
-        new = {names[i]: ids for i, ids in zip(missing, found, strict=True)}
-        each = [new[k] if k in new else self.skipped[k] for k in names]
-        for i, g in zip(order.tolist(), (np.cumsum(change) - 1).tolist(), strict=True):
-            out[i] = each[g]
-        if len(self.skipped) + len(new) > REMEMBERED:
-            self.skipped = {}
-        self.skipped.update(new)
-        return out
+        if max(len(self.trees.units), len(self.trees.seen)) > REMEMBERED:
+            self.trees = _Trees()
+        trees = self.trees
+        times = np.bincount(number, minlength=len(units))
+        root = np.array([trees.roots.get(u, -1) for u in units], np.int64)
+        new = []  # a unit has a tree from the second time that it comes
+        for i in np.flatnonzero(root < 0).tolist():
+            if len(units[i]) <= LONGEST:
+                if times[i] > 1 or units[i] in trees.seen:
+                    new.append(i)
+                else:
+                    trees.seen.add(units[i])
+        names = [units[i] for i in new]
+        root[new] = self._grow(names, [()] * len(new))
+        trees.roots.update(zip(names, root[new].tolist(), strict=True))
+        trees.seen.difference_update(names)
+        node = root[number]
+        walking = np.flatnonzero(node >= 0)
+        for depth in range(DEEPEST + 1):
+            here = node[walking]
+            counts = trees.count[here]
+            row = np.repeat(np.arange(len(walking)), counts)
+            at = np.arange(len(row)) + np.repeat(trees.first[here] - np.cumsum(counts) + counts, counts)
+            hits = np.flatnonzero(_skips(keys[walking[row]], trees.hashed[at], rate))
+            row, at = row[hits], at[hits]
+            next_one = np.ones(len(hits), bool)
+            next_one[1:] = row[1:] != row[:-1]  # the first merge that is skipped
+            walking, at = walking[row[next_one]], at[next_one]
+            if depth < DEEPEST:
+                absent, wanted = np.unique(at[trees.child[at] < 0], return_counts=True)
+                absent = absent[wanted > 1]
+                parents = trees.owner[absent].tolist()
+                banned = [trees.banned[p] + (tuple(s),) for p, s in zip(parents, trees.spans[absent].tolist(), strict=True)]
+                grown = self._grow([trees.units[p] for p in parents], banned)
+                trees.child[absent] = grown
+                node[walking] = trees.child[at]
+                walking = walking[trees.child[at] >= 0]
+            else:
+                node[walking] = -1
+        alone = np.flatnonzero(node < 0)
+        out = np.empty(len(number), object)
+        out[node >= 0] = trees.ids[node[node >= 0]]
+        out[alone] = self.segments([units[i] for i in number[alone].tolist()], rate, keys[alone])
+        return out.tolist()
 
     def encode_all(self, texts: list[str], names: list[int], rate: float = 0.0, seed: int = 0) -> list[np.ndarray]:
         """The ids of each text. Names set texts apart: the key of each unit is

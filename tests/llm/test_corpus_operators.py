@@ -453,6 +453,21 @@ def test_every_place_of_a_word_draws_its_own_dropout():
         assert ids.tolist() == one_by_one == PieceModel(piece_model()).encode(text, 0.2, 9, name).tolist()
 
 
+def test_trees_of_merges_change_no_segmentation_as_they_grow():
+    model = PieceModel(piece_model())
+    words = [f"{a}{b}{c}" for a in ("inform", "re", "Ünter", "𝒳y") for b in ("ation", "mark", "") for c in ("able", "s", "ñandú", "|")]
+    for batch in range(6):  # from the second batch on, all words have trees
+        names = list(range(batch * 40, batch * 40 + 40))
+        texts = [" ".join(words[i % len(words)] for i in range(n % 7, n % 7 + 42)) for n in names]
+        for rate in (0.1, 0.6, 1.0):
+            found = model.encode_all(texts, names, rate, 3)
+            for text, name, ids in zip(texts, names, found, strict=True):
+                units = model.units.findall(f" {text}")
+                assert ids.tolist() == [i for u, k in zip(units, _drawn(len(units), name, 3), strict=True) for i in model.segment(u, rate, int(k))]
+    assert len(model.trees.units) > len(model.trees.roots) >= len(words)
+    assert max(map(len, model.trees.banned)) == 2
+
+
 # 9
 
 
