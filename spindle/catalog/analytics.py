@@ -17,6 +17,7 @@ from spindle.operators import (
     quality,
     rollup,
     series,
+    sketches,
     summary,
     torque,
 )
@@ -975,3 +976,32 @@ ties AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM
          (SELECT count(*) FROM per_head) AS n_groups, CAST(w.n AS BIGINT) AS n_observations FROM whole w""",
     "h_statistic",
 )
+
+# --- approximate quantiles ------------------------------------------------------------------------
+
+
+def torque_sketches(spark, folder):
+    return stored(spark, folder, "torque_sketches", lambda: sketches.daily_sketches(events(spark, folder)))
+
+
+register(
+    "torque_sketches",
+    lambda s, d: torque_sketches(s, d).drop("sketch"),
+    TELE,
+    'SELECT CAST("timestamp" AS DATE) AS day, head_id, count(*) AS n_observations FROM good WHERE torque_nm IS NOT NULL GROUP BY ALL',
+)
+
+
+def approximate_quartiles(spark, folder):
+    """Quartiles of the heads from their sketches, and whether their exact ranks
+    over the events keep the stated bound."""
+    errors = sketches.rank_errors(events(spark, folder), sketches.approximate_quantiles(torque_sketches(spark, folder)))
+    return errors.select("head_id", "n_observations", (F.col("largest_error") <= sketches.RANK_ERROR).alias("within_bound"))
+
+
+register(
+    "torque_quantiles_approximate",
+    approximate_quartiles,
+    TELE,
+    "SELECT head_id, count(*) AS n_observations, true AS within_bound FROM good WHERE torque_nm IS NOT NULL GROUP BY head_id",
+)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.operators import counters, events, idle, quality, readings, rollup
+from spindle.operators import counters, events, idle, quality, readings, rollup, sketches
 from spindle.session import workspace
 from spindle.sources import tables
 from spindle.sources.raw_csv import read_wide_csv
@@ -54,6 +54,7 @@ def ingest(spark: SparkSession, path: str, output: str) -> IngestResult:
     tables.write_idle_periods(idle.idle_periods(rows), output)
     stored = tables.load_closure_events(spark, output)
     tables.write_hourly_cells(rollup.hourly_cells(stored, tables.load_idle_periods(spark, output)), output)
+    tables.write_torque_sketches(sketches.daily_sketches(stored), output)
 
     per_file = {n: staged(n, t) for n, t in quality.report_tables(rows, repaired).items()}  # small; totals and sinks read them
     report = quality_report(

@@ -16,6 +16,7 @@ from spindle.sources.folders import children, replaced
 CLOSURE_EVENTS = "closure_events.parquet"
 IDLE_PERIODS = "idle_periods.parquet"
 HOURLY_CELLS = "hourly_cells.parquet"
+TORQUE_SKETCHES = "torque_sketches.parquet"
 QUALITY = "data_quality"
 EVENT_DATE = "event_date"
 OLD_NAMES = {"accepted_closure_count": "inferred_closure_count"}
@@ -99,6 +100,18 @@ def load_hourly_cells(spark: SparkSession, folder: str) -> DataFrame | None:
     return configure(spark).read.parquet(path) if children(spark, path) else None
 
 
+def write_torque_sketches(sketches: DataFrame, folder: str) -> str:
+    path = f"{folder.rstrip('/')}/{TORQUE_SKETCHES}"
+    ordered = sketches.repartitionByRange("day").sortWithinPartitions("day")
+    return replaced(sketches.sparkSession, path, lambda to: ordered.write.option("compression", "zstd").parquet(to))
+
+
+def load_torque_sketches(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The sketches that an ingest stored beside the events, if it did."""
+    path = f"{folder.rstrip('/')}/{TORQUE_SKETCHES}"
+    return configure(spark).read.parquet(path) if children(spark, path) else None
+
+
 def write_json_tables(tables: dict[str, DataFrame], folder: str) -> str:
     """Each table as a folder of JSON lines; not-a-number becomes null. A table
     that is there already stays until the new one is whole."""
