@@ -986,9 +986,9 @@ def torque_sketches(spark, folder):
 
 register(
     "torque_sketches",
-    lambda s, d: torque_sketches(s, d).drop("sketch"),
+    lambda s, d: torque_sketches(s, d).select(F.col("day").cast("string").alias("day"), "head_id", "n_observations"),
     TELE,
-    'SELECT CAST("timestamp" AS DATE) AS day, head_id, count(*) AS n_observations FROM good WHERE torque_nm IS NOT NULL GROUP BY ALL',
+    'SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, head_id, count(*) AS n_observations FROM good WHERE torque_nm IS NOT NULL GROUP BY ALL',
 )
 
 
