@@ -13,7 +13,7 @@ from spindle.constants import (
     IDLE_MIN_SECONDS,
 )
 from spindle.functions import columns as C
-from spindle.operators.readings import BLOCK, complete_heads, field
+from spindle.operators.readings import BLOCK, complete_heads, field, present
 from spindle.plans.slices import UP_TO_HERE
 from spindle.session import cut
 
@@ -22,11 +22,10 @@ RUN = ["file_seq", "last_file_seq", "start_at", "end_at", "n_rows", "touches_sta
 
 def all_heads_idle(wide: DataFrame) -> Column:
     """True where the status of every head of the file says no load."""
-    heads = complete_heads(wide.columns)
-    states = F.array(*[F.struct(F.lit(h).alias("h"), field(h, "Status").alias("s")) for h in heads])
-    if "file_heads" in wide.columns:
-        states = F.filter(states, lambda x: F.array_contains("file_heads", x["h"]))
-    return F.forall(states, lambda x: F.coalesce(x["s"] == IDLE_CODE, F.lit(False)))
+    idle = F.lit(True)
+    for h in complete_heads(wide.columns):
+        idle = idle & (~present(wide, h) | F.coalesce(field(h, "Status") == IDLE_CODE, F.lit(False)))
+    return idle
 
 
 def _paused(step: Column) -> Column:

@@ -7,29 +7,23 @@ from pyspark.sql import functions as F
 
 from spindle.constants import FALLBACK_INTERVAL_SECONDS, GAP_FACTOR, STATUS
 from spindle.functions import columns as C
-from spindle.operators.readings import BLOCK, complete_heads, field, to_readings_long
+from spindle.operators.readings import BLOCK, CELLS, complete_heads, field, present, to_readings_long
 from spindle.plans.slices import BEFORE_HERE
 
 PART = ["head_id", *BLOCK]
-CELLS = ("count", "torque_nm", "status_code")
 OUTLIER_SIGMAS = 3
 
 
 def trailing_zero_rows(wide: DataFrame) -> DataFrame:
     """Per file, the length of its closing stretch of rows where every field of
     every head is zero. They are counted, never removed."""
-    heads = complete_heads(wide.columns)
-    values = [
-        F.struct(F.lit(h).alias("h"), field(h, name).alias("v"))
-        for h in heads
-        for name in ("Count", "AppTorque", "Status")
-    ]
-    cells = F.array(*values)
-    if "file_heads" in wide.columns:
-        cells = F.filter(cells, lambda x: F.array_contains("file_heads", x["h"]))
-    all_zero = F.forall(cells, lambda x: F.coalesce(x["v"] == 0, F.lit(False)))
-    here = Window.partitionBy(*BLOCK).orderBy("row_id")
-    rows = wide.select(*BLOCK, all_zero.alias("_z"), F.row_number().over(here).alias("_rn"))
+    zero = lambda h, name: F.coalesce(field(h, name) == 0, F.lit(False))
+    all_zero = F.lit(True)
+    for h in complete_heads(wide.columns):
+        all_zero = all_zero & (~present(wide, h) | (zero(h, "Count") & zero(h, "AppTorque") & zero(h, "Status")))
+    # rows with steps know their place in the block and need no sort
+    place = F.col("position") if "position" in wide.columns else F.row_number().over(Window.partitionBy(*BLOCK).orderBy("row_id"))
+    rows = wide.select(*BLOCK, all_zero.alias("_z"), place.alias("_rn"))
     blocks = rows.groupBy(*BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"), F.max(F.when(~F.col("_z"), F.col("_rn"))).alias("_last_other")
     )
@@ -90,13 +84,16 @@ def boundary_gaps(stepped: DataFrame) -> DataFrame:
 
 
 def missing_cells(wide: DataFrame, repaired: DataFrame) -> DataFrame:
-    """Empty cells per file once corrupted counts are masked."""
-    empty = sum((F.col(c).isNull().cast("int") for c in CELLS[1:]), F.col(CELLS[0]).isNull().cast("int"))
-    cells = to_readings_long(wide).groupBy("source_file").agg(
-        F.sum(empty).alias("_empty"),
-        (F.count(F.lit(1)) * len(CELLS)).alias("cells"),
-        F.countDistinct("head_id").alias("n_heads"),
+    """Empty cells per file once corrupted counts are masked. Cells are counted
+    in the wide rows, which are not unfolded."""
+    heads = {h: present(wide, h) for h in complete_heads(wide.columns)}
+    empty = [F.when(here & field(h, name).isNull(), 1).otherwise(0) for h, here in heads.items() for name in CELLS.values()]
+    per_file = wide.groupBy("source_file").agg(
+        F.sum(_added(empty)).alias("_empty"),
+        (F.sum(_added([here.cast("int") for here in heads.values()])) * len(CELLS)).alias("cells"),
+        _added([F.max(here).cast("long") for here in heads.values()]).alias("n_heads"),
     )
+    cells = per_file.where(F.col("n_heads") > 0)
     hidden = masked_rows(repaired)
     return cells.join(hidden, "source_file", "left").select(
         "source_file",
@@ -108,6 +105,14 @@ def missing_cells(wide: DataFrame, repaired: DataFrame) -> DataFrame:
     )
 
 
+def _added(terms: list[Column]) -> Column:
+    """The sum of any number of columns, as a tree of small depth."""
+    if not terms:
+        return F.lit(0)
+    middle = len(terms) // 2
+    return _added(terms[:middle]) + _added(terms[middle:]) if middle else terms[0]
+
+
 def masked_rows(repaired: DataFrame) -> DataFrame:
     """Counts masked per file."""
     return zero_rows(repaired, F.col("masked"), "source_file").withColumnRenamed("n", "masked_counts")
@@ -138,20 +143,23 @@ def invalid_torque(wide: DataFrame, repaired: DataFrame) -> DataFrame:
     """Per file and head: negative torque, zero torque on an increment, and
     readings more than three deviations from the mean."""
     key = ["source_file", "head_id"]
-    x = F.col("torque_nm")
-    long = to_readings_long(wide)
-    moments = long.groupBy(*key).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"))
+    torque = {h: F.when(present(wide, h), field(h, "AppTorque")) for h in complete_heads(wide.columns)}
     # one row per block with the moments of all its heads: a large file does not
-    # become one join group, and the wide rows are joined, not the long ones
-    per_file = moments.groupBy("source_file").agg(
-        F.map_from_entries(F.collect_list(F.struct("head_id", F.struct("_mean", "_sd")))).alias("_moments")
-    )
+    # become one join group. The rows stay wide: they are not unfolded.
+    moments = lambda x: F.struct(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    per_file = wide.groupBy("source_file").agg(*[moments(x).alias(f"_m_{h}") for h, x in torque.items()])
     per_block = wide.select(*BLOCK).distinct().join(per_file, "source_file")
-    known = F.col("_moments")[F.col("head_id")]
-    far = (known["_sd"] > 0) & (F.abs(x - known["_mean"]) > OUTLIER_SIGMAS * known["_sd"])
-    counted = to_readings_long(wide.join(per_block, BLOCK), "_moments").groupBy(*key).agg(
-        C.count_if(x < 0).alias("negative"), C.count_if(far).alias("outliers_gt_3sigma")
-    )
+
+    def faults(h, x):
+        known = F.col(f"_m_{h}")
+        far = (known["sd"] > 0) & (F.abs(x - known["mean"]) > OUTLIER_SIGMAS * known["sd"])
+        return F.struct(
+            F.lit(h).alias("head_id"), C.count_if(x < 0).alias("negative"), C.count_if(far).alias("outliers_gt_3sigma"), F.max(present(wide, h)).alias("_here")
+        )
+
+    found = wide.join(per_block, BLOCK).groupBy("source_file").agg(F.array(*[faults(h, x) for h, x in torque.items()]).alias("_f"))
+    counted = found.select("source_file", F.inline("_f")).where("_here").drop("_here")
+    x = F.col("torque_nm")
     idle = _steps(repaired).where((x == 0) & (F.col("_step") > 0))
     zeros = idle.groupBy(*key).agg(F.count(F.lit(1)).alias("zero_on_increment"))
     return counted.join(zeros, key, "left").na.fill(0, ["zero_on_increment"])
@@ -172,7 +180,7 @@ def file_counter_resets(repaired: DataFrame) -> DataFrame:
 
 
 def status_distribution(wide: DataFrame) -> DataFrame:
-    known = to_readings_long(wide).where(F.col("status_code").isNotNull())
+    known = to_readings_long(wide, cells=("status_code",)).where(F.col("status_code").isNotNull())
     code = F.col("status_code").cast("int").alias("status_code")
     return known.groupBy("source_file", "head_id", code).agg(F.count(F.lit(1)).alias("n"))
 

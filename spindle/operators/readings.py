@@ -45,15 +45,21 @@ def field(head: str, name: str) -> Column:
     return C.null_if_nan(F.col(f"{head} {name}").cast("double"))
 
 
-def to_readings_long(wide: DataFrame, *keep: str) -> DataFrame:
-    """One row per raw row and head, for the heads the file of the row has."""
+def present(wide: DataFrame, head: str) -> Column:
+    """Whether the file of a row has the head."""
+    if "file_heads" not in wide.columns:
+        return F.lit(True)
+    return F.coalesce(F.array_contains("file_heads", head), F.lit(False))
+
+
+CELLS = {"count": "Count", "torque_nm": "AppTorque", "status_code": "Status"}
+
+
+def to_readings_long(wide: DataFrame, *keep: str, cells: tuple[str, ...] = tuple(CELLS)) -> DataFrame:
+    """One row per raw row and head, for the heads the file of the row has, with
+    the `cells` asked for."""
     heads = complete_heads(wide.columns)
-    triplet = lambda h: F.struct(
-        F.lit(h).alias("head_id"),
-        field(h, "Count").alias("count"),
-        field(h, "AppTorque").alias("torque_nm"),
-        field(h, "Status").alias("status_code"),
-    )
+    triplet = lambda h: F.struct(F.lit(h).alias("head_id"), *[field(h, CELLS[c]).alias(c) for c in cells])
     listed = F.array(*[triplet(h) for h in heads])
     if "file_heads" in wide.columns:
         listed = F.filter(listed, lambda t: F.array_contains("file_heads", t["head_id"]))
@@ -183,7 +189,6 @@ def count_changes(stepped: DataFrame) -> DataFrame:
         count, known = counts[h], F.col(f"_known_{h}")
         changed = count.isNotNull() & (known.isNull() | (count != known))
         lost = count.isNull() & (F.col(f"_lag_{h}") == 0)
-        present = F.array_contains("file_heads", h) if "file_heads" in stepped.columns else F.lit(True)
         values = F.struct(
             F.lit(h).alias("head_id"),
             count.alias("count"),
@@ -191,8 +196,8 @@ def count_changes(stepped: DataFrame) -> DataFrame:
             field(h, "Status").alias("status_code"),
             F.col(f"_lag_{h}").alias("count_before"),
         )
-        return F.when(present & (edge | changed | lost), values)
+        return F.when(present(stepped, h) & (edge | changed | lost), values)
 
-    kept = F.array_compact(F.array(*[reading(h) for h in heads]))
+    each = F.explode(F.array(*[reading(h) for h in heads])).alias("_r")
     keep = [*BLOCK, "row_id", "timestamp", "file_seq", "block_rows", "position", "is_gap"]
-    return rows.select(*keep, F.explode(kept).alias("_r")).select(*keep, "_r.*")
+    return rows.select(*keep, each).where(F.col("_r").isNotNull()).select(*keep, "_r.*")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from spindle.constants import HEAD_COLUMN, HEAD_FIELDS, TIMESTAMP
 from spindle.operators.readings import complete_heads
 from spindle.plans.ranks import ranked
-from spindle.session import configure
+from spindle.session import configure, cut
 
 # executors get these functions by value and need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,11 +54,12 @@ def discover_raw_files(spark: SparkSession, path: str) -> DataFrame:
     return ranked(found, F.split("path", "/")).select("path", "length", "position")
 
 
-def header_lines(files: DataFrame) -> DataFrame:
+def header_lines(files: DataFrame, most: int | None = None) -> DataFrame:
     """(path, header): the first line of each file. Every task reads the
-    beginning of its own files and nothing else of them."""
+    beginning of its own files and nothing else of them. `most`: how many files
+    there are at most, where that is known."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = files.select("path").repartition(n, "path")
+    spread = files.select("path").repartition(min(n, most or n), "path")
     return spread.mapInPandas(_first_lines, "path string, header string")
 
 
@@ -167,11 +168,11 @@ def read_wide_csv(spark: SparkSession, path: str | list[str]) -> RawArchive:
     A scan split is one block; it is as long as `spark.sql.files.maxPartitionBytes`.
     """
     if isinstance(path, str):
-        files = discover_raw_files(spark, path)
+        files, most = discover_raw_files(spark, path), None
     else:
-        files = configure(spark).createDataFrame([(p,) for p in path], "path string")
-    headers = header_lines(files)
-    checked = validate_schema(headers)
+        files, most = configure(spark).createDataFrame([(p,) for p in path], "path string"), len(path)
+    headers = cut(header_lines(files, most))  # a row per file; each file is opened once
+    checked = cut(validate_schema(headers))
     groups = (
         headers.join(checked.where("accepted").select("path"), "path")
         .groupBy("header")

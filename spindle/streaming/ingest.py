@@ -17,9 +17,12 @@ the output of the one that failed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,7 +31,7 @@ from spindle.constants import EVENT_SCHEMA
 from spindle.operators import counters, events, idle, readings
 from spindle.operators.ingest import base_name, repair
 from spindle.plans.ranks import ranked
-from spindle.session import configure
+from spindle.session import configure, cut
 from spindle.sources import tables
 from spindle.sources.folders import children, put, remove
 from spindle.sources.raw_csv import CSV_FILES, RawArchive, read_wide_csv
@@ -40,6 +43,7 @@ BATCH = "batch"
 NUMBERS = 1 << 32  # batch numbers of one micro-batch
 COMMITS = "_state/commits"
 STAGES = "_stage"
+AT_ONCE = 4  # writes of one batch
 
 
 class State(NamedTuple):
@@ -147,49 +151,63 @@ def ingest_batch(spark: SparkSession, paths: list[str], output: str, number: int
     rows = _materialise(spark, readings.with_steps(context), output, f"{STAGES}/steps", number)
     changes = _materialise(spark, readings.count_changes(rows), output, f"{STAGES}/changes", number)
     settled = _settled(_materialise(spark, repair(changes), output, f"{STAGES}/repaired", number))
-    settled = _materialise(spark, settled, output, f"{STAGES}/settled", number)
-    eras = _eras(settled)
-    moved = _with_past_segments(counters.reset_segments(settled), eras, before)
+    eras = cut(_eras(settled))  # heads x files of the batch
     own = F.col("source_file") != STATE_FILE
-
-    found = events.enrich_status(counters.detect_closures(moved.where(own)))
-    found = _materialise(spark, found, output, f"{STAGES}/found", number)
-    kept = events.dedupe_events(found)
-    removed = events.duplicates_removed(found)
-    again = _repeated(spark, settled.where(own), kept, before, output, number)
-    if again is not None:
-        kept = kept.join(again, events.COUNTER_KEY, "left_anti")
-        removed = removed.union(again.groupBy("head_id").agg(F.count(F.lit(1)).alias("removed")))
-    timed = _speed(kept, before).withColumn("source_file", base_name())
-    timed = timed.select(*EVENT_SCHEMA.fieldNames(), "segment_id")
-    timed.write.mode("overwrite").option("compression", "zstd").parquet(_folder(output, tables.CLOSURE_EVENTS, number))
-    timed = spark.read.schema(timed.schema).parquet(_folder(output, tables.CLOSURE_EVENTS, number))
     resolved, waiting, masked = _waiting(settled, before, readings.complete_heads(wide.columns))
-    log = _resets(moved, before)
-    late = log.where(F.col("_late")).drop("_late")
-    log = log.drop("_late")
-    if resolved is not None:
-        log, late = log.unionByName(resolved), late.unionByName(resolved)
-    log.withColumn("source_file", base_name()).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
-
-    runs = _materialise(spark, _idle_runs(rows, before), output, f"{STAGES}/idle", number)
-    newest = rows.agg(F.max("file_seq")).scalar()
-    open_run = F.col("touches_end") & (F.col("last_file_seq") == newest)
-    idle.long_runs(runs.where(~open_run)).write.mode("overwrite").parquet(
-        _folder(output, tables.IDLE_PERIODS, number)
-    )
 
-    pending = quality_state.open_rows(settled.where(own))
-    if before is not None:
-        decided = quality_state.fates(settled, masked, STATE_FILE)
-        shown, still = quality_state.late_masks(before.pending, decided)
-        pending = pending.unionByName(still)
-        write(shown, f"{quality_state.FOLDER}/late_masks")
-    quality_state.write_tables(rows.where(own), settled.where(own), None if before is None else last["data_file"], write)
-    write(quality_state.resets_per_file(late), f"{quality_state.FOLDER}/late_resets")
-    write(removed, f"{quality_state.FOLDER}/duplicates_removed")
-    write(pending, "_state/pending")
-    _write_state(wide, settled, eras, timed, runs.where(open_run), waiting, before, output, number, paths[-1])
+    def closures() -> DataFrame:
+        moved = _with_past_segments(counters.reset_segments(settled), eras, before)
+        moved = _materialise(spark, moved, output, f"{STAGES}/moved", number)
+        found = events.enrich_status(counters.detect_closures(moved.where(own)))
+        kept = _materialise(spark, events.dedupe_events(found), output, f"{STAGES}/kept", number)
+        removed = events.duplicates_removed(found)
+        again = _repeated(spark, settled.where(own), kept, before, output, number)
+        if again is not None:
+            kept = kept.join(again, events.COUNTER_KEY, "left_anti")
+            removed = removed.union(again.groupBy("head_id").agg(F.count(F.lit(1)).alias("removed")))
+        write(removed, f"{quality_state.FOLDER}/duplicates_removed")
+        log = _resets(moved, before)
+        late = log.where(F.col("_late")).drop("_late")
+        log = log.drop("_late")
+        if resolved is not None:
+            log, late = log.unionByName(resolved), late.unionByName(resolved)
+        log.withColumn("source_file", base_name()).write.mode("overwrite").parquet(_folder(output, "counter_resets", number))
+        write(quality_state.resets_per_file(late), f"{quality_state.FOLDER}/late_resets")
+        timed = _speed(kept, before).withColumn("source_file", base_name())
+        timed = timed.select(*EVENT_SCHEMA.fieldNames(), "segment_id")
+        timed.write.mode("overwrite").option("compression", "zstd").parquet(_folder(output, tables.CLOSURE_EVENTS, number))
+        return spark.read.schema(timed.schema).parquet(_folder(output, tables.CLOSURE_EVENTS, number))
+
+    def idle_runs() -> DataFrame:
+        runs = _materialise(spark, _idle_runs(rows, before), output, f"{STAGES}/idle", number)
+        newest = rows.agg(F.max("file_seq")).scalar()
+        open_run = F.col("touches_end") & (F.col("last_file_seq") == newest)
+        idle.long_runs(runs.where(~open_run)).write.mode("overwrite").parquet(_folder(output, tables.IDLE_PERIODS, number))
+        return runs.where(open_run)
+
+    def open_zeros() -> None:
+        pending = quality_state.open_rows(settled.where(own))
+        if before is not None:
+            decided = quality_state.fates(settled, masked, STATE_FILE)
+            shown, still = quality_state.late_masks(before.pending, decided)
+            pending = pending.unionByName(still)
+            write(shown, f"{quality_state.FOLDER}/late_masks")
+        write(pending, "_state/pending")
+
+    previous = None if before is None else last["data_file"]
+    report = quality_state.file_tables(rows.where(own), settled.where(own), previous)
+    writes = [partial(write, table, f"{quality_state.FOLDER}/{name}") for name, table in report.items()]
+    timed, open_run, *_ = _at_once(spark, [closures, idle_runs, open_zeros, *writes])
+    _write_state(wide, settled, eras, timed, open_run, waiting, before, output, number, paths[-1])
+
+
+def _at_once(spark: SparkSession, steps: list[Callable]) -> list:
+    """The results of steps that need nothing of each other. Their jobs share the
+    cores, so a stage of few tasks leaves none idle. If one fails, so does the
+    batch."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return [step.result() for step in running]
 
 
 def _write(table: DataFrame, name: str, output: str, number: int) -> None:
@@ -270,9 +288,8 @@ def _settled(repaired: DataFrame) -> DataFrame:
     still mask. Only the zeros after the last settled count of a head qualify."""
     order = F.struct("file_seq", "block", "row_id")
     known = F.col("valid_count").isNotNull()
-    last = F.broadcast(  # at most MAX_HEAD_IDS rows
-        repaired.groupBy("head_id").agg(F.max(F.when(known & ~F.col("undecided"), order)).alias("_settled"))
-    )
+    last = repaired.groupBy("head_id").agg(F.max(F.when(known & ~F.col("undecided"), order)).alias("_settled"))
+    last = F.broadcast(cut(last))  # at most MAX_HEAD_IDS rows, found once for all that read the readings
     after = F.col("_settled").isNull() | (order > F.col("_settled"))
     return repaired.join(last, "head_id").withColumn("is_open", F.col("undecided") & after).drop("_settled")
 

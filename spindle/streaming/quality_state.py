@@ -30,7 +30,7 @@ def write_schema(archive: RawArchive, write) -> None:
         write(table, f"{FOLDER}/{name}")
 
 
-def write_tables(rows: DataFrame, settled: DataFrame, last_file: str | None, write) -> None:
+def file_tables(rows: DataFrame, settled: DataFrame, last_file: str | None) -> dict[str, DataFrame]:
     """The tables per file of a batch: what masks, and resets that are certain,
     as far as known by now. `rows` and `settled` lack the rows of the state;
     `last_file` is the file before the first one."""
@@ -40,8 +40,7 @@ def write_tables(rows: DataFrame, settled: DataFrame, last_file: str | None, wri
     tables["boundary_gaps"] = gaps.withColumn("prev_file", before)
     certain = F.when(~F.col("is_open"), F.col("counter_delta"))
     tables["file_counter_resets"] = quality.file_counter_resets(settled.withColumn("counter_delta", certain))
-    for name, table in tables.items():
-        write(table, f"{FOLDER}/{name}")
+    return tables
 
 
 def fates(settled: DataFrame, waiting: DataFrame | None, state_file: str) -> DataFrame:

@@ -95,3 +95,24 @@ def test_json_has_null_for_not_a_number(spark, tmp_path):
     tables.write_json_tables({"t": df}, str(tmp_path))
     text = "".join(p.read_text() for p in (tmp_path / "t").glob("*.json"))
     assert '{"i":1,"x":null}' in text and '{"i":2,"x":0.5}' in text
+
+
+def test_every_header_is_read_once(spark, tmp_path, monkeypatch):
+    """Errors, warnings and the groups of files come from one look at each file."""
+    paths = [tmp_path / f"day{i}.csv" for i in range(3)]
+    for path in paths[:2]:
+        path.write_text("timestamp,H01 Count,H01 AppTorque,H01 Status\n2026-01-01T00:00:00,1,1,0\n")
+    paths[2].write_text("time,H01 Count\n1,2\n")
+    opened, look = str(tmp_path / "opened"), raw_csv._first_line
+
+    def counted(path):
+        with open(opened, "a") as log:
+            log.write(path + "\n")
+        return look(path)
+
+    monkeypatch.setattr(raw_csv, "_first_line", counted)
+    archive = raw_csv.read_wide_csv(spark, [f"file://{p}" for p in paths])
+    assert [r.file for r in archive.errors.collect()] == ["day2.csv"] and archive.warnings.count() == 1
+    assert archive.wide.count() == 2
+    with open(opened) as log:
+        assert sorted(log) == sorted(f"file://{p}\n" for p in paths)

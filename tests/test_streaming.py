@@ -4,7 +4,10 @@ import pytest
 from machine import File, account, at, one_head, random_archive, write
 
 from spindle.constants import EVENT_SCHEMA
-from spindle.operators.ingest import ingest
+from spindle.operators import quality, readings
+from spindle.operators.ingest import ingest, repair
+from spindle.session import cut
+from spindle.sources.raw_csv import read_wide_csv
 from spindle.streaming import ingest as streaming
 
 
@@ -197,3 +200,18 @@ def test_committed_batches_are_not_done_again(spark, tmp_path, monkeypatch):
     assert done == [0, 1, 1, 2] and streaming.committed(spark, out) == [0, 1, 2]
     assert streaming.stream_events(spark, out).count() == len(expected(files)["events"])
     assert not (tmp_path / "out" / "_stage").exists()
+
+
+def test_steps_at_once_fail_together(spark):
+    assert streaming._at_once(spark, [lambda: 1, lambda: spark.range(3).count()]) == [1, 3]
+    with pytest.raises(ZeroDivisionError):
+        streaming._at_once(spark, [lambda: 1, lambda: 1 / 0])
+
+
+def test_cells_of_wide_rows_are_counted_without_unfolding_them(spark, tmp_path):
+    files = random_archive(3, n_files=2, heads=("H01", "H02", "H03"))
+    rows = cut(readings.with_steps(read_wide_csv(spark, write(files, tmp_path / "raw")).wide))
+    repaired = cut(repair(readings.count_changes(rows)))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(quality.missing_cells(rows, repaired)) and "Expand" not in plan(quality.missing_cells(rows, repaired))
+    assert "lambda" not in plan(quality.trailing_zero_rows(rows)) and plan(quality.trailing_zero_rows(rows)).count("Window [") == 1
