@@ -46,11 +46,12 @@ def encode_documents(documents: DataFrame, model: str, rate: float = 0.1, seed:
         pieces = kept_in_worker(("pieces", model), lambda: PieceModel(model))
         for batch in batches:
             names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            found = []
+            found, lossless = [], []
             for some in _together(texts):
                 keys = [-1 if n is None else n for n in names[some].to_pylist()]
-                found += pieces.encode_all(texts[some], keys, rate, seed)
-            lossless = [pieces.decode(ids.tolist()) == text for ids, text in zip(found, texts, strict=True)]
+                done = pieces.encode_all(texts[some], keys, rate, seed)
+                lossless += pieces.restores(done, texts[some])
+                found += done
             sizes = np.array([len(i) for i in found], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.array(np.concatenate([*found, np.empty(0, np.uint16)]).astype(np.int32))

@@ -19,12 +19,16 @@ import heapq
 import re
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 SPACE = "▁"
 REMEMBERED = 250_000  # units kept, and nodes of their trees
+OFTEN = 3  # times that a unit comes before it has a tree
 DEEPEST = 2  # skipped merges on a remembered branch; places with more are merged one by one
 LONGEST = 32  # characters of a unit that is merged together with others
+WIDTHS = (*range(1, 13), 16, 22, LONGEST)  # units are padded to one of these
+AT_ONCE = 1_000_000  # ids that are spelled at once
 NONE = 0xFFFF  # no piece has this id
 NEVER = 1 << 62
 MASK = (1 << 64) - 1
@@ -36,45 +40,69 @@ def _hashed(start, stop) -> np.ndarray:
     return u(start) * np.uint64(0x9E3779B97F4A7C15) ^ u(stop) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: the hashes of units that are merged together, at start << 6 | stop
+SPANS = _hashed(np.repeat(np.arange(64), 64), np.tile(np.arange(64), 64))
+
+
 def _skips(keys: np.ndarray, hashed: np.ndarray, rate: float) -> np.ndarray:
     """Whether the merges of characters with these hashes are skipped."""
     mixed = (keys ^ hashed) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(32) < np.uint64(min(rate, 1.0) * 2.0**32)
 
 
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1 and on, count of them, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room = np.empty(1024, dtype)
+        self.size = 0
+
+    def add(self, values: np.ndarray) -> None:
+        start, self.size = self.size, self.size + len(values)
+        if self.size > len(self.room):
+            room = np.empty(2 * self.size, self.room.dtype)
+            room[:start] = self.room[:start]
+            self.room = room
+        self.room[start : self.size] = values
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class _Trees:
-    """Nodes of all trees. A node has a segmentation and a run of merges in the
-    flat arrays: their (start, stop), the hash of it, and the child if skipped."""
+    """Nodes of all trees. A node has a segmentation, a run of ids, and a run of
+    merges: their start << 6 | stop, and the child if skipped."""
 
     def __init__(self) -> None:
         self.roots: dict[str, int] = {}
-        self.seen: set[str] = set()  # units that came once
+        self.seen: dict[str, int] = {}  # how often units without a tree came
         self.units: list[str] = []
-        self.banned: list[tuple] = []  # the skipped merges, as (start, stop)
-        self.ids = np.empty(0, object)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.spans = np.empty((0, 2), np.uint8)
-        self.hashed = np.empty(0, np.uint64)
-        self.child = np.empty(0, np.int32)
-        self.owner = np.empty(0, np.int32)
-
-    def add(self, units: list[str], banned: list[tuple], found: list[bytes], traces: list[list]) -> np.ndarray:
-        """New nodes; their numbers."""
+        self.banned: list[tuple] = []  # the skipped merges, as start << 6 | stop
+        self.ids, self.first_id, self.n_ids = _Pool(np.uint16), _Pool(np.int64), _Pool(np.int64)
+        self.first, self.count = _Pool(np.int64), _Pool(np.int64)
+        self.span, self.child, self.owner = _Pool(np.uint16), _Pool(np.int32), _Pool(np.int32)
+
+    def add(self, units: list[str], banned: list[tuple], ids, first_id, n_ids, row, span) -> np.ndarray:
+        """New nodes; their numbers. `row` has the node of each merge, in order of nodes."""
         numbers = np.arange(len(self.units), len(self.units) + len(units))
-        sizes = np.fromiter(map(len, traces), np.int64, len(traces))
-        spans = np.array([s for t in traces for s in t], np.uint8).reshape(-1, 2)
-        ids = np.empty(len(found), object)
-        ids[:] = found
+        sizes = np.bincount(row, minlength=len(units))
         self.units += units
         self.banned += banned
-        self.ids = np.concatenate([self.ids, ids])
-        self.first = np.concatenate([self.first, len(self.child) + np.cumsum(sizes) - sizes])
-        self.count = np.concatenate([self.count, sizes])
-        self.spans = np.concatenate([self.spans, spans])
-        self.hashed = np.concatenate([self.hashed, _hashed(spans[:, 0], spans[:, 1])])
-        self.child = np.concatenate([self.child, np.full(len(spans), -1, np.int32)])
-        self.owner = np.concatenate([self.owner, np.repeat(numbers, sizes).astype(np.int32)])
+        self.first_id.add(first_id + self.ids.size)
+        self.n_ids.add(n_ids)
+        self.ids.add(ids)
+        self.first.add(self.span.size + np.cumsum(sizes) - sizes)
+        self.count.add(sizes)
+        self.span.add(span)
+        self.child.add(np.full(len(span), -1, np.int32))
+        self.owner.add(numbers[row].astype(np.int32))
         return numbers
 
 
@@ -101,6 +129,9 @@ class PieceModel:
             self.bytes[i] = bytes([b])
         for piece, (_, i) in self.pieces.items():
             self.bytes[i] = piece.replace(SPACE, " ").encode()
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self.starts = np.cumsum(self.sizes) - self.sizes  # of the bytes of each piece among those of all
+        self.spelled = np.frombuffer(b"".join(self.bytes), np.uint8)
         #: No piece holds a space after another character or a line end among others, so merges stay inside these.
         self.units = re.compile(f"[\n{SPACE}]| *[^ \n{SPACE}]+| +")
         #: the model's own segmentations
@@ -124,81 +155,142 @@ class PieceModel:
             for k in range(1, len(piece))
             if piece[:k] in self.pieces and piece[k:] in self.pieces
         ]
-        joins.sort()
-        self.join_keys = np.array([k for k, _ in joins] + [1 << 40], np.int64)
-        self.join_values = np.array([v for _, v in joins] + [NEVER], np.int64)
-
-    def _offers(self, ids, starts, stops, rate: float, keys, banned):
-        """For neighbours: place in the agenda, start and id of the joined piece,
-        NEVER where there is none or the merge is skipped or banned."""
-        wanted = ids[0] << 16 | ids[1]
-        at = np.searchsorted(self.join_keys, wanted)
-        value = np.where(self.join_keys[at] == wanted, self.join_values[at] | starts << 16, NEVER)
+        self._store(np.array([k for k, _ in joins], np.int64), np.array([v for _, v in joins], np.int64))
+
+    def _store(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A table where each key has one of two places (cuckoo hashing). It is
+        at most a quarter full, so that few keys move; else it is made larger."""
+        self.bits = max(10, int(2 * len(keys)).bit_length())
+        table, homeless, rounds = np.full(2 << self.bits, -1), np.arange(len(keys)), 0
+        while len(homeless):
+            if rounds % 100 == 0:
+                self.bits += rounds > 0
+                table = np.full(2 << self.bits, -1)
+                homeless, second = np.arange(len(keys)), np.zeros(len(keys), np.int64)
+            rounds += 1
+            at = np.where(second[homeless], *reversed(self._places(keys[homeless])))
+            evicted = np.unique(table[at])
+            table[at] = homeless
+            homeless = np.concatenate([homeless[table[at] != homeless], evicted[evicted >= 0]])
+            second[homeless] ^= 1
+        self.join_keys = np.append(keys, -1)[table]
+        self.join_values = np.append(values, NEVER)[table]
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two places where a key may be in the table."""
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        one = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        return one, (mixed >> np.uint64(40 - self.bits)).astype(np.int64) & (1 << self.bits) - 1 | 1 << self.bits
+
+    def _offers(self, left, right, start, stop, rate: float, keys, banned):
+        """For neighbours with these ids: place in the agenda, start and id of the
+        joined piece, NEVER where there is none or the merge is skipped or banned.
+        Starts and stops count from 1, as there is a symbol before the first."""
+        wanted = left << 16 | right
+        one, two = self._places(wanted)
+        at = np.where(self.join_keys[one] == wanted, one, two)
+        value = np.where(self.join_keys[at] == wanted, self.join_values[at] | start << 16, NEVER)
         if rate:
-            value[_skips(keys, _hashed(starts, stops), rate)] = NEVER
-        for one in banned if banned is not None else ():
-            value[one == (starts << 16 | stops)] = NEVER
+            value[_skips(keys, SPANS[start - 1 << 6 | stop - 1], rate)] = NEVER
+        for span in banned if banned is not None else ():
+            value[span == (start - 1 << 6 | stop - 1)] = NEVER
         return value
 
-    def segments(self, units: list[str], rate: float, keys: np.ndarray, banned: list[tuple] | None = None, traces: list[list] | None = None) -> list[bytes]:
-        """`segment` of many units, as bytes of 16-bit ids. With merges that are
-        `banned`, those that happen are added to `traces`. Units of one length
-        are merged together, a column each and one merge a round; symbols stay
-        at the place of their first character."""
-        out: list[bytes] = [b""] * len(units)
+    def _merged(self, units: list[str], rate: float, keys: np.ndarray, banned: list[tuple] | None = None) -> tuple:
+        """`segment` of many units: ids, the first of each unit and their number.
+        With merges that are `banned`, also the unit and start << 6 | stop of those
+        that happen, in order. Units of about one length are merged together, a
+        column each and one merge a round; symbols stay at the place of their
+        first character, and symbols that join with nothing stand at both ends."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        for n in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == n)
-            points = np.frombuffer("".join([units[r] for r in rows.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, n)
-            ids = self.single[np.where(points == 32, ord(SPACE), points)]
-            odd = (ids == NONE).any(axis=1) | (points == ord(SPACE)).any(axis=1) if n <= LONGEST else np.ones(len(rows), bool)
-            for r in rows[odd].tolist():
-                alone = self.segment(units[r], rate, int(keys[r]), () if banned is None else banned[r], None if traces is None else traces[r])
-                out[r] = np.array(alone, np.uint16).tobytes()
-            rows = rows[~odd]
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        single = self.single[np.where(points == 32, ord(SPACE), points)]
+        odd = sizes > LONGEST
+        odd[np.repeat(np.arange(len(units)), sizes)[(single == NONE) | (points == ord(SPACE))]] = True
+        first, count = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        values, total = [np.empty(0, np.uint16)], 0
+        merged = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for r in np.flatnonzero(odd).tolist():
+            trace: list | None = None if banned is None else []
+            ids = np.array(self.segment(units[r], rate, int(keys[r]), () if banned is None else banned[r], trace), np.uint16)
+            first[r], count[r] = total, len(ids)
+            values.append(ids)
+            total += len(ids)
+            if trace:
+                merged.append((np.full(len(trace), r), np.array(trace, np.int64)))
+        classes = np.where(odd, 0, np.searchsorted(WIDTHS, sizes) + 1)
+        by_class = np.argsort(classes, kind="stable")
+        ends = np.cumsum(np.bincount(classes, minlength=len(WIDTHS) + 1))
+        for at, n in enumerate(WIDTHS):
+            rows = by_class[ends[at] : ends[at + 1]]
             if not len(rows):
                 continue
-            ids = np.ascontiguousarray(ids[~odd].T).astype(np.int64)
-            own, ban = keys[rows], None
+            width, own, ban = len(rows), keys[rows], None
+            place = np.arange(n)[:, None]
+            inside = place < sizes[rows]
+            ids = np.full((n + 2, width), NONE)
+            ids[1:-1][inside] = single[(starts[rows] + place)[inside]]
             if banned is not None:
-                ban = np.full((max(len(banned[r]) for r in rows.tolist()), len(rows)), -1)
+                ban = np.full((max(len(banned[r]) for r in rows.tolist()), width), -1)
                 for i, r in enumerate(rows.tolist()):
-                    ban[: len(banned[r]), i] = [start << 16 | stop for start, stop in banned[r]]
-            place = np.repeat(np.arange(n + 1)[:, None], len(rows), axis=1)
-            after, before = place + 1, place - 1  # where the neighbours of the symbol begin
-            cols = np.arange(len(rows))  # of the agenda
-            agenda = np.full((n, len(rows)), NEVER)
-            agenda[:-1] = self._offers((ids[:-1], ids[1:]), place[:-2], place[2:], rate, own, None if ban is None else ban[:, None])
+                    ban[: len(banned[r]), i] = banned[r]
+            place = np.repeat(np.arange(n + 2)[:, None], width, axis=1)
+            agenda = np.full((n + 1, width), NEVER)
+            agenda[1:-1] = self._offers(ids[1:-2], ids[2:-1], place[1:-2], place[3:], rate, own, None if ban is None else ban[:, None])
+            after, before = (place + 1).ravel(), (place - 1).ravel()  # where the neighbours of the symbol begin
+            ids = ids.ravel()
+            cols = np.arange(width)  # of the agenda
             while True:
                 best = agenda.min(axis=0)
                 go = np.flatnonzero(best != NEVER)
                 if not len(go):
                     break
-                if 2 * len(go) < len(cols):
-                    cols, agenda, best, go = cols[go], agenda[:, go], best[go], np.arange(len(go))
+                if 4 * len(go) < 3 * len(cols):
+                    cols, agenda, best, go = cols[go], agenda.take(go, axis=1), best[go], np.arange(len(go))
                 best, c = best[go], cols[go]
-                a = best >> 16 & 63
-                gone = after[a, c]
-                stop = after[gone, c]
-                ids[a, c], ids[gone, c] = best & 0xFFFF, NONE
-                after[a, c], before[stop, c] = stop, a
-                agenda[gone, go] = agenda[a, go] = NEVER
+                start, joined = best >> 16 & 63, best & 0xFFFF
+                a = start * width + c
+                gone = after[a]
+                b = gone * width + c
+                stop, left = after[b], before[a]
+                right = stop * width + c
+                ids[a], ids[b] = joined, NONE
+                after[a], before[right] = stop, start
                 if banned is not None:
-                    for r, start, end in zip(rows[c].tolist(), a.tolist(), stop.tolist(), strict=True):
-                        traces[r].append((start, end))
-                for some, left in ((stop < n, a), (a > 0, before[a, c])):
-                    some = np.flatnonzero(some)
-                    column, left = c[some], left[some]
-                    right = after[left, column]
-                    pair = ids[left, column], ids[right, column]
-                    agenda[left, go[some]] = self._offers(pair, left, after[right, column], rate, own[column], None if ban is None else ban[:, column])
-            final = ids.T
+                    merged.append((rows[c], start - 1 << 6 | stop - 1))
+                both = np.concatenate([c, c])
+                starts_now = np.concatenate([left, start])
+                value = self._offers(
+                    np.concatenate([ids[left * width + c], joined]),
+                    np.concatenate([joined, ids[right]]),
+                    starts_now,
+                    np.concatenate([stop, after[right]]),
+                    rate,
+                    own[both] if rate else None,
+                    None if ban is None else ban[:, both],
+                )
+                flat = agenda.ravel()
+                flat[gone * len(cols) + go] = NEVER
+                flat[starts_now * len(cols) + np.concatenate([go, go])] = value
+            final = ids.reshape(n + 2, width).T
             alive = final != NONE
-            packed = final[alive].astype(np.uint16).tobytes()
-            ends = (2 * np.cumsum(alive.sum(axis=1))).tolist()
-            for r, start, end in zip(rows.tolist(), [0, *ends], ends, strict=False):
-                out[r] = packed[start:end]
-        return out
+            values.append(final[alive].astype(np.uint16))
+            count[rows] = alive.sum(axis=1)
+            first[rows] = total + np.cumsum(count[rows]) - count[rows]
+            total += len(values[-1])
+        found = np.concatenate(values), first, count
+        if banned is None:
+            return found
+        row, span = (np.concatenate(x) for x in zip(*merged, strict=True))
+        order = np.argsort(row, kind="stable")
+        return *found, row[order], span[order]
+
+    def segments(self, units: list[str], rate: float, keys: np.ndarray) -> list[bytes]:
+        """`segment` of many units, as bytes of 16-bit ids."""
+        ids, first, count = self._merged(units, rate, keys)
+        packed = ids.tobytes()
+        return [packed[2 * f : 2 * (f + n)] for f, n in zip(first.tolist(), count.tolist(), strict=True)]
 
     def segment(self, unit: str, rate: float, key: int, banned: tuple = (), trace: list | None = None) -> list[int]:
         """The ids of one unit. Merges that happen are added to `trace`."""
@@ -213,7 +305,7 @@ class PieceModel:
 
         def offer(a: int, b: int) -> None:
             known = self.pieces.get(text[a : end[b]])
-            if known and (a, end[b]) not in banned:
+            if known and (a << 6 | end[b]) not in banned:
                 heapq.heappush(agenda, (known[0], a, end[b]))
 
         for a in range(n - 1):
@@ -226,7 +318,7 @@ class PieceModel:
             if rate and _skips(own, _hashed([a], [stop]), rate)[0]:
                 continue
             if trace is not None:
-                trace.append((a, stop))
+                trace.append(a << 6 | stop)
             end[a], end[b], right[a] = stop, 0, right[b]
             if right[a] < n:
                 left[right[a]] = a
@@ -252,76 +344,111 @@ class PieceModel:
 
     def _grow(self, units: list[str], banned: list[tuple]) -> np.ndarray:
         """Nodes of these units where these merges are skipped and no others."""
-        traces: list[list] = [[] for _ in units]
-        found = self.segments(units, 0.0, np.zeros(len(units), np.uint64), banned, traces)
-        return self.trees.add(units, banned, found, traces)
+        return self.trees.add(units, banned, *self._merged(units, 0.0, np.zeros(len(units), np.uint64), banned))
 
-    def _dropped(self, units: list[str], number: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
-        """The segmentations of units[number] under their keys."""
-        if max(len(self.trees.units), len(self.trees.seen)) > REMEMBERED:
+    def _dropped(self, units: list[str], number: np.ndarray, keys: np.ndarray, rate: float) -> tuple:
+        """The segmentations of units[number] under their keys: ids, the first
+        of each place and their number."""
+        if len(self.trees.units) > REMEMBERED:
             self.trees = _Trees()
         trees = self.trees
-        times = np.bincount(number, minlength=len(units))
+        if len(trees.seen) > REMEMBERED:
+            trees.seen = {}
+        times = np.bincount(number, minlength=len(units)).tolist()
         root = np.array([trees.roots.get(u, -1) for u in units], np.int64)
-        new = []  # a unit has a tree from the second time that it comes
+        new = []
         for i in np.flatnonzero(root < 0).tolist():
-            if len(units[i]) <= LONGEST:
-                if times[i] > 1 or units[i] in trees.seen:
-                    new.append(i)
+            unit = units[i]
+            if len(unit) <= LONGEST:
+                so_far = trees.seen.get(unit, 0) + times[i]
+                if so_far < OFTEN:
+                    trees.seen[unit] = so_far
                 else:
-                    trees.seen.add(units[i])
+                    new.append(i)
+                    trees.seen.pop(unit, None)
         names = [units[i] for i in new]
         root[new] = self._grow(names, [()] * len(new))
         trees.roots.update(zip(names, root[new].tolist(), strict=True))
-        trees.seen.difference_update(names)
         node = root[number]
         walking = np.flatnonzero(node >= 0)
         for depth in range(DEEPEST + 1):
             here = node[walking]
-            counts = trees.count[here]
+            counts = trees.count.values[here]
             row = np.repeat(np.arange(len(walking)), counts)
-            at = np.arange(len(row)) + np.repeat(trees.first[here] - np.cumsum(counts) + counts, counts)
-            hits = np.flatnonzero(_skips(keys[walking[row]], trees.hashed[at], rate))
+            at = _runs(trees.first.values[here], counts)
+            hits = np.flatnonzero(_skips(keys[walking][row], SPANS[trees.span.values[at]], rate))
             row, at = row[hits], at[hits]
             next_one = np.ones(len(hits), bool)
             next_one[1:] = row[1:] != row[:-1]  # the first merge that is skipped
             walking, at = walking[row[next_one]], at[next_one]
             if depth < DEEPEST:
-                absent, wanted = np.unique(at[trees.child[at] < 0], return_counts=True)
+                absent, wanted = np.unique(at[trees.child.values[at] < 0], return_counts=True)
                 absent = absent[wanted > 1]
-                parents = trees.owner[absent].tolist()
-                banned = [trees.banned[p] + (tuple(s),) for p, s in zip(parents, trees.spans[absent].tolist(), strict=True)]
-                grown = self._grow([trees.units[p] for p in parents], banned)
-                trees.child[absent] = grown
-                node[walking] = trees.child[at]
-                walking = walking[trees.child[at] >= 0]
+                parents = trees.owner.values[absent].tolist()
+                banned = [(*trees.banned[p], s) for p, s in zip(parents, trees.span.values[absent].tolist(), strict=True)]
+                trees.child.values[absent] = self._grow([trees.units[p] for p in parents], banned)
+                node[walking] = trees.child.values[at]
+                walking = walking[trees.child.values[at] >= 0]
             else:
                 node[walking] = -1
-        alone = np.flatnonzero(node < 0)
-        out = np.empty(len(number), object)
-        out[node >= 0] = trees.ids[node[node >= 0]]
-        out[alone] = self.segments([units[i] for i in number[alone].tolist()], rate, keys[alone])
-        return out.tolist()
+        known, alone = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+        first, count = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+        first[known], count[known] = trees.first_id.values[node[known]], trees.n_ids.values[node[known]]
+        ids, first[alone], count[alone] = self._merged([units[i] for i in number[alone].tolist()], rate, keys[alone])
+        first[alone] += trees.ids.size
+        return np.concatenate([trees.ids.values, ids]), first, count
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The units of all texts: the different ones, which of them stands at
+        each place, and how many places each text has. The same as `self.units`
+        finds in a space and the text, in the bytes of all texts at once."""
+        spaced = [b" " + text.encode() if text else b"" for text in texts]
+        sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+        joined = b"".join(spaced)
+        codes = np.frombuffer(joined, np.uint8)
+        line = np.flatnonzero(codes == 10)
+        mark = np.flatnonzero(codes[:-2] == 0xE2)
+        mark = mark[(codes[mark + 1] == 0x96) & (codes[mark + 2] == 0x81)]
+        space = codes == 32
+        begins = np.zeros(len(codes) + 1, bool)
+        begins[: len(codes)] = space
+        begins[1 : len(codes)] &= ~space[:-1]
+        for at in (line, line + 1, mark, mark + 3, np.cumsum(sizes) - sizes):
+            begins[at] = True
+        begins[-1] = True
+        bounds = np.flatnonzero(begins)
+        places = np.diff(np.searchsorted(bounds, np.concatenate([[0], np.cumsum(sizes)])))
+        units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(joined)).dictionary_encode()
+        return units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy().astype(np.int64), places
 
     def encode_all(self, texts: list[str], names: list[int], rate: float = 0.0, seed: int = 0) -> list[np.ndarray]:
         """The ids of each text. Names set texts apart: the key of each unit is
         drawn from seed, name and its place in the text."""
-        parts = [self.units.findall(" " + text) if text else [] for text in texts]
-        every = [u for p in parts for u in p]
+        units, number, places = self._cut(texts)
         if rate:
-            units = list(dict.fromkeys(every))
-            place = {u: i for i, u in enumerate(units)}
-            number = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
-            keys = np.concatenate([_drawn(len(p), name, seed) for p, name in zip(parts, names, strict=True)] + [np.empty(0, np.uint64)])
-            done = self._dropped(units, number, keys, rate)
+            keys = np.concatenate([_drawn(n, name, seed) for n, name in zip(places.tolist(), names, strict=True)] + [np.empty(0, np.uint64)])
+            ids, first, count = self._dropped(units, number, keys, rate)
         else:
-            done = self._own(every)
-        ends = np.cumsum([len(p) for p in parts]).tolist()
-        return [np.frombuffer(b"".join(done[end - len(p) : end]), np.uint16) for p, end in zip(parts, ends, strict=True)]
+            own = self._own(units)
+            count = np.fromiter(map(len, own), np.int64, len(own)) // 2
+            first = (np.cumsum(count) - count)[number]
+            ids, count = np.frombuffer(b"".join(own), np.uint16), count[number]
+        every = ids[_runs(first, count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(places)])].tolist()
+        return [every[start:end] for start, end in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, name: int = 0) -> np.ndarray:
         return self.encode_all([text], [name], rate, seed)[0]
 
+    def restores(self, found: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether decoding the ids gives back the text, for many texts."""
+        ids = np.concatenate([*found, np.empty(0, np.uint16)])
+        sizes = self.sizes[ids]
+        parts = (slice(at, at + AT_ONCE) for at in range(0, len(ids), AT_ONCE))
+        spelled = b"".join(self.spelled[_runs(self.starts[ids[some]], sizes[some])].tobytes() for some in parts)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, found)])].tolist()
+        return [spelled[start + 1 : end] == text.encode() for start, end, text in zip(ends, ends[1:], texts, strict=False)]
+
     def decode(self, ids) -> str:
         """The text that was encoded, whatever merges were skipped. Bytes that
         are no UTF-8, which no encoding gives, become replacement characters."""
